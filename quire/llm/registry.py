@@ -4,16 +4,50 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import simhash
+import public_tokenizers
+
+from . import impact, langid, mih, mixing, packing, simhash, tokens, warc
 from .common import table
 
+#: The tokenizer file is a parameter of the operators; these queries use the public one.
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op1_impact_topk(spark, sf_dir):
+    return impact.top_k(table(spark, sf_dir, "embeddings"))
+
 
 def op2_simhash(spark, sf_dir):
-    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return simhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
+
+
+def op5_warc(spark, sf_dir):
+    found = warc.round_trip(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op6_langid(spark, sf_dir):
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
+def op7_mih(spark, sf_dir):
+    return mih.nearest(table(spark, sf_dir, "embeddings"))
+
+
+def op8_mixing(spark, sf_dir):
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op9_packing(spark, sf_dir):
+    return packing.packed(table(spark, sf_dir, "documents"), TOKENIZER)
+
+
+def op10_token_counts(spark, sf_dir):
+    return tokens.token_counts(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
 def queries() -> dict[str, Callable]:
-    return {"op2_simhash": op2_simhash}
+    return {f.__name__: f for f in (op1_impact_topk, op2_simhash, op5_warc, op6_langid, op7_mih, op8_mixing, op9_packing, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:

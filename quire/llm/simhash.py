@@ -53,15 +53,16 @@ def fingerprint(text: bytes | None, shingle_words: int = SHINGLE_WORDS) -> int:
 
 
 def fingerprints(docs: DataFrame, text: str = "text", shingle_words: int = SHINGLE_WORDS) -> DataFrame:
-    """(doc_id, fp): the fingerprint as a signed long."""
+    """(doc_id, text_hash, fp): the fingerprint as a signed long, and a hash that tells texts of one id apart."""
     prepare(docs.sparkSession)
 
     def rows(b: dict) -> dict:
         fps = [fingerprint(t, shingle_words) for t in utf8(b["text"])]
-        return {"doc_id": b["doc_id"], "fp": np.array(fps, np.uint64).view(np.int64)}
+        return {"doc_id": b["doc_id"], "text_hash": b["text_hash"], "fp": np.array(fps, np.uint64).view(np.int64)}
 
-    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
-    return docs.select(F.col("doc_id").cast("long"), F.col(text).alias("text")).mapInArrow(arrow_rows(rows, schema), "doc_id long, fp long")
+    schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("fp", pa.int64())])
+    read = docs.select(F.col("doc_id").cast("long"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"))
+    return read.mapInArrow(arrow_rows(rows, schema), "doc_id long, text_hash long, fp long")
 
 
 class GrayIndex:
@@ -174,7 +175,7 @@ def links(distinct: DataFrame, folder: str, radius: int = RADIUS, segments: int
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", radius: int = RADIUS, shingle_words: int = SHINGLE_WORDS) -> DataFrame:
-    """(doc_id, fingerprint, component_id) for every row.
+    """(doc_id, fingerprint, component_id, text_hash, root) for every row; root is the smallest fingerprint of the component.
 
     A null text counts as one without words: fingerprint zero, linked like any other. Repeated rows stay, each with the same
     component. A null doc_id stays and never names a component unless all of its members are null. An empty table gives no
@@ -187,6 +188,21 @@ def near_duplicates(docs: DataFrame, text: str = "text", radius: int = RADIUS, s
     roots = components(links(classes.select("fp"), folder, radius), folder)
     placed = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     named = placed.groupBy("root").agg(F.min("first_doc").alias("component_id"))
-    by_fp = placed.join(named, "root").select("fp", "component_id")
+    by_fp = placed.join(named, "root").select("fp", "component_id", "root")
     digits = F.lpad(F.lower(F.hex("fp")), 16, "0")
-    return fps.join(by_fp, "fp").select("doc_id", digits.alias("fingerprint"), "component_id")
+    return fps.join(by_fp, "fp").select("doc_id", digits.alias("fingerprint"), "component_id", "text_hash", "root")
+
+
+def representatives(docs: DataFrame, **options) -> DataFrame:
+    """Documents that stand for their group of near copies: that with the smallest doc_id (then the smallest hash of its text).
+
+    A null id comes last, so a group without any id keeps one of its rows too. Equal rows are kept once. Columns are those of docs.
+    """
+    found = near_duplicates(docs, **options)
+    best = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("k"))
+    keep = written(best.select(F.col("k.doc_id").alias("_id"), F.col("k.text_hash").alias("_hash")), shared_dir(docs.sparkSession), "representatives")
+    same = lambda df, text: F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (text == F.col("_hash"))
+    kept = docs.join(keep, same(docs, F.xxhash64("text")), "left_semi")
+    if found.join(keep, same(found, F.col("text_hash")), "left_semi").count() > keep.count():
+        kept = kept.dropDuplicates(["doc_id", "text"])
+    return kept
