@@ -127,3 +127,12 @@ def top_k(vectors: DataFrame, k: int = K, scale: int = SCALE, query_step: int =
     n, n_q = rows.count(), queries.count()
     grid = block_grid(rows, queries, n, n_q, lambda key, c, q: block_best(key, c, q, k), SCHEMA, candidate_block, query_block)
     return best_per_query(grid.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")), "score", k)
+
+
+def oracle(k: int = K, scale: int = SCALE, query_step: int = QUERY_STEP) -> str:
+    """The same as DuckDB SQL, by scoring all pairs (for tables where that is feasible)."""
+    return f"""
+WITH v AS (SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor({scale} * x::DOUBLE)) AS e FROM embeddings
+   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+ s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % {query_step} = 0)
+SELECT query_id, rank::INT AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= {k}"""

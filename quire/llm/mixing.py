@@ -13,6 +13,7 @@ from itertools import islice
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from .common import prepare, shared_dir, words_of, written
 
@@ -64,7 +65,7 @@ def apportion(groups: DataFrame, total: F.Column, votes: str, most: str, by: lis
         g = g.withColumn("_left", F.col("_total") - F.sum("_seats").over(w))
         up = F.when(F.col("_seats") < F.col(most), F.col(votes) / (2 * F.col("_seats") + 1)).otherwise(F.lit(-1.0))
         down = F.when(F.col("_seats") > 0, F.col(votes) / (2 * F.col("_seats") - 1)).otherwise(F.lit(float("inf")))
-        g = g.withColumn("_up", F.row_number().over(w.orderBy(up.desc(), *order))).withColumn("_down", F.row_number().over(w.orderBy(down, *order)))
+        g = g.withColumn("_up", F.row_number().over(w.orderBy(up.desc(), *order))).withColumn("_down", F.row_number().over(w.orderBy(down, *[o.desc() for o in order])))
         g = g.withColumn("_open", up >= 0)
         more = F.when((F.col("_left") > 0) & F.col("_open") & (F.col("_up") <= F.col("_left")), 1).when((F.col("_left") < 0) & (F.col("_seats") > 0) & (F.col("_down") <= -F.col("_left")), -1).otherwise(0)
         g = g.withColumn("_seats", F.col("_seats") + more)
@@ -116,7 +117,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MO
     return placed.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), "source", "text_hash", "whole", "at", "ring", "arc_from", "arc")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _words_between(text: pd.Series, a: pd.Series, b: pd.Series) -> pd.Series:
     """Words a to b of each text, with the white space between them."""
     out = []

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 import public_tokenizers
 
-from . import impact, langid, mih, mixing, packing, simhash, tokens, warc
+from . import impact, langid, licenses, mih, mixing, packing, simhash, tokens, urls, warc
 from .common import table
 
 #: The tokenizer file is a parameter of the operators; these queries use the public one.
@@ -21,6 +21,14 @@ def op2_simhash(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
+def op3_licenses(spark, sf_dir):
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+def op4_urls(spark, sf_dir):
+    return urls.judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels")).drop("bound")
+
+
 def op5_warc(spark, sf_dir):
     found = warc.round_trip(table(spark, sf_dir, "pages"))
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -47,8 +55,9 @@ def op10_token_counts(spark, sf_dir):
 
 
 def queries() -> dict[str, Callable]:
-    return {f.__name__: f for f in (op1_impact_topk, op2_simhash, op5_warc, op6_langid, op7_mih, op8_mixing, op9_packing, op10_token_counts)}
+    return {f.__name__: f for f in (op1_impact_topk, op2_simhash, op3_licenses, op4_urls, op5_warc, op6_langid, op7_mih, op8_mixing, op9_packing, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """The two native operators, and the exact search; hashes, models and tokenizers are tested against brute force instead."""
+    return {"op1_impact_topk": impact.oracle(), "op3_licenses": licenses.oracle(), "op4_urls": urls.oracle(), "op5_warc": warc.oracle()}

@@ -198,3 +198,15 @@ def lookup(directory: DataFrame, urls: list[str]) -> list[dict]:
 def round_trip(pages: DataFrame) -> DataFrame:
     """Writes the archives of all pages to the shared folder and returns what they hold."""
     return read_archives(write_archives(pages, shared_dir(pages.sparkSession)))
+
+
+def oracle() -> str:
+    """What the archives of all pages hold, as DuckDB SQL: digests by sha1, base32 by groups of five bits."""
+    return """
+WITH p AS (SELECT page_id, coalesce(encode(html), ''::BLOB) AS payload FROM pages),
+ d AS (SELECT page_id, octet_length(payload) AS payload_bytes, sha1(payload) AS digest FROM p),
+ k AS (SELECT *, max(page_id) OVER (PARTITION BY digest) AS keeper FROM d),
+ bits AS (SELECT digest, array_to_string(list_transform(string_split_regex(digest, ''), lambda c: CASE WHEN c = '' THEN '' ELSE right(bin(('0x' || c)::INT + 16), 4) END), '') AS b FROM (SELECT DISTINCT digest FROM d)),
+ base AS (SELECT digest, array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + list_reduce(list_transform(string_split_regex(substr(b, 5 * i + 1, 5), ''), lambda c: coalesce(try_cast(c AS INT), 0)), lambda x, y: 2 * x + y), 1)), '') AS payload_digest FROM bits)
+SELECT page_id, payload_bytes::BIGINT AS payload_bytes, payload_digest, CASE WHEN page_id = keeper THEN 'response' ELSE 'revisit' END AS record_type,
+ CASE WHEN page_id = keeper THEN NULL ELSE keeper END AS refers_to FROM k JOIN base USING (digest)"""
