@@ -1,13 +1,18 @@
-"""Registered queries and their SQL counterparts."""
+"""Registered queries and their SQL counterparts. Names begin with the inventory id that they cover."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+from . import corpus_queries, edit_queries, layout_queries, markdown_queries
+
+_ALL = {**corpus_queries.ALL, **layout_queries.ALL, **edit_queries.ALL, **markdown_queries.ALL}
+
 
 def queries() -> dict[str, Callable]:
-    return {}
+    return {name: f for name, (f, _) in _ALL.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Without those whose outcome SQL can't express: an injected function, probing folds and prose repair."""
+    return {name: sql for name, (_, sql) in _ALL.items() if sql}
