@@ -216,8 +216,8 @@ def diagram_wrapped(s):
 
 MD = """ml AS (SELECT page, ln, regexp_replace(line, '[^\\p{L}\\p{N} ]', '', 'g') AS l FROM v_lines),
  mb AS (SELECT page, ln, CASE ln % 10 WHEN 2 THEN '## ' || l WHEN 4 THEN '```py' || chr(10) || '## ' || l || chr(10) || '```' WHEN 6 THEN '> ```' || chr(10) || '> ## ' || l || chr(10) || '> ```'
- WHEN 8 THEN '@@HTML_START@@' || chr(10) || '## <b>' || l || '</b>' || chr(10) || '@@HTML_END@@' WHEN 9 THEN '| a | b |' || chr(10) || '|---|---|' || chr(10) || '| ' || l || ' | 1 |' ELSE l END AS block, trim(l) <> '' AS full FROM ml)"""
-PIECES = """bd AS (SELECT *, CASE WHEN ln % 10 = 2 AND full THEN 1 ELSE 0 END AS b FROM mb), sg AS (SELECT *, sum(b) OVER (PARTITION BY page ORDER BY ln) AS seg FROM bd),
+ WHEN 8 THEN '@@HTML_START@@' || chr(10) || '## <b>' || l || '</b>' || chr(10) || '@@HTML_END@@' WHEN 9 THEN '| a | b |' || chr(10) || '|---|---|' || chr(10) || '| ' || l || ' | 1 |' ELSE l END AS block, trim(l) <> '' AS has FROM ml)"""
+PIECES = """bd AS (SELECT *, CASE WHEN ln % 10 = 2 AND has THEN 1 ELSE 0 END AS b FROM mb), sg AS (SELECT *, sum(b) OVER (PARTITION BY page ORDER BY ln) AS seg FROM bd),
  md AS (SELECT page, seg, string_agg(CASE WHEN b = 1 THEN substr(block, 2) ELSE block END, chr(10) || chr(10) ORDER BY ln) AS t, bool_or(trim(block) <> '') AS body, min(ln) AS first FROM sg GROUP BY ALL),
  al AS (SELECT page, 0 AS seg FROM (SELECT DISTINCT page FROM sg) UNION SELECT page, seg FROM md),
  pc AS (SELECT page, seg, CASE WHEN seg = 0 THEN '# Title' || chr(10) || chr(10) || coalesce(t, '') || CASE WHEN mx > 0 AND t IS NOT NULL THEN chr(10) ELSE '' END ELSE t || CASE WHEN seg < mx THEN chr(10) ELSE '' END END AS t, coalesce(body, false) AS body, mx
@@ -246,7 +246,7 @@ ALL = {
     "w18_page_cuts": (w18, None),
     "w2_unique_ids": (w2, None),
     "sk1_book_html": (sk1, with_views(f"SELECT {BOOK} AS book, string_agg('<section id=\"s' || pos || '\"><h2>' || replace(replace(replace(replace(replace(title, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), chr(39), '&#x27;') || '</h2></section>', chr(10) ORDER BY pos) AS html FROM v_chapters GROUP BY ALL", "v_chapters")),
-    "sk8_imported_corpus": (sk8, with_views(f"WITH {MD} SELECT page, md5('# doc' || chr(10) || chr(10) || '# Title' || chr(10) || chr(10) || string_agg(block, chr(10) || chr(10) ORDER BY ln) || chr(10)) AS digest, bool_or((ln % 10 = 2 AND full) OR ln % 10 IN (4, 8)) AS split FROM mb GROUP BY page", "v_lines")),
+    "sk8_imported_corpus": (sk8, with_views(f"WITH {MD} SELECT page, md5('# doc' || chr(10) || chr(10) || '# Title' || chr(10) || chr(10) || string_agg(block, chr(10) || chr(10) ORDER BY ln) || chr(10)) AS digest, bool_or((ln % 10 = 2 AND has) OR ln % 10 IN (4, 8)) AS split FROM mb GROUP BY page", "v_lines")),
     "sk10_export_names": (sk10, with_views(f"SELECT {BOOK} AS book, pos, printf('%03d_s%d.md', row_number() OVER (PARTITION BY {BOOK} ORDER BY pos), pos) AS file FROM v_chapters", "v_chapters")),
     "sk4_translated_mirror": (sk4, with_views("SELECT pos, 'out/' || path AS dest, 'out/' || path || '.incomplete.json' AS marker FROM v_chapters", "v_chapters")),
     "sc3_toc_discovery": (sc3, with_views(f"SELECT {BOOK} AS book, arg_min(pos, (path, pos)) AS pos FROM v_chapters WHERE NOT contains(path, '/') AND pos % 20 = 0 GROUP BY ALL", "v_chapters")),
