@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import half_even, natural_key, ordered_concat, roman_rank, strip
+from ..session import written
 
 
 def repeated(items: DataFrame, doc: str, page: str, key: Column, fraction: float) -> DataFrame:
@@ -59,14 +62,26 @@ def convention_order(chapters: DataFrame) -> DataFrame:
 
 
 def ranked(df: DataFrame, by: list[str], name: str) -> DataFrame:
-    """Adds the 1-based place in a total order, by a range partitioning and counts per range."""
-    spread = df.repartitionByRange(*by).withColumn("_part", F.spark_partition_id())
+    """Adds the 1-based place in a total order, by a range partitioning and counts per range.
+
+    The ranges come from a sample, so the dealt rows are written once: counts and places must see the same ranges.
+    """
+    spread = written(df.repartitionByRange(*by).withColumn("_part", F.spark_partition_id()))
     counts = spread.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     before = counts.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
     local = F.row_number().over(Window.partitionBy("_part").orderBy(*by))
+    # one row per range: the broadcast grows with the number of partitions alone
     return spread.withColumn("_local", local).join(F.broadcast(before), "_part").withColumn(name, F.col("_local") + F.col("_before")).drop("_part", "_local", "_before")
 
 
+def numbered(df: DataFrame, keys: list[str], by: list[str], name: str) -> DataFrame:
+    """row_number() within keys for keys that may hold a large share of all rows: places in the total order, less the key's first."""
+    placed = ranked(df, [*keys, *by], "_place")
+    first = placed.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]).agg(F.min("_place").alias("_first"))
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)])
+    return placed.join(first, same).withColumn(name, (F.col("_place") - F.col("_first") + 1).cast("int")).drop("_place", "_first", *[f"_k{i}" for i in range(len(keys))])
+
+
 def explicit_order(files: DataFrame, patterns: list[str]) -> DataFrame:
     """(pattern_ix, path): listed names as they are, globs in natural order; duplicates stay, exclusions don't apply."""
     spark = files.sparkSession
@@ -109,8 +124,8 @@ def excluded(chapters: DataFrame, patterns: list[str]) -> DataFrame:
 
 def dedupe_suffix(rows: DataFrame, key: str, by: str) -> DataFrame:
     """suffix: '' for the first of a key, then -2, -3 in order; the result isn't checked again."""
-    n = F.row_number().over(Window.partitionBy(key).orderBy(by))
-    return rows.withColumn("suffix", F.when(n == 1, F.lit("")).otherwise(F.concat(F.lit("-"), n.cast("string"))))
+    n = F.col("_n")
+    return numbered(rows, [key], [by], "_n").withColumn("suffix", F.when(n == 1, F.lit("")).otherwise(F.concat(F.lit("-"), n.cast("string")))).drop("_n")
 
 
 def part_headings(chapters: DataFrame, keys: list[str], by: str, nulls_count: bool) -> DataFrame:

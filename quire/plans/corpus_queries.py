@@ -283,8 +283,7 @@ def a16(spark, d):
 
 
 def s6(spark, d):
-    w = Window.partitionBy("doc").orderBy("page", "pos")
-    return v_images(spark, d).withColumn("rn", F.row_number().over(w)).filter("rn between 25 and 48").select("doc", "page", "pos", "rn")
+    return C.numbered(v_images(spark, d).select("doc", "page", "pos"), ["doc"], ["page", "pos"], "rn").filter("rn between 25 and 48").select("doc", "page", "pos", "rn")
 
 
 def s7(spark, d):
@@ -307,8 +306,7 @@ def s5(spark, d):
 def w15(spark, d):
     images = v_images(spark, d).filter("pos % 2 = 0").select("doc", "page", "pos", F.lit("image").alias("kind"), F.substring("src", 1, 50).alias("title"))
     diagrams = v_lines(spark, d).filter("ln % 2 = 1").select("doc", "page", F.col("ln").alias("pos"), F.lit("diagram").alias("kind"), F.substring("line", 1, 50).alias("title"))
-    w = Window.partitionBy("doc").orderBy("page", "pos", "kind")
-    return images.unionByName(diagrams).withColumn("display_index", F.row_number().over(w))
+    return C.numbered(images.unionByName(diagrams), ["doc"], ["page", "pos", "kind"], "display_index")
 
 
 def x13(spark, d):
