@@ -25,10 +25,10 @@ from .common import arrow_rows, prepare
 CHUNK_CHARS = 65_536
 LIMIT = 512
 #: Remembered pretokens of a worker; beyond, it starts anew (bounded memory, same results).
-MOST_REMEMBERED = 300_000
+MOST_REMEMBERED = 600_000
 
 # The pretoken pattern of this kind of tokenizer, over the classes of Unicode.
-_PRETOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+")
+_PRETOKEN = regex.compile(r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\p{White_Space}\p{L}\p{N}]++|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+")
 # Characters whose class is the same in every version of Unicode at hand; the class of others is asked of the library.
 _UNSURE = regex.compile("[^\x00-ɏΑ-ΡΣ-ώЀ-ҁ‐-‧‰-⁞ぁ-ゖ一-龥가-힣]")
 _SYNC = regex.compile(r"(?<=\P{White_Space})\p{White_Space}")
@@ -74,6 +74,22 @@ class Splitter:
         return self.special.split(text), self.special.findall(text)
 
 
+class _Totals(dict):
+    """Totals of pretokens, computed when first asked for; long pretokens aren't kept."""
+
+    def __init__(self, compute) -> None:
+        super().__init__()
+        self.compute = compute
+
+    def __missing__(self, pretoken: str) -> int:
+        n = self.compute(pretoken)
+        if len(pretoken) < 64:
+            if len(self) > MOST_REMEMBERED:
+                self.clear()
+            self[pretoken] = n
+        return n
+
+
 class CountingTransducer(Splitter):
     """Number of tokens of a text."""
 
@@ -81,41 +97,56 @@ class CountingTransducer(Splitter):
         super().__init__(spec)
         model, to_byte = json.loads(spec)["model"], byte_alphabet()
         raw = lambda s: bytes(to_byte[c] for c in s)
-        special = set(self.specials)
-        self.vocabulary = {raw(t) for t in model["vocab"] if t not in special}
-        pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
-        self.ranks = {(raw(a), raw(b)): i for i, (a, b) in enumerate(pairs)}
-        self.longest = max(map(len, self.vocabulary))
-        self.fits: dict[tuple[bytes, bytes], bool] = {}
-        self.totals: dict[str, int] = {}
-
-    def merged(self, piece: bytes) -> list[bytes]:
-        """The encoding of a few bytes, by the merge rules themselves."""
-        parts = [piece[i : i + 1] for i in range(len(piece))]
-        while len(parts) > 1:
-            rank, i = min((self.ranks.get(p, 1 << 60), i) for i, p in enumerate(zip(parts, parts[1:])))
-            if rank == 1 << 60:
-                break
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
-        return parts
-
-    def compatible(self, left: bytes, right: bytes) -> bool:
-        """Whether one token may follow the other: their bytes together encode to just these two."""
+        pairs = [[raw(t) for t in (m.split(" ") if isinstance(m, str) else m)] for m in model["merges"]]
+        # tokens numbered by the step that makes them: single bytes first, then in the order of the merges
+        self.number = {bytes([b]): b for b in range(256)}
+        self.parts_of = [(b, b) for b in range(256)]
+        self.merge: dict[tuple[int, int], int] = {}
+        for left, right in pairs:
+            made = self.number.setdefault(left + right, len(self.parts_of))
+            pair = self.number[left], self.number[right]
+            if made == len(self.parts_of):
+                self.parts_of.append(pair)
+            self.merge.setdefault(pair, made)
+        missing = {raw(t) for t in model["vocab"] if t not in self.specials} ^ set(self.number)
+        if missing:
+            raise ValueError(f"{len(missing)} tokens of the vocabulary don't come from its merges")
+        self.longest = max(map(len, self.number))
+        self.fits: dict[tuple[int, int], bool] = {}
+        self.totals = _Totals(self.total)
+
+    def compatible(self, left: int, right: int) -> bool:
+        """Whether one token may follow the other: no merge across their border comes before the merges that made them.
+
+        The merges of both are undone from the latest on. Whatever then meets at the border must not merge earlier than what was
+        just undone; if nothing is left to undo, the border holds.
+        """
         key = (left, right)
         if (known := self.fits.get(key)) is None:
-            if len(self.fits) > 1_000_000:
+            if len(self.fits) > 2_000_000:
                 self.fits.clear()
-            known = self.fits[key] = self.merged(left + right) == [left, right]
+            known = self.fits[key] = self._border_holds(left, right)
         return known
 
+    def _border_holds(self, left: int, right: int) -> bool:
+        merge, parts, latest = self.merge, self.parts_of, len(self.parts_of) + 1
+        while merge.get((left, right), latest) >= latest:
+            # of equal steps the left one is done first, so the right one is undone first
+            if (left > right or right < 256) and left >= 256:
+                latest, left = left, parts[left][1]
+            elif right >= 256:
+                latest, right = right + 1, parts[right][0]
+            else:
+                return True
+        return False
+
     def emissions(self, pretoken: bytes) -> list[int]:
         """What each transition along a pretoken emits: the change in the number of tokens."""
-        last: list[bytes] = [b""]
-        count = [0]
+        last, count, number = [-1], [0], self.number
         for end in range(1, len(pretoken) + 1):
             for start in range(max(0, end - self.longest), end):
-                token = pretoken[start:end]
-                if token in self.vocabulary and (not start or self.compatible(last[start], token)):
+                token = number.get(pretoken[start:end])
+                if token is not None and (not start or self.compatible(last[start], token)):
                     last.append(token)
                     count.append(count[start] + 1)
                     break
@@ -124,14 +155,7 @@ class CountingTransducer(Splitter):
         return [b - a for a, b in zip(count, count[1:])]
 
     def total(self, pretoken: str) -> int:
-        n = self.totals.get(pretoken)
-        if n is None:
-            if len(self.totals) > MOST_REMEMBERED:
-                self.totals.clear()
-            n = sum(self.emissions(pretoken.encode()))
-            if len(pretoken) < 64:
-                self.totals[pretoken] = n
-        return n
+        return sum(self.emissions(pretoken.encode()))
 
     def between(self, text: str) -> int:
         """Tokens of a text that starts and ends where pretokens do."""
@@ -139,13 +163,8 @@ class CountingTransducer(Splitter):
             return 0
         parts, specials = self.parts(text)
         n = len(specials)
-        known = self.totals
         for p in parts:
-            pretokens = self.pretokens(p)
-            try:
-                n += sum(map(known.__getitem__, pretokens))
-            except KeyError:
-                n += sum(map(self.total, pretokens))
+            n += sum(map(self.totals.__getitem__, self.pretokens(p)))
         return n
 
     def state_map(self, chunk: str) -> tuple:
