@@ -199,7 +199,10 @@ def first_contained(needles: DataFrame, texts: DataFrame, head: int = 40) -> Dat
     """
     k = 12
     probe = needles.withColumn("_head", F.substring("code", 1, head)).filter(F.length("_head") > 0)
-    grams = texts.select("text_id", "body", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("body") - k + 1)), lambda i: F.substring("body", i, F.lit(k)))).alias("_gram")).distinct()
+    # one pass over a text: a lookahead finds the short strings that begin at every place
+    every = F.array_distinct(F.regexp_extract_all("body", F.lit(f"(?s)(?=(.{{{k}}}))"), F.lit(1)))
+    keys = probe.filter(F.length("_head") >= k).select(F.substring("_head", 1, k).alias("_gram")).distinct()
+    grams = texts.select("text_id", F.explode(every).alias("_gram")).join(keys, "_gram", "left_semi").join(texts, "text_id")
     long = probe.filter(F.length("_head") >= k).withColumn("_gram", F.substring("_head", 1, k)).join(grams, "_gram")
     short = probe.filter(F.length("_head") < k).join(texts, F.contains("body", "_head"))
     hits = long.filter(F.contains("body", "_head")).select("needle_id", "text_id").union(short.select("needle_id", "text_id"))
