@@ -67,7 +67,7 @@ def test_chunk_maps_compose_to_the_same_count():
 
 def test_every_token_is_its_own_encoding():
     machine = tokens.CountingTransducer(tokens.specification(PATH))
-    assert all(sum(machine.emissions(v)) == 1 for v in list(machine.vocabulary)[::37])
+    assert all(sum(machine.emissions(v)) == 1 for v in list(machine.number)[::37])
 
 
 def test_packing_holds_every_id_once_without_padding(spark):
