@@ -99,7 +99,7 @@ SQL = {
     "v_html": "SELECT page_id, url, html FROM pages",
     "v_translations": """SELECT source || '/' || (doc_id // 50) || '.md' AS path, doc_id AS chunk_ix, text AS original, CASE doc_id % 4 WHEN 0 THEN text WHEN 1 THEN '  ' || text || chr(10)
    WHEN 2 THEN '한글 번역 ' || text ELSE '한국어' || substr(text, 1, 20) END AS result, ['en','ko','fr'][(doc_id // 4) % 3 + 1] AS lang FROM documents""",
-    "v_images": """SELECT doc, page, ln AS pos, md5(line) AS hash, 'images/page_' || (page % 40) || '_' || substr(md5(line), 1, 2) || '.png' AS src, (length(line) % 60)::DOUBLE AS width, ((page + ln) % 50)::DOUBLE AS height FROM v_lines""",
+    "v_images": """SELECT doc, page, ln::INT AS pos, md5(line) AS hash, 'images/page_' || (page % 40) || '_' || substr(md5(line), 1, 2) || '.png' AS src, (length(line) % 60)::DOUBLE AS width, ((page + ln) % 50)::DOUBLE AS height FROM v_lines""",
     "v_sections": """SELECT 's' || doc_id AS id, doc_id AS pos, doc_id || '. ' || regexp_extract(text, '([^\\s]+)', 1) AS title, text, CASE doc_id % 5 WHEN 0 THEN 'deleted' WHEN 1 THEN 'edit' END AS op, 'New ' || regexp_extract(text, '([^\\s]+)', 1) AS new_title, source FROM documents""",
 }
 NEEDS = {"v_images": ["v_lines"]}
