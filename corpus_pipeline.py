@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import langid, mixing, packing, simhash
+from quire.llm import jaccard, langid, mixing, packing
 from quire.llm.common import shared_dir
 from quire.llm.registry import TOKENIZER
 
@@ -16,8 +16,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: that with the smallest doc_id. Equal rows of it are kept once."""
-    return simhash.representatives(docs)
+    """One document of each group of near copies (five-word shingles, Jaccard 0.8 or more): that with the smallest doc_id. Equal rows of it are kept once."""
+    return jaccard.representatives(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

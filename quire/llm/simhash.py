@@ -198,11 +198,15 @@ def representatives(docs: DataFrame, **options) -> DataFrame:
 
     A null id comes last, so a group without any id keeps one of its rows too. Equal rows are kept once. Columns are those of docs.
     """
-    found = near_duplicates(docs, **options)
+    return chosen(docs, near_duplicates(docs, **options), options.get("text", "text"))
+
+
+def chosen(docs: DataFrame, found: DataFrame, text: str = "text") -> DataFrame:
+    """The rows of docs that stand for their root in found (doc_id, text_hash, root)."""
     best = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("k"))
     keep = written(best.select(F.col("k.doc_id").alias("_id"), F.col("k.text_hash").alias("_hash")), shared_dir(docs.sparkSession), "representatives")
-    same = lambda df, text: F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (text == F.col("_hash"))
-    kept = docs.join(keep, same(docs, F.xxhash64("text")), "left_semi")
+    same = lambda df, hashed: F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (hashed == F.col("_hash"))
+    kept = docs.join(keep, same(docs, F.xxhash64(text)), "left_semi")
     if found.join(keep, same(found, F.col("text_hash")), "left_semi").count() > keep.count():
-        kept = kept.dropDuplicates(["doc_id", "text"])
+        kept = kept.dropDuplicates(["doc_id", text])
     return kept
