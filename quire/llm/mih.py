@@ -27,6 +27,8 @@ SAMPLE_ROWS = 8000
 SAMPLE_QUERIES = 200
 #: Share of the sample's true neighbours that the radius has to take in.
 REACH = 0.96
+#: Share of the vectors whose length the bound of the codes takes in; the longer ones are scanned.
+BOUND_SHARE = 0.99
 
 SCHEMA = "query_id long, vec_id long, score double"
 
@@ -36,6 +38,7 @@ class Codes:
 
     def __init__(self, sample: np.ndarray, longest: float, bits: int = BITS, k: int = K, reach: float = REACH) -> None:
         self.longest, self.dims = longest, sample.shape[1]
+        sample = sample[~self.beyond(sample)]
         rng = np.random.default_rng(5)
         x = self.lifted(sample)
         self.mean = x.mean(0) if len(x) else np.zeros(self.dims + 1)
@@ -58,12 +61,17 @@ class Codes:
             s = sample[some] @ sample.T
             s[some, some] = -np.inf
             near = np.argpartition(-s, k, axis=1)[:, :k]
-            code = self(sample)
-            apart = np.bitwise_count(code[some][:, None, :] ^ code[near]).sum(-1)
+            apart = np.bitwise_count(self(sample[some], query=True)[:, None, :] ^ self(sample)[near]).sum(-1)
             self.radius = int(np.quantile(apart, reach, method="higher"))
 
+    def beyond(self, x: np.ndarray) -> np.ndarray:
+        """Vectors that are longer than the bound: codes don't cover them."""
+        return (x**2).sum(1) > self.longest**2
+
     def lifted(self, x: np.ndarray, query: bool = False) -> np.ndarray:
-        """One more dimension turns the largest inner product into the smallest distance."""
+        """One more dimension turns the largest inner product into the smallest distance; a query's length doesn't matter."""
+        if query:
+            x = x * (self.longest / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300))
         fill = np.zeros(len(x)) if query else np.sqrt(np.maximum(0.0, self.longest**2 - (x**2).sum(1)))
         return np.hstack([x, fill[:, None]])
 
@@ -107,13 +115,18 @@ def block_nearest(candidates: pd.DataFrame, queries: pd.DataFrame, codes: Codes,
     v, q = (np.pad(x, ((0, 0), (0, dims - x.shape[1]))) for x in (v, q))
     ids, qids = candidates["id"].to_numpy(np.int64), queries["id"].to_numpy(np.int64)
     index, found = MultiIndex(codes(v)), []
+    long = codes.beyond(v)  # scored with every query
     for a in range(0, len(q), 128):
         todo, radius = np.arange(a, min(a + 128, len(q))), codes.radius
         while len(todo):
             i, j = index.within(codes(q[todo], query=True), radius)
+            coded = ~long[j]
+            at, all_long = np.arange(len(todo)), np.flatnonzero(long)
+            i = np.concatenate([i[coded], np.repeat(at, len(all_long))])
+            j = np.concatenate([j[coded], np.tile(all_long, len(at))])
             other = qids[todo][i] != ids[j]
             i, j = i[other], j[other]
-            enough = np.bincount(i, minlength=len(todo)) >= k
+            enough = np.bincount(i[~long[j]], minlength=len(todo)) >= k
             if radius >= codes.turn.shape[1]:
                 enough[:] = True
             use = enough[i]
@@ -157,10 +170,10 @@ def nearest(vectors: DataFrame, k: int = K, query_step: int = QUERY_STEP, candid
     prepare(spark)
     rows = written(packed_floats(vectors), shared_dir(spark), "vectors")
     queries = rows.filter(F.col("id") % query_step == 0)
-    n, n_q, longest = *rows.agg(F.count(F.lit(1)), F.count(F.when(F.col("id") % query_step == 0, 1)), F.max("norm")).first(),
+    n, n_q, longest = *rows.agg(F.count(F.lit(1)), F.count(F.when(F.col("id") % query_step == 0, 1)), F.percentile_approx("norm", BOUND_SHARE, 10_000)).first(),
     share = int(min(1.0, sample_rows / max(1, n)) * (1 << 30))
     sample = rows.filter(F.pmod(F.xxhash64("id", F.lit(13)), F.lit(1 << 30)) < share).orderBy("id").limit(2 * sample_rows).select("payload").collect()
-    codes = spark.sparkContext.broadcast(Codes(stacked([r.payload for r in sample]), longest or 1.0, k=k))
+    codes = spark.sparkContext.broadcast(Codes(stacked([r.payload for r in sample]), (longest or 1.0) * (1 + 1e-9), k=k))
     block = lambda key, c, q: block_nearest(c, q, codes.value, k)
     grid = block_grid(rows.drop("norm"), queries.drop("norm"), n, n_q, block, SCHEMA, candidate_block, query_block)
     return best_per_query(grid.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")), "score", k)
