@@ -1,19 +1,18 @@
 """Mixing sources to target weights by Sainte-Laguë apportionment of equal-token blocks.
 
 Targets are a water level over the sources. Blocks go to sources, and a source's blocks to its shards, by the highest quotients
-target / (2 quota + 1), which is rounding to nearest at one common divisor. In a shard the documents stand in seeded order on a
-ring of words; a quota is so many whole rounds, and an arc of whole blocks from a seeded place.
+target / (2 quota + 1). In a shard the documents stand in seeded order on a ring of words, which is cut into blocks of equal length
+(to a word); a quota is so many whole rounds, and for the rest of it whole blocks that a seeded permutation puts first.
 """
 
 from __future__ import annotations
 
 import re
-from itertools import islice
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 
 from .common import prepare, shared_dir, words_of, written
 
@@ -24,6 +23,11 @@ MOST_ROUNDS = 2.0
 SHARD_ROWS = 2000
 MOST_BLOCK_WORDS = 256
 SEED = 7
+#: Passes over the parties, and sections that each cuts the bracket of the scale into.
+PASSES = 4
+SECTIONS = 64
+#: Steps of the seeded permutations of blocks: primes, so that they are coprime to any smaller number of blocks.
+PRIMES = (2147483647, 2147483629, 2147483587, 2147483579)
 
 _WORD = re.compile("[^\x20\x09-\x0d]+")
 
@@ -51,107 +55,121 @@ def targets(sources: DataFrame, weights=WEIGHTS, share: float = SHARE, most: flo
     return s.withColumn("level", level).select("source", "source_size", F.least("ceiling", F.coalesce(F.col("level") * F.col("weight"), F.col("ceiling"))).alias("target"))
 
 
-def apportion(groups: DataFrame, total: F.Column, votes: str, most: str, by: list[str], order: list, name: str) -> DataFrame:
-    """Sainte-Laguë: adds `name`, integer seats that add up to `total` in each group of `by`, none above `most`.
+def apportion(parties: DataFrame, votes: str, most: str, total: str, by: list[str], order: list[str], name: str) -> DataFrame:
+    """Sainte-Laguë: adds `name`, integer seats that add up to `total` in each group of `by` where the ceilings allow, none above `most`.
 
-    A seat's quotient is votes / (2 seats + 1). With one divisor all seats but a few go by rounding to nearest; the few are the
-    next highest quotients (or the last lowest), so no seat is listed.
+    The next seat goes to the highest quotient votes / (2 seats + 1) of a party below its ceiling, ties to the first in `order`. At a
+    scale x a party has min(most, floor((votes x + 1) / 2)) seats, the number of its quotients down to 1 / x. Passes over all parties
+    narrow the scale between one that gives too few seats and one that gives enough; what few quotients lie between are ranked. A party
+    without votes gets none. Every pass is an aggregate; only the quotients of the last bracket are ranked in one group.
     """
-    w = Window.partitionBy(*by) if by else Window.partitionBy()
-    g = groups.withColumn("_total", total).withColumn("_votes", F.sum(votes).over(w))
-    exact = F.when(F.col("_votes") > 0, F.col(votes) * F.col("_total") / F.col("_votes")).otherwise(F.lit(0.0))
-    g = g.withColumn("_seats", F.least(F.floor(exact + 0.5).cast("long"), F.col(most)))
-    for step in range(2):  # the second pass only has work where ceilings took more than one seat each
-        g = g.withColumn("_left", F.col("_total") - F.sum("_seats").over(w))
-        up = F.when(F.col("_seats") < F.col(most), F.col(votes) / (2 * F.col("_seats") + 1)).otherwise(F.lit(-1.0))
-        down = F.when(F.col("_seats") > 0, F.col(votes) / (2 * F.col("_seats") - 1)).otherwise(F.lit(float("inf")))
-        g = g.withColumn("_up", F.row_number().over(w.orderBy(up.desc(), *order))).withColumn("_down", F.row_number().over(w.orderBy(down, *[o.desc() for o in order])))
-        g = g.withColumn("_open", up >= 0)
-        more = F.when((F.col("_left") > 0) & F.col("_open") & (F.col("_up") <= F.col("_left")), 1).when((F.col("_left") < 0) & (F.col("_seats") > 0) & (F.col("_down") <= -F.col("_left")), -1).otherwise(0)
-        g = g.withColumn("_seats", F.col("_seats") + more)
-    return g.withColumn(name, F.col("_seats").cast("long")).drop("_total", "_votes", "_seats", "_left", "_up", "_down", "_open")
+    key = by or ["_all"]
+    folder = shared_dir(parties.sparkSession)
+    rows = parties if by else parties.withColumn("_all", F.lit(0))
+    v, cap = F.col(votes).cast("double"), F.when(F.col(votes) > 0, F.col(most)).otherwise(0).cast("long")
+    rows = written(rows.withColumns({"_v": v, "_cap": cap}), folder, "parties")
+
+    def seats(x: Column) -> Column:
+        return F.when(F.col("_v") > 0, F.least(F.col("_cap"), F.floor((F.col("_v") * x + 1) / 2))).otherwise(0).cast("long")
+
+    # below low no party has a seat; at high all have as many as they may
+    scale = rows.filter("_cap > 0").groupBy(*key).agg((0.5 / F.max("_v")).alias("_low"), F.max(2 * (F.col("_cap") + 1) / F.col("_v")).alias("_high"))
+    for i in range(PASSES):
+        step = F.col("_low") * F.pow(F.col("_high") / F.col("_low"), F.col("_i") / SECTIONS)
+        tried = scale.withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(SECTIONS)))).withColumn("_x", F.when(F.col("_i") == 0, F.col("_low")).when(F.col("_i") == SECTIONS, F.col("_high")).otherwise(step))
+        counted = rows.join(tried, key).groupBy(*key, "_i", "_x").agg((F.sum(seats(F.col("_x"))) >= F.max(total)).alias("_ok"))
+        low = F.max(F.when(~F.col("_ok") | (F.col("_i") == 0), F.col("_x"))).alias("_low")
+        high = F.min(F.when(F.col("_ok") | (F.col("_i") == SECTIONS), F.col("_x"))).alias("_high")
+        scale = written(counted.groupBy(*key).agg(low, high), folder, f"scale{i}")
+    named = rows.join(scale, key, "left").withColumns({"_sure": F.coalesce(seats(F.col("_low")), F.lit(0)), "_may": F.coalesce(seats(F.col("_high")), F.lit(0))})
+    left = named.groupBy(*key).agg((F.max(total) - F.sum("_sure")).alias("_left"))
+    open_ = named.filter("_may > _sure").select(*key, *order, "_v", F.explode(F.sequence("_sure", F.col("_may") - 1)).alias("_s")).join(left, key)
+    w = Window.partitionBy(*key).orderBy((F.col("_v") / (2 * F.col("_s") + 1)).desc(), *order)
+    more = open_.withColumn("_k", F.row_number().over(w)).filter("_k <= _left").groupBy(*key, *order).agg(F.count(F.lit(1)).alias("_more"))
+    out = named.join(more, [*key, *order], "left").withColumn(name, F.col("_sure") + F.coalesce("_more", F.lit(0)))
+    return out.select(*parties.columns, name)
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST_ROUNDS, shard_rows: int = SHARD_ROWS, seed: int = SEED) -> DataFrame:
-    """(doc_id, size, source_size, target, taken) for every row, with where on its shard's ring it stands.
+    """(doc_id, size, source_size, target, taken) for every row, with what of it is taken.
 
-    Further columns: source, text_hash, whole (whole rounds), at (place on the ring), ring (its length), arc_from and arc
-    (the arc that is taken once more). A null text has size 0 and takes nothing; a null source is one source, weighted last;
-    repeated rows and null ids are rows like any other; an empty table gives no rows; other columns are not read.
+    Further columns: source, text_hash, whole (how often all of it is taken) and spans (words a to b that are taken once more). A null
+    text has size 0 and takes nothing; a null source is one source, weighted last; repeated rows and null ids are rows like any other;
+    an empty table gives no rows; other columns are not read.
     """
     spark = docs.sparkSession
     folder = shared_dir(spark)
     read = docs.select(F.col("doc_id").cast("long"), "source", F.xxhash64("text").alias("text_hash"), F.size(words_of(F.col("text"))).cast("long").alias("size"))
     sized = written(read, folder, "sized")
     n_shards = F.greatest(F.lit(1), F.ceil(F.col("rows") / shard_rows)).cast("int")
-    sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("rows"))
+    sources = written(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("rows")), folder, "sources")
     aimed = targets(sources.select("source", "source_size"), weights, share, most)
     aimed = aimed.join(sources.select(F.col("source").alias("s"), n_shards.alias("shards")), F.col("source").eqNullSafe(F.col("s"))).drop("s")
     # one size of block for all: small enough that the smallest target is met to a part in a thousand
     least = F.min(F.when(F.col("target") >= 1, F.col("target"))).over(Window.partitionBy())
-    aimed = aimed.withColumn("block", F.greatest(F.lit(1), F.least(F.lit(MOST_BLOCK_WORDS), F.floor(least / 1000))).cast("long"))
-    aimed = aimed.withColumn("most_blocks", F.floor(F.col("source_size") * most / F.col("block")).cast("long"))
-    all_rows = Window.partitionBy()
-    blocks = F.least(F.floor(F.sum("target").over(all_rows) / F.col("block") + 0.5), F.sum("most_blocks").over(all_rows)).cast("long")
-    name = [F.col("source").isNull(), F.col("source")]
-    quotas = written(apportion(aimed, blocks, "target", "most_blocks", [], name, "quota"), folder, "quotas")
+    block = F.greatest(F.lit(1), F.least(F.lit(MOST_BLOCK_WORDS), F.floor(F.coalesce(least, F.lit(0)) / 1000))).cast("long")
+    all_target = F.sum("target").over(Window.partitionBy())
+    aimed = written(aimed.withColumns({"block": block, "blocks": F.floor(all_target / block + 0.5).cast("long"), "id": F.xxhash64(F.lit(seed), F.col("source").isNull(), "source")}), folder, "aimed")
+    known = aimed.select(F.col("source").alias("s"), "id", "shards", "source_size", "target", "block", "blocks")
+    shard = F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id", "text_hash"), F.col("shards")).cast("int")
+    dealt = sized.join(known, F.col("source").eqNullSafe(F.col("s"))).drop("s").withColumn("shard", shard)
+    dealt = written(dealt.select("doc_id", "source", "id", "text_hash", "size", "source_size", "target", "shard", "block", "blocks"), folder, "dealt")
+    rings = dealt.groupBy("id", "source", "shard", "target", "block", "blocks").agg(F.sum("size").alias("ring"))
+    n_blocks = F.when(F.col("ring") > 0, F.greatest(F.lit(1), F.floor(F.col("ring") / F.col("block") + 0.5))).otherwise(0).cast("long")
+    rings = written(rings.withColumn("n_blocks", n_blocks).withColumn("most_blocks", F.floor(F.col("n_blocks") * most).cast("long")), folder, "rings")
+    by_source = rings.groupBy("id", "source", "target", "blocks").agg(F.sum("most_blocks").alias("source_most"))
+    quotas = apportion(by_source.withColumn("unnamed", F.col("source").isNull()), "target", "source_most", "blocks", [], ["unnamed", "source"], "quota")
+    quotas = written(quotas.select("id", "quota"), folder, "quotas")
+    seated = apportion(rings.join(quotas, "id"), "ring", "most_blocks", "quota", ["id"], ["shard"], "seats")
+    n = F.greatest(F.col("n_blocks"), F.lit(1))
+    prime = F.element_at(F.array(*[F.lit(x) for x in PRIMES]), (F.pmod(F.xxhash64(F.lit(seed + 2), "id", "shard"), F.lit(len(PRIMES))) + 1).cast("int"))
+    drawn = {"whole": F.floor(F.col("seats") / n), "some": F.pmod(F.col("seats"), n), "turn": F.pmod(prime, n), "from": F.pmod(F.xxhash64(F.lit(seed + 3), "id", "shard"), n)}
+    seated = written(seated.select("id", "shard", "ring", "n_blocks", *[c.cast("long").alias(k) for k, c in drawn.items()]), folder, "seated")
+    placed = dealt.join(seated, ["id", "shard"])
     key = F.xxhash64(F.lit(seed), "doc_id", "text_hash")
-    small = quotas.select(F.col("source").alias("s"), "shards", "source_size", "target", "block", "quota")
-    dealt = sized.join(small, F.col("source").eqNullSafe(F.col("s"))).drop("s").withColumn("shard", F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id", "text_hash"), F.col("shards")).cast("int"))
-    dealt = written(dealt.select("doc_id", "source", "text_hash", "size", "source_size", "target", "shard"), folder, "dealt")
-    rings = dealt.groupBy("source", "shard").agg(F.sum("size").alias("ring"))
-    rings = rings.join(small, F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    rings = rings.withColumn("ring_most", F.floor(F.col("ring") * most / F.col("block")).cast("long")).withColumn("votes", F.col("ring").cast("double"))
-    rings = apportion(rings, F.col("quota"), "votes", "ring_most", ["source"], [F.col("shard")], "seats")
-    words = F.col("seats") * F.col("block")
-    rings = rings.withColumn("whole", F.when(F.col("ring") > 0, F.floor(words / F.col("ring"))).otherwise(0).cast("long"))
-    rings = rings.withColumn("arc", words - F.col("whole") * F.col("ring"))
-    turn = F.pmod(F.xxhash64(F.lit(seed + 2), "source", "shard"), F.greatest(F.col("ring"), F.lit(1)))
-    rings = rings.select(F.col("source").alias("s"), F.col("shard").alias("h"), "ring", "whole", "arc", turn.alias("arc_from"))
-    placed = dealt.join(rings, F.col("source").eqNullSafe(F.col("s")) & (F.col("shard") == F.col("h"))).drop("s", "h")
-    w = Window.partitionBy("source", "shard").orderBy(key, "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    w = Window.partitionBy("id", "shard").orderBy(key, "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     placed = placed.withColumn("at", F.coalesce(F.sum("size").over(w), F.lit(0)))
-    end, arc_end = F.col("at") + F.col("size"), F.col("arc_from") + F.col("arc")
-    overlap = lambda by: F.greatest(F.lit(0), F.least(end + by, arc_end) - F.greatest(F.col("at") + by, F.col("arc_from")))
-    taken = F.col("whole") * F.col("size") + overlap(F.lit(0)) + overlap(F.col("ring"))
-    return placed.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), "source", "text_hash", "whole", "at", "ring", "arc_from", "arc")
-
-
-@F.pandas_udf(StringType())
-def _words_between(text: pd.Series, a: pd.Series, b: pd.Series) -> pd.Series:
-    """Words a to b of each text, with the white space between them."""
+    # blocks first to last that a document lies in; block j begins at word j * ring div n_blocks
+    placed = placed.withColumn("first", F.expr("((at + 1) * n_blocks - 1) div greatest(ring, 1)")).withColumn("last", F.expr("((at + size) * n_blocks - 1) div greatest(ring, 1)"))
+    # a run of selected blocks goes from the first that has none before it to the next that has none after it
+    drawn_ = lambda j: f"(({j}) * turn + from) % n_blocks < some"
+    ends = lambda edge, side: f"filter(if(size > 0 and some > 0, sequence(first, last), array()), j -> {drawn_('j')} and (j = {edge} or not {drawn_('j' + side)}))"
+    spans = f"""zip_with({ends('first', ' - 1')}, {ends('last', ' + 1')}, (i, j) -> struct(greatest(i * ring div n_blocks - at, 0) as a, least((j + 1) * ring div n_blocks - at, size) as b))"""
+    placed = placed.withColumn("spans", F.expr(spans))
+    taken = F.col("whole") * F.col("size") + F.aggregate("spans", F.lit(0).cast("long"), lambda acc, x: acc + x.b - x.a)
+    return placed.select("doc_id", "size", "source_size", "target", taken.alias("taken"), "source", "text_hash", "whole", "spans")
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def _parts(text: pd.Series, spans: pd.Series) -> pd.Series:
+    """Words a to b of a text for each of its spans, with the white space between them."""
     out = []
-    for t, i, j in zip(text, a, b):
-        at = [m.span() for m in islice(_WORD.finditer(t), i, j)]
-        out.append(t[at[0][0] : at[-1][1]])
+    for t, wanted in zip(text, spans):
+        at = [m.span() for m in _WORD.finditer(t)] if len(wanted) else []
+        out.append([t[at[x["a"]][0] : at[x["b"] - 1][1]] for x in wanted])
     return pd.Series(out, dtype=object)
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The mix as documents: a document comes once for each whole round, and its words on the arc once more.
+    """The mix as documents: a document comes once for each whole round, and once more for each run of selected blocks in it.
 
     Columns are those of docs, with text and n_chars of what is taken. White space between words that are taken stays. Rows that
-    are equal in id and text are told apart by a number, so that each takes its own part.
+    are equal in id, text and source are told apart by a number in the order of all their columns, so that each takes its own part.
     """
     prepare(docs.sparkSession)
+    folder = shared_dir(docs.sparkSession)
     plan = mix(docs, **options).filter("taken > 0")
-    plan = plan.withColumn("_twin", F.row_number().over(Window.partitionBy("doc_id", "text_hash", "source").orderBy("at")))
-    plan = plan.select("doc_id", "text_hash", "source", "_twin", "size", "whole", "at", "ring", "arc_from", "arc")
-    plan = plan.select(*[F.col(c).alias(f"_{c.lstrip('_')}") for c in plan.columns])
+    plan = plan.withColumn("twin", F.row_number().over(Window.partitionBy("doc_id", "text_hash", "source").orderBy("taken", "spans")))
+    plan = written(plan.select(*[F.col(c).alias(f"_{c}") for c in ("doc_id", "text_hash", "source", "twin", "size", "whole", "spans")]), folder, "plan")
     rows = docs.withColumn("_doc", F.col("doc_id").cast("long")).withColumn("_hash", F.xxhash64("text"))
-    rows = rows.withColumn("_n", F.row_number().over(Window.partitionBy("_doc", "_hash", "source").orderBy(F.lit(0))))
-    joined = rows.join(plan, F.col("_doc").eqNullSafe(F.col("_doc_id")) & (F.col("_hash") == F.col("_text_hash")) & rows["source"].eqNullSafe(F.col("_source")) & (F.col("_n") == F.col("_twin")))
-    arc_end = F.col("_arc_from") + F.col("_arc")
-    spans = []
-    for by in (F.lit(0), F.col("_ring")):
-        a, b = F.greatest(F.col("_at") + by, F.col("_arc_from")), F.least(F.col("_at") + by + F.col("_size"), arc_end)
-        spans.append(F.struct((a - F.col("_at") - by).cast("int").alias("a"), (b - F.col("_at") - by).cast("int").alias("b")))
-    spans = F.filter(F.array(*spans), lambda x: x.b > x.a)
-    whole = F.array_repeat(F.struct(F.lit(0).alias("a"), F.col("_size").cast("int").alias("b")), F.col("_whole").cast("int"))
-    each = joined.withColumn("_span", F.explode(F.concat(whole, spans)))
-    part = _words_between("text", "_span.a", "_span.b")
-    text = F.when((F.col("_span.a") == 0) & (F.col("_span.b") == F.col("_size")), F.col("text")).otherwise(part)
-    out = each.withColumn("text", text)
+    same = F.col("_doc").eqNullSafe(F.col("_doc_id")) & (F.col("_hash") == F.col("_text_hash")) & rows["source"].eqNullSafe(F.col("_source"))
+    if not plan.filter("_twin > 1").isEmpty():  # texts are only dealt out for a number where rows are equal
+        w = Window.partitionBy("_doc", "_hash", "source").orderBy(F.xxhash64(*docs.columns))
+        rows = rows.withColumn("_n", F.row_number().over(w))
+        same = same & (F.col("_n") == F.col("_twin"))
+    joined = rows.join(plan, same)
+    taken = F.concat(F.array_repeat("text", F.col("_whole").cast("int")), _parts("text", "_spans"))
+    out = joined.select(*[c for c in docs.columns if c != "text"], F.explode(taken).alias("text"))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)

@@ -184,17 +184,38 @@ def test_mixing_meets_its_targets(spark):
     assert words == {d: n for d, n in taken.items() if n}
 
 
-@pytest.mark.parametrize("votes,seats,most", [([5, 3, 1], 7, 9), ([1, 1, 1, 1], 2, 9), ([53, 24, 23], 10, 9), ([10, 10, 1], 9, 4), ([0.0, 4], 3, 9)])
-def test_apportionment_is_sainte_lague(spark, votes, seats, most):
-    from pyspark.sql import functions as F
-
-    df = spark.createDataFrame([(i, float(v), most) for i, v in enumerate(votes)], "i int, v double, most long")
-    got = [r.n for r in mixing.apportion(df, F.lit(seats), "v", "most", [], [F.col("i")], "n").orderBy("i").collect()]
-    want = [0] * len(votes)
-    for _ in range(seats):
-        i = max(range(len(votes)), key=lambda i: (votes[i] / (2 * want[i] + 1) if want[i] < most else -1, -i))
-        want[i] += 1
-    assert got == want
+CASES = [([5, 3, 1], 7, 9), ([1, 1, 1, 1], 2, 9), ([53, 24, 23], 10, 9), ([10, 10, 1], 9, 4), ([0.0, 4], 3, 9), ([97.6] + [0.12] * 20, 100, 1000),
+         ([1000] + [4] * 60, 100, 1000), ([100, 100, 1, 1, 1, 1], 60, 20), ([3, 2], 30, 4), ([7.5], 0, 3), ([1e12, 1, 1], 50, 48)]
+
+
+def test_apportionment_is_sainte_lague(spark):
+    """Against the plain loop over highest quotients: giants, many small parties, ceilings, ties, random votes; all groups at once."""
+    rnd = random.Random(3)
+    cases = CASES + [([rnd.choice([1, 10, 1000]) * rnd.random() for _ in range(rnd.randint(1, 60))], rnd.randint(0, 400), rnd.choice([3, 20, 1000])) for _ in range(40)]
+    rows = [(g, i, float(v), most, seats) for g, (votes, seats, most) in enumerate(cases) for i, v in enumerate(votes)]
+    df = spark.createDataFrame(rows, "g int, i int, v double, most long, total long")
+    got = {(r.g, r.i): r.n for r in mixing.apportion(df, "v", "most", "total", ["g"], ["i"], "n").collect()}
+    for g, (votes, seats, most) in enumerate(cases):
+        want = [0] * len(votes)
+        for _ in range(seats):
+            i = max(range(len(votes)), key=lambda i: (votes[i] / (2 * want[i] + 1) if want[i] < most and votes[i] > 0 else -1, -i))
+            if votes[i] > 0 and want[i] < most:
+                want[i] += 1
+        assert [got[g, i] for i in range(len(votes))] == want, cases[g]
+    one = mixing.apportion(df.filter("g = 5").drop("g"), "v", "most", "total", [], ["i"], "n").collect()
+    assert sorted((r.i, r.n) for r in one if r.n) == [(0, 100)]
+
+
+def test_mix_takes_runs_of_whole_blocks(spark):
+    """Runs that don't reach an end of their document hold whole blocks; runs don't touch."""
+    rows = [(i, " ".join(["w"] * 5000), "en", "ab"[i % 2]) for i in range(8)]
+    inner = set()
+    for r in mixing.mix(documents(spark, rows), shard_rows=2).collect():
+        assert all(x.b < y.a for x, y in zip(r.spans, r.spans[1:])) and all(x.a < x.b for x in r.spans)
+        assert r.taken == r.whole * r.size + sum(x.b - x.a for x in r.spans)
+        inner |= {x.b - x.a for x in r.spans if 0 < x.a and x.b < r.size}
+    block = min(inner, default=1)
+    assert all(n % block <= n // block or block - n % block <= n // block for n in inner)
 
 
 VECTORS = "vec_id long, embedding array<float>, label int, score string"
