@@ -1,23 +1,23 @@
-"""Near copies by exact Jaccard similarity of five-word shingles.
+"""Near copies: SimHash candidates, banded minima for what lies beyond their radius, and an exact check of every link.
 
-Two sets of similarity t or more share at least t of either set. So if the shingles of all sets are put in one order, the first
-n - ceil(t n) + 1 of each have one in common: only sets that meet in such a prefix are compared, and none is missed. Any order
-is right; with the shingles that a sample finds often at its end, few sets meet. Every link is checked on the whole sets.
+Fingerprints of five-word shingles are linked through the Gray-order index of `simhash`. At a Jaccard similarity of 0.8 two
+fingerprints differ in about ten of 64 bits, which no radius of that index reaches in bounded work, so that sets which share a
+band of minima under random orders are candidates too. A pair of similarity 0.8 shares none of the bands with probability
+(1 - 0.8 ** ROWS) ** BANDS = 0.000006. Every candidate is checked on the two whole sets before it is a link.
 
-Groups of many sets around one shingle aren't paired up at once: some pivots of each are compared with all, and pairs are only
-made of those that the links so far leave apart.
+A bucket isn't paired up at once: its sets are compared with some pivots of its smallest parts, linked parts merge, and more pivots
+follow only where a bucket is still apart. A pivot that was compared with the whole bucket leaves it; no pair of a bucket is skipped.
 """
 
 from __future__ import annotations
 
-from itertools import accumulate
-
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import simhash
 from .common import arrow_rows, prepare, shared_dir, utf8, written
 from .graph import components
 from .simhash import SEED, chosen
@@ -25,78 +25,75 @@ from .simhash import SEED, chosen
 SHINGLE_WORDS = 5
 #: Similarity of a link, as a fraction.
 SIMILAR = (4, 5)
-#: Documents that tell which shingles are frequent; that only orders the shingles.
-SAMPLE_ROWS = 10_000
-SAMPLE_COUNT = 4
-MOST_FREQUENT = 100_000
-#: Groups up to so many sets are paired up at once; larger ones by so many pivots a round, in so many rounds.
-SMALL_GROUP = 16
-PIVOTS = 8
-ROUNDS = 2
+BANDS = 40
+ROWS = 6
+#: Pivots of a bucket in the first round; each further round takes so many times as many.
+PIVOTS = 4
+
+_TURNS = np.random.default_rng(SEED).integers(1 << 63, size=BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def shingles(text: bytes | None, shingle_words: int = SHINGLE_WORDS) -> np.ndarray:
-    """Distinct hashes of the shingles, sorted; a text of fewer words is one shingle. Words as in the fingerprints of simhash."""
-    words = (text or b"").lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    joined = b" ".join(words)
-    ends = list(accumulate(len(w) + 1 for w in words))
-    digest = xxhash.xxh64_intdigest
-    n = max(1, len(words) - shingle_words + 1)
-    hashes = (digest(joined[a : b - 1], SEED) for a, b in zip([0, *ends], ends[min(shingle_words, len(words)) - 1 :]))
-    return np.unique(np.fromiter(hashes, np.uint64, n))
+    """Distinct hashes of the shingles, sorted."""
+    return np.unique(simhash.shingle_hashes(text, shingle_words))
 
 
-def prefix(found: np.ndarray, frequent: np.ndarray, rank: np.ndarray, similar: tuple[int, int] = SIMILAR) -> np.ndarray:
-    """The first n - ceil(t n) + 1 shingles: those not among the frequent by hash, then the frequent ones by rank."""
-    n = len(found)
-    if not n:
-        return found
-    late = np.zeros(n, np.int64)
-    if len(frequent):
-        at = np.minimum(np.searchsorted(frequent, found), len(frequent) - 1)
-        late = np.where(frequent[at] == found, rank[at] + 1, 0)
-    return found[np.lexsort((found, late))][: n + (-similar[0] * n // similar[1]) + 1]
+def bands(found: np.ndarray) -> np.ndarray:
+    """One key per band of minima; none for an empty set. Long texts are read in parts."""
+    if not len(found):
+        return np.zeros(0, np.uint64)
+    low = np.full(len(_TURNS), 2**64 - 1, np.uint64)
+    for a in range(0, len(found), 512):
+        np.minimum(low, (found[a : a + 512, None] * _TURNS).min(0), out=low)
+    return np.array([xxhash.xxh64_intdigest(b.tobytes(), i) for i, b in enumerate(low.reshape(BANDS, ROWS))], np.uint64)
 
 
-def _frequent(docs: DataFrame, text: str, shingle_words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that are frequent in a sample, sorted by hash, with their rank (the most frequent is last)."""
+def _sets(docs: DataFrame, text: str, shingle_words: int) -> DataFrame:
+    """(doc_id, text_hash, node, n, fp, bands): node is a hash of the shingle set, n its size."""
 
     def rows(b: dict) -> dict:
-        found = [shingles(t, shingle_words) for t in utf8(b["text"])]
-        return {"h": np.concatenate(found).view(np.int64)}
-
-    share = int(min(1.0, SAMPLE_ROWS / max(1, docs.count())) * (1 << 30))
-    sample = docs.select(F.col(text).alias("text")).filter(F.pmod(F.xxhash64("text", F.lit(17)), F.lit(1 << 30)) < share)
-    counts = sample.mapInArrow(arrow_rows(rows, pa.schema([("h", pa.int64())])), "h long").groupBy("h").count()
-    top = counts.filter(F.col("count") >= SAMPLE_COUNT).orderBy(F.col("count").desc(), "h").limit(MOST_FREQUENT).collect()
-    h = np.array([r.h for r in top], np.int64).view(np.uint64)
-    order = np.argsort(h)
-    return h[order], np.arange(len(h))[::-1][order]
+        node, size, fp, keys = [], [], [], []
+        for t in utf8(b["text"]):
+            every = simhash.shingle_hashes(t, shingle_words)
+            found = np.unique(every)
+            node.append(xxhash.xxh64_intdigest(found.tobytes(), SEED))
+            size.append(len(found))
+            fp.append(simhash.majority(every))
+            keys.append(bands(found).view(np.int64))
+        signed = lambda x: np.array(x, np.uint64).view(np.int64)
+        return {"doc_id": b["doc_id"], "text_hash": b["text_hash"], "node": signed(node), "n": size, "fp": signed(fp), "bands": keys}
+
+    schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("fp", pa.int64()), ("bands", pa.list_(pa.int64()))])
+    read = docs.select(F.col("doc_id").cast("long"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"))
+    return read.mapInArrow(arrow_rows(rows, schema), "doc_id long, text_hash long, node long, n long, fp long, bands array<long>")
 
 
-def _sets(docs: DataFrame, text: str, shingle_words: int, similar: tuple[int, int]) -> DataFrame:
-    """(doc_id, text_hash, node, n, prefix): node is a hash of the shingle set, n its size."""
-    spark = docs.sparkSession
-    frequent = spark.sparkContext.broadcast(_frequent(docs, text, shingle_words))
+def _by_fingerprint(sets: DataFrame, folder: str, radius: int) -> DataFrame:
+    """Candidate pairs (u, v) by SimHash: sets of one fingerprint, and sets whose fingerprints the Gray-order index links."""
+    classes = written(sets.groupBy("fp").agg(F.min("node").alias("node")), folder, "classes")
+    same = sets.select("fp", F.col("node").alias("u")).join(classes, "fp").select("u", F.col("node").alias("v"))
+    near = simhash.links(classes.select("fp"), folder, radius)
+    side = lambda fp, node: classes.select(F.col("fp").alias(fp), F.col("node").alias(node))
+    linked = near.withColumnsRenamed({"u": "x", "v": "y"}).join(side("x", "u"), "x").join(side("y", "v"), "y").select("u", "v")
+    return same.union(linked).filter("u <> v").distinct()
 
-    def rows(b: dict) -> dict:
-        found = [shingles(t, shingle_words) for t in utf8(b["text"])]
-        node = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in found], np.uint64).view(np.int64)
-        heads = [prefix(s, *frequent.value, similar).view(np.int64) for s in found]
-        return {"doc_id": b["doc_id"], "text_hash": b["text_hash"], "node": node, "n": [len(s) for s in found], "prefix": heads}
 
-    schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("prefix", pa.list_(pa.int64()))])
-    read = docs.select(F.col("doc_id").cast("long"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"))
-    return read.mapInArrow(arrow_rows(rows, schema), "doc_id long, text_hash long, node long, n long, prefix array<long>")
+def _checked(pairs: DataFrame, sets: DataFrame, docs: DataFrame, text: str, shingle_words: int, similar: tuple[int, int], folder: str, name: str) -> DataFrame:
+    """The pairs (u, v) whose whole sets are similar. Only texts of sets in a pair are hashed and moved on."""
+    pairs = written(pairs, folder, f"{name}-pairs")
+    asked = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
+    row = F.min(F.struct("doc_id", "text_hash")).alias("k")
+    need = sets.join(asked, "node", "left_semi").groupBy("node").agg(row).select("node", F.col("k.doc_id").alias("_id"), F.col("k.text_hash").alias("_hash"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("_doc"), F.col(text).alias("text"), F.xxhash64(text).alias("_text"))
+    texts = texts.join(need, F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_hash"))).select("node", "text")
 
+    def held(b: dict) -> dict:
+        return {"node": b["node"], "held": [shingles(t, shingle_words).astype("<u8").tobytes() for t in utf8(b["text"])]}
 
-def _checked(pairs: DataFrame, whole: DataFrame, similar: tuple[int, int], folder: str, name: str) -> DataFrame:
-    """The pairs (u, v) whose whole sets are similar; only sets of a pair are moved."""
-    pairs = written(pairs, folder, f"{name}-pairs")
-    asked = written(pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct(), folder, f"{name}-asked")
-    whole = whole.join(asked, "node", "left_semi")
+    hashed = texts.mapInArrow(arrow_rows(held, pa.schema([("node", pa.int64()), ("held", pa.binary())])), "node long, held binary")
+    whole = written(hashed, folder, f"{name}-whole")
+    if whole.count() > need.count():  # equal rows
+        whole = written(whole.dropDuplicates(["node"]), folder, f"{name}-once")
 
     def rows(b: dict) -> dict:
         keep = []
@@ -112,30 +109,7 @@ def _checked(pairs: DataFrame, whole: DataFrame, similar: tuple[int, int], folde
     return joined.mapInArrow(arrow_rows(rows, pa.schema([("u", pa.int64()), ("v", pa.int64())])), "u long, v long")
 
 
-def _enough(shared: Column, similar: tuple[int, int]) -> Column:
-    """Whether sets of nu and nv shingles may be similar if their prefixes share that many.
-
-    A shared shingle that isn't in both prefixes comes after the end of one of them, so there are less than ceil(t n) of these, n
-    being the larger size.
-    """
-    p, q = similar
-    most = shared + F.ceil(F.greatest("nu", "nv") * p / q) - 1
-    return most * (p + q) >= (F.col("nu") + F.col("nv")) * p
-
-
-def _often_met(small: DataFrame, similar: tuple[int, int]) -> DataFrame:
-    """Distinct pairs (u, v) that may be similar by the number of shingles that their prefixes share.
-
-    Those in both prefixes are counted here, or are among the late ones: shingles of larger groups.
-    """
-    p, q = similar
-    side = lambda *names: small.select("h", *(F.col(c).alias(x) for c, x in zip(("node", "n", "late"), names)))
-    pairs = side("u", "nu", "lu").join(side("v", "nv", "lv"), "h").filter((F.col("u") > F.col("v")) & (F.least("nu", "nv") * q >= F.greatest("nu", "nv") * p))
-    counted = pairs.groupBy("u", "v", "nu", "nv", "lu", "lv").count()
-    return counted.filter(_enough(F.col("count") + F.least("lu", "lv"), similar)).select("u", "v")
-
-
-def near_copies(docs: DataFrame, text: str = "text", shingle_words: int = SHINGLE_WORDS, similar: tuple[int, int] = SIMILAR) -> DataFrame:
+def near_copies(docs: DataFrame, text: str = "text", shingle_words: int = SHINGLE_WORDS, similar: tuple[int, int] = SIMILAR, radius: int = simhash.RADIUS) -> DataFrame:
     """(doc_id, text_hash, root) for every row: rows with one root are linked by pairs of similar shingle sets.
 
     Texts without words are alike. Repeated rows and null ids stay; an empty table gives no rows; other columns are not read.
@@ -143,57 +117,32 @@ def near_copies(docs: DataFrame, text: str = "text", shingle_words: int = SHINGL
     spark = docs.sparkSession
     prepare(spark)
     folder = shared_dir(spark)
-    sets = written(_sets(docs, text, shingle_words, similar), folder, "sets")
-    heads = sets.select("node", "n", F.explode("prefix").alias("h")).repartition("h").groupBy("h", "node").agg(F.min("n").alias("n"))
-    heads = heads.withColumn("m", F.count(F.lit(1)).over(Window.partitionBy("h"))).filter("m > 1")
-    late = F.sum((F.col("m") > SMALL_GROUP).cast("int")).over(Window.partitionBy("node"))
-    met = written(heads.withColumn("late", late), folder, "met")
-    marks = met.groupBy("node").agg(F.collect_list("h").alias("marks"))
-
-    def held(b: dict) -> dict:
-        return {"node": b["node"], "held": [shingles(t, shingle_words).astype("<u8").tobytes() for t in utf8(b["text"])]}
-
-    row = F.min(F.struct("doc_id", "text_hash")).alias("k")
-    need = sets.join(met.select("node").distinct(), "node", "left_semi").groupBy("node").agg(row).select("node", F.col("k.doc_id").alias("_id"), F.col("k.text_hash").alias("_hash"))
-    need = written(need, folder, "need")
-    texts = docs.join(need, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_hash"))).select("node", F.col(text).alias("text"))
-    schema = pa.schema([("node", pa.int64()), ("held", pa.binary())])
-    whole = written(texts.mapInArrow(arrow_rows(held, schema), "node long, held binary"), folder, "whole")
-    if whole.count() > need.count():  # equal rows
-        whole = written(whole.dropDuplicates(["node"]), folder, "whole_once")
-
-    def paired(a: DataFrame, b: DataFrame) -> DataFrame:
-        """Distinct pairs around a shingle that aren't linked yet and may be similar by their sizes and prefixes."""
-        a = a.select("h", F.col("node").alias("u"), F.col("n").alias("nu"), F.col("root").alias("ru"), F.col("w").alias("wu"))
-        b = b.select("h", F.col("node").alias("v"), F.col("n").alias("nv"), F.col("root").alias("rv"), F.col("w").alias("wv"))
-        near = F.least("nu", "nv") * similar[1] >= F.greatest("nu", "nv") * similar[0]
-        pairs = a.join(b, "h").filter((F.col("ru") != F.col("rv")) & near & _enough(F.least("wu", "wv"), similar))
-        swap = F.col("u") < F.col("v")
-        pairs = pairs.select(*(F.when(swap, F.col(y)).otherwise(F.col(x)).alias(x) for x, y in (("u", "v"), ("v", "u"), ("nu", "nv"), ("nv", "nu")))).distinct()
-        side = lambda node, held: marks.select(F.col("node").alias(node), F.col("marks").alias(held))
-        pairs = pairs.join(side("u", "mu"), "u").join(side("v", "mv"), "v")
-        return pairs.filter(_enough(F.size(F.array_intersect("mu", "mv")), similar)).select("u", "v")
-
-    small, large = met.filter(F.col("m") <= SMALL_GROUP), met.withColumn("w", F.count(F.lit(1)).over(Window.partitionBy("node"))).filter(F.col("m") > SMALL_GROUP).select("h", "node", "n", "w")
-    edges = written(_checked(_often_met(small, similar), whole, similar, folder, "0"), folder, "links0")
-    if large.limit(1).count():
-        for i in range(1, ROUNDS + 2):
-            roots = written(components(edges, f"{folder}/components{i}"), folder, f"roots{i}").withColumnRenamed("root", "new")
-            now = large.join(roots, large["node"] == roots["node"], "left").select("h", large["node"], "n", "w", F.coalesce("new", large["node"]).alias("root"))
-            apart = now.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("h")
-            now = written(now.join(apart, "h", "left_semi"), folder, f"apart{i}")
-            some = now
-            if i <= ROUNDS:
-                rank = F.row_number().over(Window.partitionBy("h").orderBy(F.xxhash64("node", F.lit(i)), "node"))
-                some = now.withColumn("rank", rank).filter(F.col("rank") <= PIVOTS)
-            else:  # all that is still apart: each set with those outside the largest part of its group
-                part = now.groupBy("h", "root").count()
-                main = part.groupBy("h").agg(F.max(F.struct("count", "root")).alias("k")).select("h", F.col("k.root").alias("main"))
-                some = now.join(main, "h").filter("root <> main")
-            edges = edges.union(written(_checked(paired(some, now), whole, similar, folder, str(i)), folder, f"links{i}"))
-    roots = written(components(edges, f"{folder}/components"), folder, "roots")
-    placed = sets.select("doc_id", "text_hash", "node").join(roots, "node", "left")
-    return placed.select("doc_id", "text_hash", F.coalesce("root", "node").alias("root"))
+    sets = written(_sets(docs, text, shingle_words), folder, "sets")
+    near = F.least("n", "m") * similar[1] >= F.greatest("n", "m") * similar[0]
+    held = sets.select("node", "n", F.explode("bands").alias("h"))
+    shared = held.groupBy("h").agg(F.min(F.struct("node", "n")).alias("p"), F.max("node").alias("high")).filter("p.node < high")
+    met = written(held.join(shared.select("h", F.col("p.node").alias("pivot"), F.col("p.n").alias("m")), "h").distinct(), folder, "met")
+    first = met.filter("node <> pivot").filter(near).groupBy(F.col("node").alias("u")).agg(F.min("pivot").alias("v"))
+    check = lambda pairs, name: written(_checked(pairs, sets, docs, text, shingle_words, similar, folder, name), folder, f"{name}-links")
+    links = check(_by_fingerprint(sets.select("node", "fp").distinct(), folder, radius).union(first).distinct(), "first")
+    now, pivots, i = met.select("h", "node", "n"), PIVOTS, 0
+    while True:
+        roots = written(components(links, f"{folder}/{i}-rounds"), folder, f"{i}-roots")
+        placed = now.join(roots, "node", "left").select("h", "node", "n", F.coalesce("root", "node").alias("root"))
+        apart = placed.groupBy("h").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a < b").select("h")
+        now = written(placed.join(apart, "h"), folder, f"{i}-apart")
+        if now.isEmpty():
+            break
+        ranked = now.join(now.groupBy("h", "root").agg(F.count(F.lit(1)).alias("part")), ["h", "root"])
+        w = Window.partitionBy("h").orderBy("part", F.xxhash64("node", F.lit(i)), "node")
+        chosen_ = ranked.withColumn("k", F.row_number().over(w)).filter(F.col("k") <= pivots).select("h", F.col("node").alias("v"), F.col("n").alias("m"), F.col("root").alias("rv"))
+        chosen_ = written(chosen_, folder, f"{i}-pivots")
+        pairs = now.join(chosen_, "h").filter("root <> rv").filter(near).select(F.least("node", "v").alias("u"), F.greatest("node", "v").alias("v")).distinct()
+        links = links.union(check(pairs, f"{i}-round"))
+        now = now.join(chosen_.select("h", F.col("v").alias("node")), ["h", "node"], "left_anti").select("h", "node", "n")
+        pivots, i = 4 * pivots, i + 1
+    named = sets.select("doc_id", "text_hash", "node").join(roots, "node", "left")
+    return named.select("doc_id", "text_hash", F.coalesce("root", "node").alias("root"))
 
 
 def representatives(docs: DataFrame, text: str = "text", shingle_words: int = SHINGLE_WORDS, similar: tuple[int, int] = SIMILAR) -> DataFrame:

@@ -35,23 +35,35 @@ _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder=
 _PLACE = (np.arange(8, dtype=np.int64) * 256)[None, :]
 
 
-def fingerprint(text: bytes | None, shingle_words: int = SHINGLE_WORDS) -> int:
-    """The 64-bit SimHash of one text: A-Z lower-cased, words split at the six ASCII white-space characters."""
+def shingle_hashes(text: bytes | None, shingle_words: int) -> np.ndarray:
+    """XXH64 of every shingle, repeats included: A-Z lower-cased, words split at the six ASCII white-space characters.
+
+    A text of fewer words is one shingle; one without words has none.
+    """
     words = (text or b"").lower().split()
     if not words:
-        return 0
-    if len(words) <= shingle_words:
-        return xxhash.xxh64_intdigest(b" ".join(words), SEED)
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     ends = list(accumulate(len(w) + 1 for w in words))
     digest = xxhash.xxh64_intdigest
-    n = len(words) - shingle_words + 1
-    hashes = np.fromiter((digest(joined[a : b - 1], SEED) for a, b in zip([0, *ends], ends[shingle_words - 1 :])), np.uint64, n)
+    n = max(1, len(words) - shingle_words + 1)
+    hashes = (digest(joined[a : b - 1], SEED) for a, b in zip([0, *ends], ends[min(shingle_words, len(words)) - 1 :]))
+    return np.fromiter(hashes, np.uint64, n)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The 64-bit SimHash: a bit is 1 if set in over half of the hashes."""
+    n = len(hashes)
     # one histogram over (byte place, byte value) gives all 64 bit counts
     counts = np.bincount((hashes.view(np.uint8).reshape(n, 8) + _PLACE).ravel(), minlength=2048).reshape(8, 256) @ _BITS
     return int(np.packbits((2 * counts > n).ravel(), bitorder="little").view("<u8")[0])
 
 
+def fingerprint(text: bytes | None, shingle_words: int = SHINGLE_WORDS) -> int:
+    """The fingerprint of one text; zero for one without words."""
+    return majority(shingle_hashes(text, shingle_words))
+
+
 def fingerprints(docs: DataFrame, text: str = "text", shingle_words: int = SHINGLE_WORDS) -> DataFrame:
     """(doc_id, text_hash, fp): the fingerprint as a signed long, and a hash that tells texts of one id apart."""
     prepare(docs.sparkSession)
