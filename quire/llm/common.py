@@ -114,11 +114,10 @@ def block_grid(
     return c.groupBy("cb", "qb").cogroup(q.groupBy("cb", "qb")).applyInPandas(f, schema)
 
 
-def stacked(payloads, widths=None, dtype: str = "<f8") -> np.ndarray:
-    """Packed vectors as a matrix; shorter ones are filled with zeros, which leave inner products as they are."""
-    parts = [np.frombuffer(p, dtype if widths is None else ("<i8" if w else "<i2")) for p, w in zip(payloads, widths if widths is not None else [0] * len(payloads))]
-    n = max((len(p) for p in parts), default=0)
-    out = np.zeros((len(parts), n), np.int64 if widths is not None else np.float64)
+def stacked(payloads) -> np.ndarray:
+    """Packed vectors as a matrix of doubles; shorter ones are filled with zeros, which leave inner products as they are."""
+    parts = [np.frombuffer(p, "<f8") for p in payloads]
+    out = np.zeros((len(parts), max((len(p) for p in parts), default=0)))
     for i, p in enumerate(parts):
         out[i, : len(p)] = p
     return out

@@ -1,10 +1,10 @@
 """Exact top-k inner products over an impact-ordered index, score at a time.
 
-The components of a block's vectors are postings (dimension, vector, quantised impact). They stand in segments by descending
-size of the impact. All queries of a block read the segments in that order and add up what they contribute. After each segment
-the rest of a score is bounded: no more than the length of the query times the length of what the vector has left
-(Cauchy-Schwarz). A query stops once that proves that few vectors can be among its best; those are scored exactly. Queries
-that get no such proof read on to the last segment.
+The non-zero components of a block's vectors are postings (vector, dimension, impact). Their sizes are quantised to levels, and the
+posting lists stand in segments by descending level. Queries read the segments in that order and add up what each posting
+contributes. After each segment the rest of a score is bounded: no more than the length of the query times the length of what
+the vector has left (Cauchy-Schwarz). A query stops once that proves that few vectors can be among its best; those are scored
+exactly. Queries that get no such proof read on to the last segment.
 """
 
 from __future__ import annotations
@@ -22,8 +22,14 @@ SCALE = 256
 QUERY_STEP = 50
 CANDIDATE_BLOCK = 2048
 QUERY_BLOCK = 4096
-#: Segments end at these quantiles of the impacts.
-SEGMENTS = (0.85, 0.7, 0.5, 0.3, 0.0)
+#: Levels that impacts are quantised to, and the shares of all postings after which a segment ends (at the end of a level).
+LEVELS = 64
+SHARES = (0.15, 0.3, 0.5, 0.7)
+#: Queries that read the segments together.
+BATCH = 64
+#: Up to this length of both vectors all sums are integers that doubles hold; pairs with a longer one are scored as whole numbers.
+MOST_LENGTH = 2.0**25
+LONG = (-(1 << 63), (1 << 63) - 1)
 #: A query stops when at most this share of a block can be among its best.
 FEW = 0.05
 
@@ -31,33 +37,38 @@ SCHEMA = "query_id long, vec_id long, score long"
 
 
 class ImpactIndex:
-    """Impact-ordered segments of one block of integer vectors."""
+    """Impact-ordered segments of posting lists of one block of vectors with integer components."""
 
-    def __init__(self, vectors: np.ndarray, cuts=SEGMENTS) -> None:
+    def __init__(self, vectors: np.ndarray, levels: int = LEVELS, shares=SHARES) -> None:
         self.vectors = vectors
         size = np.abs(vectors)
-        self.segments: list[np.ndarray] = []
+        level = np.ceil(size * (levels / max(1.0, size.max(initial=0)))).astype(np.int64)
+        vec, dim = np.nonzero(vectors)
+        order = np.lexsort((dim, vec, -level[vec, dim]))
+        vec, dim = vec[order], dim[order]
+        by_level = -level[vec, dim]
+        cuts = {int(np.searchsorted(by_level, by_level[int(len(vec) * x)], "right")) for x in shares if len(vec)}
+        self.segments: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
         self.left: list[np.ndarray] = []
-        above = None
-        floors = sorted({int(x) for x in np.quantile(size, cuts)} | {0}, reverse=True) if size.size else [0]
-        for low in floors:
-            inside = size >= low if above is None else (size >= low) & (size < above)
-            self.segments.append(np.where(inside, vectors, 0).astype(np.float64))
-            self.left.append(np.sqrt((np.where(size < low, vectors, 0).astype(np.float64) ** 2).sum(1)))
-            above = low
+        rest = (vectors**2).sum(1)
+        for a, b in zip(sorted({0, *cuts} - {len(vec)}), [*sorted(cuts - {0, len(vec)}), len(vec)]):
+            at = a + np.argsort(vec[a:b], kind="stable")
+            ids, starts = np.unique(vec[at], return_index=True)
+            impact = vectors[vec[at], dim[at]]
+            self.segments.append((ids, starts, dim[at], impact))
+            if len(ids):
+                rest[ids] -= np.add.reduceat(impact**2, starts)
+            self.left.append(np.sqrt(np.maximum(rest, 0)))
 
     def search(self, queries: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Pairs (query, vector, exact score) that hold the k best of each query; own[q, v] marks pairs that don't count."""
         n_q, n = own.shape
-        biggest = max(1, np.abs(queries).max(initial=0)) * max(1, np.abs(self.vectors).max(initial=0)) * max(1, queries.shape[1])
-        exact = float(biggest) < 2.0**52
         alive, acc = np.arange(n_q), np.zeros((n_q, n))
-        length = np.sqrt((queries.astype(np.float64) ** 2).sum(1))
-        out: list[tuple] = []
-        for i, (segment, left) in enumerate(zip(self.segments, self.left)):
-            if not exact:
-                left = np.full(n, np.inf)  # sums of doubles prove nothing here: all pairs are scored as integers
-            acc += queries[alive].astype(np.float64) @ segment.T
+        length = np.sqrt((queries**2).sum(1))
+        out: list[tuple] = [(np.zeros(0, int), np.zeros(0, int), np.zeros(0))]
+        for i, ((ids, starts, dim, impact), left) in enumerate(zip(self.segments, self.left)):
+            if len(ids):
+                acc[:, ids] += np.add.reduceat(queries[alive][:, dim] * impact, starts, axis=1)
             rest = length[alive][:, None] * left[None, :]
             low = np.where(own[alive], -np.inf, acc - rest)
             bound = np.partition(low, n - k, axis=1)[:, n - k] if n > k else np.full(len(alive), -np.inf)
@@ -65,45 +76,61 @@ class ImpactIndex:
             done = (possible.sum(1) <= max(4 * k, FEW * n)) | (i == len(self.segments) - 1)
             q, v = np.nonzero(possible[done])
             q = alive[done][q]
-            for a in range(0, len(q), 100_000):
-                out.append((q[a : a + 100_000], v[a : a + 100_000], (queries[q[a : a + 100_000]] * self.vectors[v[a : a + 100_000]]).sum(1)))
+            out.append((q, v, np.einsum("ij,ij->i", queries[q], self.vectors[v])))
             alive, acc = alive[~done], acc[~done]
             if not len(alive):
                 break
-        return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, int),) * 3
+        return tuple(np.concatenate(x) for x in zip(*out))
+
+
+def _whole_score(a: np.ndarray, b: np.ndarray) -> int:
+    """Inner product in whole numbers of any size, cut to the range of a long."""
+    return min(max(sum(int(x) * int(y) for x, y in zip(a, b)), LONG[0]), LONG[1])
 
 
 def block_best(key, candidates: pd.DataFrame, queries: pd.DataFrame, k: int = K) -> pd.DataFrame:
-    """The k best of a block for each query of another."""
+    """The k best of a block for each query of another; rows of one id count as one, with the best of their scores."""
+    empty = pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0, np.int64)})
     if not len(candidates) or not len(queries):
-        return pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0, np.int64)})
-    v, q = stacked(candidates["payload"], candidates["wide"]), stacked(queries["payload"], queries["wide"])
+        return empty
+    v, q = (stacked([np.frombuffer(p, "<f8" if w else "<i2").astype("<f8").tobytes() for p, w in zip(side["payload"], side["wide"])]) for side in (candidates, queries))
     dims = max(v.shape[1], q.shape[1])
     v, q = (np.pad(x, ((0, 0), (0, dims - x.shape[1]))) for x in (v, q))
     ids, qids = candidates["id"].to_numpy(np.int64), queries["id"].to_numpy(np.int64)
-    index, found = ImpactIndex(v), []
-    for a in range(0, len(q), 512):
-        own = qids[a : a + 512, None] == ids[None, :]
-        i, j, s = index.search(q[a : a + 512], own, k)
-        best = pd.DataFrame({"query_id": qids[a : a + 512][i], "vec_id": ids[j], "score": s.astype(np.int64)})
-        best = best.sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True])
-        found.append(best.groupby("query_id").head(k))
-    return pd.concat(found)
+    long_v, long_q = (np.sqrt((x**2).sum(1)) > MOST_LENGTH for x in (v, q))
+    usual_v, usual_q, found = np.flatnonzero(~long_v), np.flatnonzero(~long_q), [empty]
+    once = len(np.unique(ids)) == len(ids)
+    index = ImpactIndex(v[usual_v])
+    for a in range(0, len(usual_q), BATCH):
+        some = usual_q[a : a + BATCH]
+        own = qids[some, None] == ids[None, usual_v]
+        # several rows of one id could fill the k places: then all of a block are possible members
+        i, j, s = index.search(q[some], own, k if once else len(usual_v))
+        best = pd.DataFrame({"query_id": qids[some][i], "vec_id": ids[usual_v][j], "score": s.astype(np.int64)})
+        found.append(_best(best, k))
+    pairs = [(i, j) for i in np.flatnonzero(long_q) for j in range(len(v))] + [(i, j) for i in usual_q for j in np.flatnonzero(long_v)]
+    if pairs:
+        rows = [(qids[i], ids[j], _whole_score(q[i], v[j])) for i, j in pairs if qids[i] != ids[j]]
+        found.append(pd.DataFrame(rows, columns=["query_id", "vec_id", "score"]).astype(np.int64))
+    return _best(pd.concat(found), k)
+
+
+def _best(found: pd.DataFrame, k: int) -> pd.DataFrame:
+    found = found.sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True]).drop_duplicates(["query_id", "vec_id"])
+    return found.groupby("query_id").head(k)
 
 
 def packed_integers(vectors: DataFrame, scale: int) -> DataFrame:
-    """(id, payload, wide): floor(scale * component) of each valid vector, as 16-bit or else 64-bit integers, repeats once."""
+    """(id, payload, wide): floor(scale * component) of each valid vector, as 16-bit integers or else doubles, repeats once."""
 
     def rows(b: dict) -> dict:
         ids, payload, wide = [], [], []
         for i, v in zip(b["id"].to_pylist(), vector_rows(b["embedding"])):
             if v is not None and i is not None:
-                x = np.floor(scale * v)
-                if np.abs(x).max(initial=0) >= 2.0**63:
-                    raise ValueError(f"vector {i}: a component doesn't fit into a long")
+                x = np.clip(np.floor(scale * v), -1e150, 1e150) + 0.0
                 big = bool(np.abs(x).max(initial=0) >= 2**15)
                 ids.append(i)
-                payload.append(x.astype("<i8" if big else "<i2").tobytes())
+                payload.append(x.astype("<f8" if big else "<i2").tobytes())
                 wide.append(big)
         return {"id": ids, "payload": payload, "wide": wide}
 
@@ -115,8 +142,8 @@ def packed_integers(vectors: DataFrame, scale: int) -> DataFrame:
 def top_k(vectors: DataFrame, k: int = K, scale: int = SCALE, query_step: int = QUERY_STEP, candidate_block: int = CANDIDATE_BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
     """(query_id, rank, vec_id, score): for every vector whose id is divisible by query_step, its k highest inner products.
 
-    Components are floor(scale * x), scores are exact integers (they must fit into a long); ties go to the smaller vec_id; fewer
-    than k others give fewer rows. Vectors that are null or hold null or non-finite components, and those with a null id, take
+    Components are floor(scale * x), scores are exact integers; one beyond a long is given as the end of a long's range that it lies
+    past. Ties go to the smaller vec_id; fewer than k others give fewer rows. Vectors that are null or hold null or non-finite components, and those with a null id, take
     no part. Missing components of a shorter vector count as zero. Rows equal in id and vector count once; rows of one id with
     different vectors are one query, each of them compared, that never finds itself. An empty table gives no rows.
     """

@@ -9,6 +9,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pyarrow as pa
 import pytest
@@ -256,13 +257,38 @@ def test_impact_search_is_exact(spark):
 
 
 def test_impact_search_with_large_components():
+    """Scores in whole numbers, cut to the range of a long; several rows of one id take one place."""
     rng = np.random.default_rng(1)
-    v = rng.integers(-(1 << 29), 1 << 29, size=(50, 4))
+    v = np.floor(rng.normal(size=(60, 4)) * 10.0 ** rng.integers(0, 12, size=(60, 1)))
+    v[7] = 1e37
+    ids = np.arange(60)
+    ids[50:] = 3
+    frame = pd.DataFrame({"id": ids, "payload": [x.astype("<f8").tobytes() for x in v], "wide": True})
+    got = impact.block_best(None, frame, frame[:9], 5)
+    for i in range(9):
+        if i == 3:
+            continue
+        best = {}
+        for j, other in zip(ids, v):
+            if j != i:
+                score = min(max(sum(int(x) * int(y) for x, y in zip(v[i], other)), -(1 << 63)), (1 << 63) - 1)
+                best[j] = max(score, best.get(j, score))
+        want = sorted((-s, j) for j, s in best.items())[:5]
+        assert [(-r.score, r.vec_id) for r in got[got.query_id == i].itertuples()] == want
+
+
+def test_impact_index_stops_early_where_impacts_differ():
+    """Sparse vectors: few postings are read, and the best are whole."""
+    rng = np.random.default_rng(4)
+    v = np.where(rng.random((800, 64)) < 0.1, np.floor(256 * rng.pareto(1.5, (800, 64))), 0.0)
     index = impact.ImpactIndex(v)
-    q, c, s = index.search(v[:5], np.zeros((5, 50), bool), 3)
-    full = v[:5] @ v.T
-    for i in range(5):
-        assert sorted(s[q == i])[-3:] == sorted(full[i])[-3:]
+    assert sum(len(s[3]) for s in index.segments) == np.count_nonzero(v)
+    q, c, s = index.search(v[:40], np.eye(40, 800, dtype=bool), 5)
+    full = v[:40] @ v.T
+    full[np.arange(40), np.arange(40)] = -np.inf
+    for i in range(40):
+        assert sorted(s[q == i])[-5:] == sorted(full[i])[-5:]
+    assert len(q) < 40 * 800 / 2
 
 
 def test_multi_index_finds_every_code_in_reach():
