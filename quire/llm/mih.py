@@ -136,7 +136,7 @@ def block_nearest(candidates: pd.DataFrame, queries: pd.DataFrame, codes: Codes,
                 found.append(pd.DataFrame({"query_id": qids[i[b : b + 200_000]], "vec_id": ids[j[b : b + 200_000]], "score": s}))
             if found:
                 best = pd.concat(found).sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True])
-                found = [best.groupby("query_id").head(k)]
+                found = [best.drop_duplicates(["query_id", "vec_id"]).groupby("query_id").head(k)]
             todo, radius = todo[~enough], min(codes.turn.shape[1], radius + 2 * len(index.tables))
     return pd.concat(found) if found else block_nearest(candidates[:0], queries, codes, k)
 

@@ -2,8 +2,8 @@
 
 Captures are range-partitioned by their reversed-host URL key, so every partition writes one archive of compressed records in key
 order, and its part of the index: lines of key, page, place and length, packed into compressed blocks. The sparse directory
-keeps one row per block (first and last key, where it lies). A lookup binary-searches the directory, reads the range of a
-block, binary-searches its lines and reads the range of a record.
+keeps one row per block (first and last key, where it lies). A lookup binary-searches the archives' key ranges and an archive's
+part of the directory, reads the range of a block, binary-searches its lines and reads the range of a record.
 """
 
 from __future__ import annotations
@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 from .common import prepare, shared_dir, written
 
 BLOCK_LINES = 256
+#: Index blocks that one task reads back.
+BLOCKS_A_TASK = 4
 LEVEL = 5
 MIN_REVISIT_BYTES = 0
 #: Pages carry no time of capture, so all records state this one.
@@ -171,27 +173,45 @@ def read_archives(directory: DataFrame) -> DataFrame:
                         found.append([r[n] for n in _CAPTURES.names])
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), _CAPTURES.types)], schema=_CAPTURES)
 
-    dealt = directory.repartition(F.col("index_file"), F.col("index_offset"))
+    # the directory's rows are few and small, what they stand for isn't: the number of tasks follows from the blocks
+    tasks = max(1, -(-directory.count() // BLOCKS_A_TASK))
+    dealt = directory.repartition(tasks, F.col("index_file"), F.col("index_offset"))
     return dealt.mapInArrow(run, CAPTURES)
 
 
+def _reaching(rows: list, key: str) -> list:
+    """Of rows sorted by their key ranges, those whose range holds the key, by binary search."""
+    at = bisect_left(rows, key, key=lambda r: r.last_key)
+    end = at
+    while end < len(rows) and rows[end].first_key <= key:
+        end += 1
+    return rows[at:end]
+
+
 def lookup(directory: DataFrame, urls: list[str]) -> list[dict]:
-    """The captures of a few URLs: the directory is filtered to the blocks that may hold a key, the rest is binary search.
+    """The captures of a few URLs by binary search: among the archives, in the directory of an archive, in the lines of a block.
 
-    What reaches the driver are the blocks of these keys and their records alone.
+    What reaches the driver is one row per archive, the directory rows of the archives that may hold a key, and the blocks and records
+    of the keys.
     """
     spark = directory.sparkSession
-    asked = spark.createDataFrame([(u,) for u in urls], "asked string").withColumn("key", url_key(F.col("asked")))
-    blocks = asked.join(directory, F.col("key").between(F.col("first_key"), F.col("last_key"))).collect()
+    keys = sorted({r.key for r in spark.createDataFrame([(u,) for u in urls], "url string").select(url_key(F.col("url")).alias("key")).collect()})
+    order = ["first_key", "last_key"]
+    archives = directory.groupBy("archive").agg(F.min("first_key").alias("first_key"), F.max("last_key").alias("last_key")).orderBy(*order).collect()
+    asked = {r.archive for k in keys for r in _reaching(archives, k)}
+    rows: dict[str, list] = {}
+    for r in directory.filter(F.col("archive").isin(sorted(asked))).orderBy("archive", "index_offset").collect():
+        rows.setdefault(r.archive, []).append(r)
     found = []
-    for d in sorted(blocks, key=lambda d: (d.asked, d.first_key, d.index_file, d.index_offset)):
-        lines = _block_lines(d.index_file, d.index_offset, d.index_length)
-        where, path = _at(d.archive)
-        with where.open_input_file(path) as f:
-            for key, _, place, length in lines[bisect_left(lines, d.key, key=lambda x: x[0]) :]:
-                if key != d.key:
-                    break
-                found.append(parsed(f.read_at(length, place)))
+    for key in keys:
+        for d in (d for a in _reaching(archives, key) for d in _reaching(rows[a.archive], key)):
+            lines = _block_lines(d.index_file, d.index_offset, d.index_length)
+            where, path = _at(d.archive)
+            with where.open_input_file(path) as f:
+                for line_key, _, place, length in lines[bisect_left(lines, key, key=lambda x: x[0]) :]:
+                    if line_key != key:
+                        break
+                    found.append(parsed(f.read_at(length, place)))
     return [r for r in found if r["url"] in set(urls)]
 
 

@@ -407,7 +407,8 @@ def test_licences(spark):
     assert not any(by[200 + i].confirmed for i in range(len(licenses.OTHERS)))
     assert by[300].confirmed == 4 and by[9001].candidates == 0
     assert licenses.scan(documents(spark, [])).count() == 0
-    assert licenses.default_model().right > 0.95
+    model = licenses.default_model()
+    assert model.right > 0.6 and model.calibration_error < 0.25
 
 
 def test_exact_search_and_archives_against_sql(spark):
