@@ -5,8 +5,10 @@ fingerprints differ in about ten of 64 bits, which no radius of that index reach
 band of minima under random orders are candidates too. A pair of similarity 0.8 shares none of the bands with probability
 (1 - 0.8 ** ROWS) ** BANDS = 0.000006. Every candidate is checked on the two whole sets before it is a link.
 
-A bucket isn't paired up at once: its sets are compared with some pivots of its smallest parts, linked parts merge, and more pivots
-follow only where a bucket is still apart. A pivot that was compared with the whole bucket leaves it; no pair of a bucket is skipped.
+A bucket isn't paired up at once: its sets are compared with some pivots of its smallest parts, and linked parts merge. Sets of buckets
+that are still apart meet once more by their rare shingles: of two similar sets n - ceil(t n) + 1 shingles each, in any one order, have
+one in common. With the order of their counts among these sets, a passage that many share comes last and brings none together, so
+no pair of a bucket is skipped and none grows to all its pairs.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import simhash
@@ -27,7 +29,7 @@ SHINGLE_WORDS = 5
 SIMILAR = (4, 5)
 BANDS = 40
 ROWS = 6
-#: Pivots of a bucket in the first round; each further round takes so many times as many.
+#: Sets of a bucket that all others of it are compared with at once.
 PIVOTS = 4
 
 _TURNS = np.random.default_rng(SEED).integers(1 << 63, size=BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -78,12 +80,11 @@ def _by_fingerprint(sets: DataFrame, folder: str, radius: int) -> DataFrame:
     return same.union(linked).filter("u <> v").distinct()
 
 
-def _checked(pairs: DataFrame, sets: DataFrame, docs: DataFrame, text: str, shingle_words: int, similar: tuple[int, int], folder: str, name: str) -> DataFrame:
-    """The pairs (u, v) whose whole sets are similar. Only texts of sets in a pair are hashed and moved on."""
-    pairs = written(pairs, folder, f"{name}-pairs")
-    asked = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
+def _whole(nodes: DataFrame, sets: DataFrame, docs: DataFrame, text: str, shingle_words: int, folder: str, name: str) -> DataFrame:
+    """(node, held): the shingles of each of the nodes. Only their texts are hashed and moved on."""
     row = F.min(F.struct("doc_id", "text_hash")).alias("k")
-    need = sets.join(asked, "node", "left_semi").groupBy("node").agg(row).select("node", F.col("k.doc_id").alias("_id"), F.col("k.text_hash").alias("_hash"))
+    need = sets.join(nodes, "node", "left_semi").groupBy("node").agg(row).select("node", F.col("k.doc_id").alias("_id"), F.col("k.text_hash").alias("_hash"))
+    need = written(need, folder, f"{name}-need")
     texts = docs.select(F.col("doc_id").cast("long").alias("_doc"), F.col(text).alias("text"), F.xxhash64(text).alias("_text"))
     texts = texts.join(need, F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_hash"))).select("node", "text")
 
@@ -92,8 +93,14 @@ def _checked(pairs: DataFrame, sets: DataFrame, docs: DataFrame, text: str, shin
 
     hashed = texts.mapInArrow(arrow_rows(held, pa.schema([("node", pa.int64()), ("held", pa.binary())])), "node long, held binary")
     whole = written(hashed, folder, f"{name}-whole")
-    if whole.count() > need.count():  # equal rows
-        whole = written(whole.dropDuplicates(["node"]), folder, f"{name}-once")
+    return whole if whole.count() == need.count() else whole.dropDuplicates(["node"])  # equal rows
+
+
+def _checked(pairs: DataFrame, sets: DataFrame, docs: DataFrame, text: str, shingle_words: int, similar: tuple[int, int], folder: str, name: str) -> DataFrame:
+    """The pairs (u, v) whose whole sets are similar."""
+    pairs = written(pairs, folder, f"{name}-pairs")
+    nodes = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
+    whole = _whole(nodes, sets, docs, text, shingle_words, folder, name)
 
     def rows(b: dict) -> dict:
         keep = []
@@ -109,6 +116,31 @@ def _checked(pairs: DataFrame, sets: DataFrame, docs: DataFrame, text: str, shin
     return joined.mapInArrow(arrow_rows(rows, pa.schema([("u", pa.int64()), ("v", pa.int64())])), "u long, v long")
 
 
+def _by_rare_shingles(open_: DataFrame, whole: DataFrame, similar: tuple[int, int], folder: str) -> DataFrame:
+    """Pairs (u, v) of the sets (node, n, root) that have different roots and share a shingle among the rarest of both."""
+
+    def listed(b: dict) -> dict:
+        return {"node": b["node"], "h": [np.frombuffer(x, "<i8") for x in b["held"].to_pylist()]}
+
+    every = whole.mapInArrow(arrow_rows(listed, pa.schema([("node", pa.int64()), ("h", pa.list_(pa.int64()))])), "node long, h array<long>").select("node", F.explode("h").alias("h"))
+    every = every.join(every.groupBy("h").agg(F.count(F.lit(1)).alias("d")), "h").join(open_, "node")
+    rank = F.row_number().over(Window.partitionBy("node").orderBy("d", "h"))
+    rare = every.withColumn("k", rank).filter((F.col("k") <= F.col("n") - F.ceil(F.col("n") * similar[0] / similar[1]) + 1) & (F.col("d") > 1))
+    rare = written(rare.select("h", "node", "n", "root"), folder, "rare")
+    parts = rare.groupBy("h", "root").agg(F.count(F.lit(1)).alias("part"))
+    groups = parts.groupBy("h").agg(F.count(F.lit(1)).alias("parts"), F.max(F.struct("part", "root")).alias("p")).filter("parts > 1").select("h", F.col("p.root").alias("main"))
+    placed = written(rare.join(groups, "h"), folder, "rare-apart")
+    # each set outside the largest part of a group meets all of the group
+    some = placed.filter("root <> main").select("h", F.col("node").alias("v"), F.col("n").alias("m"), F.col("root").alias("rv"))
+    met = placed.join(some, "h").filter("root <> rv").filter(_near(similar))
+    return met.select(F.least("node", "v").alias("u"), F.greatest("node", "v").alias("v")).distinct()
+
+
+def _near(similar: tuple[int, int]) -> Column:
+    """Sizes n and m that sets of that similarity may have."""
+    return F.least("n", "m") * similar[1] >= F.greatest("n", "m") * similar[0]
+
+
 def near_copies(docs: DataFrame, text: str = "text", shingle_words: int = SHINGLE_WORDS, similar: tuple[int, int] = SIMILAR, radius: int = simhash.RADIUS) -> DataFrame:
     """(doc_id, text_hash, root) for every row: rows with one root are linked by pairs of similar shingle sets.
 
@@ -118,29 +150,36 @@ def near_copies(docs: DataFrame, text: str = "text", shingle_words: int = SHINGL
     prepare(spark)
     folder = shared_dir(spark)
     sets = written(_sets(docs, text, shingle_words), folder, "sets")
-    near = F.least("n", "m") * similar[1] >= F.greatest("n", "m") * similar[0]
+    near = _near(similar)
     held = sets.select("node", "n", F.explode("bands").alias("h"))
     shared = held.groupBy("h").agg(F.min(F.struct("node", "n")).alias("p"), F.max("node").alias("high")).filter("p.node < high")
     met = written(held.join(shared.select("h", F.col("p.node").alias("pivot"), F.col("p.n").alias("m")), "h").distinct(), folder, "met")
     first = met.filter("node <> pivot").filter(near).groupBy(F.col("node").alias("u")).agg(F.min("pivot").alias("v"))
     check = lambda pairs, name: written(_checked(pairs, sets, docs, text, shingle_words, similar, folder, name), folder, f"{name}-links")
     links = check(_by_fingerprint(sets.select("node", "fp").distinct(), folder, radius).union(first).distinct(), "first")
-    now, pivots, i = met.select("h", "node", "n"), PIVOTS, 0
-    while True:
-        roots = written(components(links, f"{folder}/{i}-rounds"), folder, f"{i}-roots")
-        placed = now.join(roots, "node", "left").select("h", "node", "n", F.coalesce("root", "node").alias("root"))
-        apart = placed.groupBy("h").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a < b").select("h")
-        now = written(placed.join(apart, "h"), folder, f"{i}-apart")
-        if now.isEmpty():
-            break
-        ranked = now.join(now.groupBy("h", "root").agg(F.count(F.lit(1)).alias("part")), ["h", "root"])
-        w = Window.partitionBy("h").orderBy("part", F.xxhash64("node", F.lit(i)), "node")
-        chosen_ = ranked.withColumn("k", F.row_number().over(w)).filter(F.col("k") <= pivots).select("h", F.col("node").alias("v"), F.col("n").alias("m"), F.col("root").alias("rv"))
-        chosen_ = written(chosen_, folder, f"{i}-pivots")
-        pairs = now.join(chosen_, "h").filter("root <> rv").filter(near).select(F.least("node", "v").alias("u"), F.greatest("node", "v").alias("v")).distinct()
-        links = links.union(check(pairs, f"{i}-round"))
-        now = now.join(chosen_.select("h", F.col("v").alias("node")), ["h", "node"], "left_anti").select("h", "node", "n")
-        pivots, i = 4 * pivots, i + 1
+
+    def apart(rows: DataFrame, links: DataFrame, name: str) -> DataFrame:
+        """(h, node, n, root) of the buckets whose sets aren't all linked."""
+        roots = components(links, f"{folder}/{name}-rounds")
+        placed = rows.join(roots, "node", "left").select("h", "node", "n", F.coalesce("root", "node").alias("root"))
+        placed = written(placed, folder, f"{name}-placed")
+        several = placed.groupBy("h").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a < b").select("h")
+        return written(placed.join(several, "h"), folder, f"{name}-apart")
+
+    now = apart(met.select("h", "node", "n"), links, "one")
+    ranked = now.join(now.groupBy("h", "root").agg(F.count(F.lit(1)).alias("part")), ["h", "root"])
+    w = Window.partitionBy("h").orderBy("part", F.xxhash64("node"), "node")
+    pivots = ranked.withColumn("k", F.row_number().over(w)).filter(F.col("k") <= PIVOTS).select("h", F.col("node").alias("v"), F.col("n").alias("m"), F.col("root").alias("rv"))
+    pivots = written(pivots, folder, "pivots")
+    pairs = now.join(pivots, "h").filter("root <> rv").filter(near).select(F.least("node", "v").alias("u"), F.greatest("node", "v").alias("v")).distinct()
+    links = links.union(check(pairs, "second"))
+    # a pivot was compared with all its bucket; what is apart without the pivots meets by rare shingles
+    now = apart(now.join(pivots.select("h", F.col("v").alias("node")), ["h", "node"], "left_anti").select("h", "node", "n"), links, "two")
+    if not now.isEmpty():
+        open_ = now.select("node", "n", "root").distinct()
+        whole = _whole(open_.select("node"), sets, docs, text, shingle_words, folder, "open")
+        links = links.union(check(_by_rare_shingles(open_, whole, similar, folder), "third"))
+    roots = components(links, f"{folder}/last-rounds")
     named = sets.select("doc_id", "text_hash", "node").join(roots, "node", "left")
     return named.select("doc_id", "text_hash", F.coalesce("root", "node").alias("root"))
 
