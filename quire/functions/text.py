@@ -39,10 +39,12 @@ def ordered_concat(value: Column, by: list[Column], separator: str) -> Column:
 
 
 def natural_key(path: Column) -> Column:
-    """Sort key: digit runs by value, other runs in lower case. A path that starts with digits gets an empty first run."""
+    """Sort key: digit runs by value (of any length), other runs in lower case. A path that starts with digits gets an empty first run."""
     runs = F.regexp_extract_all(F.lower(path), F.lit("(\\d+|\\D+)"), F.lit(1))
     runs = F.when(path.rlike("^\\d"), F.concat(F.array(F.lit("")), runs)).otherwise(runs)
-    return F.transform(runs, lambda r: F.struct(F.when(r.rlike("^\\d+$"), r.cast("decimal(38,0)")).otherwise(F.lit(-1)).alias("n"), F.when(r.rlike("^\\d+$"), F.lit("")).otherwise(r).alias("s")))
+    digits = lambda r: F.regexp_replace(r, "^0+(?=\\d)", "")
+    key = lambda r, number: F.struct(F.when(number, F.length(digits(r))).otherwise(F.lit(-1)).alias("n"), F.when(number, digits(r)).otherwise(r).alias("s"))
+    return F.transform(runs, lambda r: key(r, r.rlike("^\\d+$")))
 
 
 def roman_rank(c: Column) -> Column:

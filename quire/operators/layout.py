@@ -93,7 +93,7 @@ def table_markdown(words: DataFrame, keys: list[str] = KEYS, gap: float = 20.0)
     lined = filled.select(*keys, "row", line.alias("line"), dashes.alias("dashes"))
     rows = F.transform(F.array_sort(F.collect_list(F.struct("row", "line"))), lambda r: r.line)
     agg = lined.groupBy(*keys).agg(rows.alias("rows"), F.first("dashes").alias("dashes"))
-    return agg.select(*keys, F.array_join(F.concat(F.slice("rows", 1, 1), F.array("dashes"), F.slice("rows", 2, 100_000)), "\n").alias("table_md"))
+    return agg.select(*keys, F.array_join(F.concat(F.slice("rows", 1, 1), F.array("dashes"), F.slice("rows", 2, F.size("rows"))), "\n").alias("table_md"))
 
 
 def column_bands(words: DataFrame, keys: list[str] = KEYS, min_gutter: float = 0.02, margin: float = 0.1, bin_width: float = 2.0) -> DataFrame:

@@ -42,7 +42,7 @@ def repair(lines: DataFrame, least_bullets: int = 5) -> DataFrame:
     s = s.withColumn("kind", kind)
     step = F.col("line").rlike(STEP)
     text = (
-        F.when(F.col("kind") == "code", F.col("raw")).when(F.col("kind") == "heading", F.concat(F.lit("## "), strip(F.substring("line", len(HEADING) + 1, 1_000_000))))
+        F.when(F.col("kind") == "code", F.col("raw")).when(F.col("kind") == "heading", F.concat(F.lit("## "), strip(F.substr("line", F.lit(len(HEADING) + 1)))))
         .when((F.col("kind") == "prose") & F.col("line").startswith("#"), F.concat(F.lit("\\"), F.col("line"))).otherwise(F.col("line"))
     )
     s = s.withColumn("text", text)

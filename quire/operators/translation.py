@@ -65,18 +65,32 @@ def marker_upsert(state: DataFrame, outcome: DataFrame) -> DataFrame:
     return state.join(outcome.select("path"), "path", "left_anti").unionByName(failed, allowMissingColumns=True)
 
 
+# What a translator is asked, before and after the name of the language.
+PROMPT = (
+    "Translate the following text to ",
+    ". Keep the Markdown formatting exactly as in the input — do not add, remove, or invent any Markdown elements (headings, lists, links, tables, etc.) that are not already there. "
+    "Do not add examples, explanations, or commentary of your own — translate only what is given. Output only the translated text, with no preamble.",
+)
+
+
+def prompt(chunk: Column, lang: Column) -> Column:
+    """The request for one chunk; languages go by their English name where it is known."""
+    name = F.when(lang == "en", "English").when(lang == "ko", "Korean").otherwise(lang)
+    return F.concat(F.lit(PROMPT[0]), name, F.lit(PROMPT[1] + "\n\n"), chunk)
+
+
 def map_with_retry(chunks: DataFrame, transform: Callable[[str], str], check: Callable[[str, str, str | None], bool], retries: int = RETRIES) -> DataFrame:
     """(path, chunk_ix, result, attempts, failed): an injected function over the chunks, tried again while the check fails.
 
     The last attempt's result stays even if it failed. The function may not be deterministic: write the result before it is
-    used twice. Chunks of white space alone pass through untouched.
+    used twice. Null chunks and chunks of white space alone pass through untouched.
     """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             out = []
             for path, ix, original, lang in zip(f["path"], f["chunk_ix"], f["original"], f["lang"]):
-                if not original.strip():
+                if original is None or not original.strip():
                     out.append((path, ix, original, 0, False))
                     continue
                 for attempt in range(1, retries + 2):

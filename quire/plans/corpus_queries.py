@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..functions.theme import THEMES, theme_css
 from ..operators import corpus as C
 from .views import v_bands, v_chapters, v_html, v_images, v_lines, with_views
 
@@ -124,7 +125,7 @@ def x3(spark, d):
 
 
 def x1(spark, d):
-    return v_chapters(spark, d).select("pos", X.slug(F.concat_ws(" ", F.col("title"), F.substring("text", 1, 30))).alias("slug"))
+    return v_chapters(spark, d).select("pos", X.slug(F.concat_ws(" ", F.col("title"), F.col("text"))).alias("slug"))
 
 
 def w1(spark, d):
@@ -256,7 +257,7 @@ def sk13(spark, d):
 
 def j6(spark, d):
     """Manifest rows to folders and files by pattern, the first by path; without a folder of that part anywhere."""
-    rows = v_chapters(spark, d).filter("pos % 10 = 0").select("pos", (F.col("pos") / 10 % 12).cast("int").cast("string").alias("part_no"), (F.col("pos") % 7).cast("string").alias("chapter_no"))
+    rows = v_chapters(spark, d).select("pos", (F.col("pos") / 10 % 12).cast("int").cast("string").alias("part_no"), (F.col("pos") % 7).cast("string").alias("chapter_no"))
     romans = F.create_map(*[F.lit(x) for k, v in X.ROMAN.items() for x in (str(v), k)])
     rows = rows.withColumn("alt", F.coalesce(romans[F.col("part_no")], F.col("part_no")))
     files = v_chapters(spark, d).select("path").distinct().withColumn("folder", F.regexp_extract("path", "^([^/]*)/", 1))
@@ -350,13 +351,12 @@ def w21(spark, d):
 
 
 def g6(spark, d):
-    return v_chapters(spark, d).select("pos", F.explode(F.sequence(F.lit(0), F.least(F.col("n_chars"), F.lit(4000)).cast("int"), F.lit(20))).alias("y")).filter("y < 4000")
+    return v_chapters(spark, d).select("pos", F.explode(F.sequence(F.lit(0), F.col("n_chars").cast("int"), F.lit(20))).alias("y"))
 
 
 def x27(spark, d):
-    names = F.element_at(F.array(*map(F.lit, ("Blue", "GREEN", "red"))), (F.col("pos") % 3 + 1).cast("int"))
-    table = F.create_map(*[F.lit(x) for kv in {"blue": "#1f4e79", "green": "#1e6b3a", "red": "#8b1a1a"}.items() for x in kv])
-    return v_chapters(spark, d).select("pos", F.format_string(":root{--accent:%s}", table[F.lower(names)]).alias("css"))
+    names = F.element_at(F.array(*map(F.lit, ("Purple", "BLUE", "green", "tEAL", "red", "Orange", "gray"))), (F.col("pos") % 7 + 1).cast("int"))
+    return v_chapters(spark, d).select("pos", theme_css(names).alias("css"))
 
 
 def j16(spark, d):
@@ -423,7 +423,7 @@ ALL = {
     "j17_split_membership": (j17, with_views("SELECT pos, path, path LIKE 'Part\\_X\\_%/%.md' ESCAPE '\\' OR path LIKE 'Appendix/%.md' AS is_target FROM v_chapters", "v_chapters")),
     "f1_exclude_globs": (f1, with_views("SELECT pos, path FROM (SELECT *, string_split(path, '/')[-1] AS n FROM v_chapters) WHERE NOT n GLOB '*_src1.md' AND NOT n GLOB 'Chapter_?_src2.md' AND NOT n GLOB '[0-4]*_top_*'", "v_chapters")),
     "x3_nfc": (x3, with_views("SELECT pos, nfc_normalize(title) AS title FROM v_chapters", "v_chapters")),
-    "x1_slug": (x1, with_views(f"SELECT pos, {slug_sql('s')} AS slug FROM (SELECT pos, title || ' ' || substr(text, 1, 30) AS s FROM v_chapters)", "v_chapters")),
+    "x1_slug": (x1, with_views(f"SELECT pos, {slug_sql('s')} AS slug FROM (SELECT pos, title || ' ' || text AS s FROM v_chapters)", "v_chapters")),
     "w1_dedupe_suffix": (w1, with_views("SELECT pos, title, CASE WHEN n = 1 THEN '' ELSE '-' || n END AS suffix FROM (SELECT pos, title, row_number() OVER (PARTITION BY title ORDER BY pos) AS n FROM v_chapters)", "v_chapters")),
     "x2_section_id": (x2, with_views(f"""WITH b AS (SELECT pos, CASE WHEN pos % 11 = 0 THEN 'id-' || pos ELSE {slug_sql('s')} END AS base FROM (SELECT pos, CASE WHEN pos % 5 = 0 THEN regexp_extract(path, '([^/]*)\\.md$', 1) ELSE title END AS s FROM v_chapters))
  SELECT pos, base || CASE WHEN n = 1 THEN '' ELSE '-' || n END AS sid FROM (SELECT *, row_number() OVER (PARTITION BY base ORDER BY pos) AS n FROM b)""", "v_chapters")),
@@ -452,7 +452,7 @@ ALL = {
     "j2_first_piece": (j2, with_views("SELECT path, title AS sid, pos FROM v_chapters QUALIFY row_number() OVER (PARTITION BY path ORDER BY pos) = 1", "v_chapters")),
     "j3_missing_images": (j3, with_views("SELECT doc, page, pos, src FROM v_images WHERE src NOT IN (SELECT src FROM v_images WHERE page % 3 <> 0)", "v_images")),
     "sk13_report": (sk13, with_views("SELECT (SELECT count(*) FROM v_chapters) AS n_chapters, (SELECT count(*) FROM (SELECT title FROM v_chapters GROUP BY title HAVING count(*) > 1)) AS n_duplicates, (SELECT count(*) FROM v_images WHERE src NOT IN (SELECT src FROM v_images WHERE page % 3 <> 0)) AS n_missing", "v_images", "v_chapters")),
-    "j6_manifest_lookup": (j6, with_views("""WITH r AS (SELECT pos, ((pos // 10) % 12)::VARCHAR AS n, (pos % 7)::VARCHAR AS c FROM v_chapters WHERE pos % 10 = 0), f AS (SELECT DISTINCT path FROM v_chapters WHERE contains(path, '/'))
+    "j6_manifest_lookup": (j6, with_views("""WITH r AS (SELECT pos, ((pos // 10) % 12)::VARCHAR AS n, (pos % 7)::VARCHAR AS c FROM v_chapters), f AS (SELECT DISTINCT path FROM v_chapters WHERE contains(path, '/'))
  SELECT pos, min(path) AS path FROM r JOIN f ON regexp_matches(path, '^Part_?0*(' || n || '|' || coalesce(['I','II','III','IV','V','VI','VII','VIII','IX','X'][nullif(n::INT, 0)], n) || ')\\D') AND regexp_matches(path, '/Chapter_?0*' || c || '\\D') GROUP BY pos""", "v_chapters")),
     "w9_interval_union": (w9, with_views("""WITH i AS (SELECT *, CASE WHEN y0 > max(y1) OVER (PARTITION BY id ORDER BY y0, y1 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 1 ELSE 0 END AS f FROM v_bands),
  k AS (SELECT *, sum(f) OVER (PARTITION BY id ORDER BY y0, y1 ROWS UNBOUNDED PRECEDING) AS g FROM i) SELECT id, min(y0) AS y0, max(y1) AS y1 FROM k GROUP BY id, g""", "v_bands")),
@@ -472,8 +472,8 @@ ALL = {
     "a20_any_flag": (a20, with_views("SELECT doc, coalesce(bool_or(height < 1) FILTER (WHERE width > 30), false) AS needs_cdn FROM v_images GROUP BY doc", "v_images")),
     "a21_search_hits": (a21, with_views("SELECT 'th' AS q, sum(len(regexp_extract_all(lower(regexp_replace(html, '<[^>]+>', '', 'g')), 'th')))::BIGINT AS hits FROM v_html", "v_html")),
     "w21_search_cursor": (w21, with_views("SELECT pos, CASE WHEN n > 0 THEN n - 1 END::INT AS prev_of_first, CASE WHEN n > 0 THEN 0 END::INT AS next_of_last FROM (SELECT pos, len(regexp_extract_all(text, '\\S+')) AS n FROM v_chapters)", "v_chapters")),
-    "g6_ruler_rows": (g6, with_views("SELECT pos, unnest(range(0, least(n_chars, 3999) + 1, 20))::INT AS y FROM v_chapters", "v_chapters")),
-    "x27_theme_css": (x27, with_views("SELECT pos, ':root{--accent:' || ['#1f4e79','#1e6b3a','#8b1a1a'][pos % 3 + 1] || '}' AS css FROM v_chapters", "v_chapters")),
+    "g6_ruler_rows": (g6, with_views("SELECT pos, unnest(range(0, n_chars + 1, 20))::INT AS y FROM v_chapters", "v_chapters")),
+    "x27_theme_css": (x27, with_views(f"SELECT pos, '/* ── color theme: ' || c[1] || ' ── */' || chr(10) || ':root {{ --primary: ' || c[2] || '; --primary-light: ' || c[3] || '; --accent: ' || c[4] || '; }}' AS css FROM (SELECT pos, {[[k, *v] for k, v in THEMES.items()]}[pos % 7 + 1] AS c FROM v_chapters)", "v_chapters")),
     "j16_locale_lookup": (j16, with_views("SELECT pos, CASE WHEN pos % 3 = 1 THEN 'No matches' ELSE '일치 없음' END AS no_match FROM v_chapters", "v_chapters")),
     "j15_model_names": (j15, with_views("SELECT pos, ['qwen3.6:35b','llama3:8b','gemma:2b','phi'][pos % 4 + 1] AS want, ['qwen3.6:7b','llama3:8b','gemma',NULL][pos % 4 + 1] AS name FROM v_chapters", "v_chapters")),
 }

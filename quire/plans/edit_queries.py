@@ -37,7 +37,7 @@ def f12(spark, d):
 
 
 def f13(spark, d):
-    return _t(spark, d).select("chunk_ix", T.cell_hallucinated(F.substring("original", 1, 30), F.col("result")).alias("bad"))
+    return _t(spark, d).select("chunk_ix", T.cell_hallucinated(F.col("original"), F.col("result")).alias("bad"))
 
 
 def a14(spark, d):
@@ -117,7 +117,7 @@ def f14(spark, d):
     """Tables among chunks: a header, a separator with as many cells, no blank line."""
     from ..functions.markdown import is_table
 
-    head = F.concat(F.lit("| a | "), F.regexp_replace(F.substring("original", 1, 20), "[^A-Za-z]", " "), F.lit(" |\n"))
+    head = F.concat(F.lit("| a | "), F.regexp_replace("original", "[^A-Za-z]", " "), F.lit(" |\n"))
     sep = F.when(F.col("chunk_ix") % 3 == 0, F.lit("|---|:-:|")).when(F.col("chunk_ix") % 3 == 1, F.lit("|---|")).otherwise(F.lit("text"))
     return _t(spark, d).select("chunk_ix", is_table(F.concat(head, sep, F.lit("\n| 1 | 2 |"))).alias("is_table"))
 
@@ -131,8 +131,7 @@ def w17(spark, d):
 
 
 def x23(spark, d):
-    name = F.when(F.col("lang") == "en", "English").when(F.col("lang") == "ko", "Korean").otherwise(F.col("lang"))
-    return _t(spark, d).select("chunk_ix", F.md5(F.concat(F.lit("Translate into "), name, F.lit(". Keep Markdown as it is.\n\n"), F.col("original"))).alias("digest"))
+    return _t(spark, d).select("chunk_ix", F.md5(T.prompt(F.col("original"), F.col("lang"))).alias("digest"))
 
 
 def x24(spark, d):
@@ -142,7 +141,7 @@ def x24(spark, d):
 
 
 def x25(spark, d):
-    return _t(spark, d).select("chunk_ix", F.substring(F.split("original", "\n")[0], 1, 200).alias("first_line"))
+    return _t(spark, d).select("chunk_ix", F.split("original", "\n")[0].alias("first_line"))
 
 
 def f18(spark, d):
@@ -227,9 +226,13 @@ def f17(spark, d):
     return v_lines(spark, d).select("page", "ln", F.col("line").rlike(pattern).alias("is_tip"))
 
 
+# Languages whose code is highlighted.
+HIGHLIGHTED = ["python", "bash", "shell", "sh", "yaml", "json", "javascript", "js", "html", "css", "sql"]
+
+
 def f21(spark, d):
-    lang = F.element_at(F.array(*map(F.lit, ("python", "bash", "mermaid", "dockerfile", "brainf"))), (F.col("pos") % 5 + 1).cast("int"))
-    known = ["python", "bash", "json", "yaml", "sql", "javascript"]
+    lang = F.element_at(F.array(*map(F.lit, ("python", "bash", "mermaid", "dockerfile", "sh", "css", "brainf"))), (F.col("pos") % 7 + 1).cast("int"))
+    known = HIGHLIGHTED
     cls = lambda allowed: F.when(lang.isin(allowed), F.concat(F.lit("language-"), lang)).otherwise("plain-code")
     return v_chapters(spark, d).select("pos", cls(known).alias("html_class"), cls([*known, "dockerfile"]).alias("pdf_class"))
 
@@ -241,7 +244,7 @@ def math(spark, d):
 
 
 def width(spark, d):
-    wide = F.concat(F.substring("original", 1, 12), F.when(F.col("chunk_ix") % 2 == 0, F.lit("한글漢字")).otherwise(""))
+    wide = F.concat("original", F.when(F.col("chunk_ix") % 2 == 0, F.lit("한글漢字")).otherwise(""))
     return _t(spark, d).select("chunk_ix", X.visual_width(wide).alias("width"))
 
 
@@ -269,7 +272,7 @@ ALL = {
     "f10_untranslated_echo": (f10, with_views("SELECT chunk_ix, regexp_replace(original, '^\\s+|\\s+$', '', 'g') = regexp_replace(result, '^\\s+|\\s+$', '', 'g') AND len(regexp_extract_all(original, '[A-Za-z]')) >= 20 AS echo FROM v_translations", V)),
     "f11_chunk_failed": (f11, with_views(f"WITH {FAILED} SELECT path, chunk_ix, lang, failed FROM fl", V)),
     "f12_cell_needs": (f12, with_views("SELECT chunk_ix, CASE WHEN lang = 'ko' THEN regexp_matches(result, '[A-Za-z]') ELSE regexp_matches(result, '[가-힣]') END AS needs FROM v_translations", V)),
-    "f13_cell_hallucination": (f13, with_views("SELECT chunk_ix, contains(result, chr(10)) OR length(result) > 4 * length(substr(original, 1, 30)) + 40 AS bad FROM v_translations", V)),
+    "f13_cell_hallucination": (f13, with_views("SELECT chunk_ix, contains(result, chr(10)) OR length(result) > 4 * length(original) + 40 AS bad FROM v_translations", V)),
     "a14_outcomes": (a14, with_views(f"WITH {FAILED} SELECT path, count(*) FILTER (WHERE NOT failed) AS ok, count(*) FILTER (WHERE failed) AS fail, bool_or(failed) AS is_error FROM fl GROUP BY path", V)),
     "a17_incomplete_summary": (a17, with_views(f"WITH {FAILED} SELECT path, string_agg(n::VARCHAR, ',' ORDER BY n) AS chunks, count(*) AS n_failed FROM nf WHERE failed GROUP BY path", V)),
     "sc18_markers": (sc18, with_views(f"WITH {FAILED} SELECT path, array_to_string(inc, ',') AS incomplete, total_chunks, true AS no_chunks FROM marks WHERE len(inc) > 0", V)),
@@ -286,9 +289,9 @@ ALL = {
  walk AS (SELECT page, i, line, length(line) AS len, 0 AS ix FROM p WHERE i = 1 UNION ALL
   SELECT p.page, p.i, p.line, CASE WHEN w.len + 2 + length(p.line) <= 300 THEN w.len + 2 + length(p.line) ELSE length(p.line) END, CASE WHEN w.len + 2 + length(p.line) <= 300 THEN w.ix ELSE w.ix + 1 END FROM walk w JOIN p ON p.page = w.page AND p.i = w.i + 1)
  SELECT page, ix, md5(string_agg(line, chr(10) || chr(10) ORDER BY i)) AS digest, length(string_agg(line, chr(10) || chr(10) ORDER BY i))::INT AS n FROM walk GROUP BY page, ix""", "v_lines")),
-    "x23_prompt": (x23, with_views("SELECT chunk_ix, md5('Translate into ' || CASE lang WHEN 'en' THEN 'English' WHEN 'ko' THEN 'Korean' ELSE lang END || '. Keep Markdown as it is.' || chr(10) || chr(10) || original) AS digest FROM v_translations", V)),
+    "x23_prompt": (x23, with_views(f"SELECT chunk_ix, md5('{T.PROMPT[0]}' || CASE lang WHEN 'en' THEN 'English' WHEN 'ko' THEN 'Korean' ELSE lang END || '{T.PROMPT[1]}' || chr(10) || chr(10) || original) AS digest FROM v_translations", V)),
     "x24_labels": (x24, with_views("SELECT chunk_ix, printf('[%d/%d] %s', row_number() OVER (PARTITION BY path ORDER BY chunk_ix), count(*) OVER (PARTITION BY path), path) AS label FROM v_translations", V)),
-    "x25_first_line": (x25, with_views("SELECT chunk_ix, left(split_part(original, chr(10), 1), 200) AS first_line FROM v_translations", V)),
+    "x25_first_line": (x25, with_views("SELECT chunk_ix, split_part(original, chr(10), 1) AS first_line FROM v_translations", V)),
     "f18_status": (f18, with_views("SELECT id, CASE op WHEN 'deleted' THEN 'deleted' WHEN 'edit' THEN 'modified' ELSE 'original' END AS status FROM v_sections", "v_sections")),
     "x21_title_edit": (x21, with_views("SELECT id, CASE WHEN pos % 2 = 0 THEN pos || '. ' ELSE '' END || new_title AS title FROM v_sections", "v_sections")),
     "j12_staged_edits": (j12, with_views("SELECT id, CASE WHEN op = 'edit' THEN pos || '. ' || new_title ELSE title END AS title, md5(CASE WHEN op = 'edit' THEN '+' || text ELSE text END) AS digest FROM v_sections WHERE op IS DISTINCT FROM 'deleted'", "v_sections")),
@@ -305,9 +308,9 @@ ALL = {
     "sc13_section_list": (sc13, with_views("SELECT id, pos, title, len(regexp_extract_all(title || ' ' || text, '\\S+'))::INT AS words, CASE op WHEN 'deleted' THEN 'deleted' WHEN 'edit' THEN 'modified' ELSE 'original' END AS status FROM v_sections WHERE length(text) > 0", "v_sections")),
     "f2_empty_guard": (f2, with_views("SELECT count(*) = 0 AS is_empty, count(*) AS n_chapters FROM v_chapters", "v_chapters")),
     "f17_tip_markers": (f17, with_views("SELECT page, ln::INT AS ln, starts_with(l, 'The') OR starts_with(l, 'A.') OR starts_with(l, '*') AS is_tip FROM (SELECT page, ln, ltrim(line) AS l FROM v_lines)", "v_lines")),
-    "f21_highlight_classes": (f21, with_views("SELECT pos, ['language-python','language-bash','plain-code','plain-code','plain-code'][pos % 5 + 1] AS html_class, ['language-python','language-bash','plain-code','language-dockerfile','plain-code'][pos % 5 + 1] AS pdf_class FROM v_chapters", "v_chapters")),
+    "f21_highlight_classes": (f21, with_views("SELECT pos, ['language-python','language-bash','plain-code','plain-code','language-sh','language-css','plain-code'][pos % 7 + 1] AS html_class, ['language-python','language-bash','plain-code','language-dockerfile','language-sh','language-css','plain-code'][pos % 7 + 1] AS pdf_class FROM v_chapters", "v_chapters")),
     "m1_fit_math": (math, with_views("SELECT doc, page, pos::INT AS pos, round(s, 6) AS scale, ceil(round(height * s, 6))::BIGINT AS h, round_even(width * 0.25 * 2, 0) / 2 AS half FROM (SELECT *, least(1.0::DOUBLE, 40.0::DOUBLE / greatest(width, 1)) AS s FROM v_images)", "v_images")),
-    "w19_visual_width": (width, with_views("SELECT chunk_ix, (length(s) + CASE WHEN chunk_ix % 2 = 0 THEN 4 ELSE 0 END + len(regexp_extract_all(substr(original, 1, 12), '[\\x{3040}-\\x{30ff}\\x{4e00}-\\x{9fff}\\x{ac00}-\\x{d7a3}]')))::INT AS width FROM (SELECT chunk_ix, original, substr(original, 1, 12) || CASE WHEN chunk_ix % 2 = 0 THEN '한글漢字' ELSE '' END AS s FROM v_translations)", V)),
+    "w19_visual_width": (width, with_views("SELECT chunk_ix, (length(s) + CASE WHEN chunk_ix % 2 = 0 THEN 4 ELSE 0 END + len(regexp_extract_all(original, '[\\x{3040}-\\x{30ff}\\x{4e00}-\\x{9fff}\\x{ac00}-\\x{d7a3}]')))::INT AS width FROM (SELECT chunk_ix, original, original || CASE WHEN chunk_ix % 2 = 0 THEN '한글漢字' ELSE '' END AS s FROM v_translations)", V)),
     "e1_toggle_element": (toggle, with_views("SELECT source, row_number() OVER (PARTITION BY source ORDER BY pos)::INT AS ix, CASE WHEN op = 'deleted' THEN 'active' ELSE 'deleted' END AS next FROM v_sections", "v_sections")),
     "x19_paragraph_repair": (x19, None),
 }

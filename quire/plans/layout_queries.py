@@ -100,13 +100,13 @@ def j9(spark, d):
 
 
 def x20(spark, d):
-    return L.table_markdown(v_words(spark, d).filter("doc_id % 3 = 0"))
+    return L.table_markdown(v_words(spark, d))
 
 
 def a11(spark, d):
     w = v_words(spark, d)
-    col = F.when(F.col("doc_id") % 3 == 0, F.col("t") % 3).otherwise(F.col("t") % 4)
-    return w.filter("doc_id % 3 < 2").groupBy("doc_id", col.alias("col")).agg(F.greatest(F.lit(1), F.max(F.length("text"))).alias("width"))
+    col = F.when(F.col("doc_id") % 3 == 0, F.col("t") % 3).when(F.col("doc_id") % 3 == 1, F.col("t") % 4).otherwise(F.col("t") % 8)
+    return w.groupBy("doc_id", col.alias("col")).agg(F.greatest(F.lit(1), F.max(F.length("text"))).alias("width"))
 
 
 def w12(spark, d):
@@ -183,8 +183,7 @@ def f3(spark, d):
 
 
 def f4(spark, d):
-    w = v_words(spark, d).filter("doc_id % 3 = 0")
-    numbered = w.filter("t % 3 = 0 or row not in (0, 39)").withColumn("text", F.when(F.col("row").isin(0, 39), (F.col("t") % 12000).cast("string")).otherwise(F.col("text")))
+    numbered = v_words(spark, d).withColumn("text", F.when(F.col("row").isin(0, 39), (F.col("t") % 12000).cast("string")).otherwise(F.col("text")))
     return L.page_number_words(numbered, 1000.0).select("doc_id", "page", "t", "text")
 
 
@@ -214,14 +213,14 @@ ALL = {
     "j8_nearest_table_column": (j8, with_views(f"""WITH {GROUPS}, {clusters('cols', 'groups', '10')} SELECT doc_id, page, t, arg_min(cluster, (round(abs(x0 - center), 6), cluster))::INT AS col
  FROM v_words JOIN cols USING (doc_id, page) GROUP BY doc_id, page, t""", "v_words")),
     "j9_band_join": (j9, with_views(f"WITH {COLS} SELECT g.doc_id, g.page, g.row, g.g::INT AS g, min(cluster)::INT AS col FROM groups g JOIN cols c ON c.doc_id = g.doc_id AND c.page = g.page AND abs(g.x0 - center) <= 10 GROUP BY ALL", "v_words")),
-    "x20_table_markdown": (x20, with_views(f"""WITH tw AS (SELECT * FROM v_words WHERE doc_id % 3 = 0), {GROUPS.replace('FROM v_words', 'FROM tw')}, {clusters('cols', 'groups', '10')},
+    "x20_table_markdown": (x20, with_views(f"""WITH tw AS (SELECT * FROM v_words), {GROUPS.replace('FROM v_words', 'FROM tw')}, {clusters('cols', 'groups', '10')},
  placed AS (SELECT doc_id, page, row, t, x0, replace(text, '|', '\\|') AS text, arg_min(cluster, (abs(x0 - center), cluster)) AS col FROM tw JOIN cols USING (doc_id, page) GROUP BY ALL),
  cells AS (SELECT doc_id, page, row, col, string_agg(text, ' ' ORDER BY x0, t) AS cell FROM placed GROUP BY ALL),
  widths AS (SELECT c.doc_id, c.page, c.cluster AS col, greatest(1, coalesce(max(length(cell)), 1)) AS w FROM cols c LEFT JOIN cells x ON x.doc_id = c.doc_id AND x.page = c.page AND x.col = c.cluster GROUP BY ALL),
  grid AS (SELECT r.doc_id, r.page, r.row, w.col, rpad(coalesce(cell, ''), w.w::INT, ' ') AS cell, repeat('-', w.w) AS dash FROM (SELECT DISTINCT doc_id, page, row FROM tw) r JOIN widths w USING (doc_id, page) LEFT JOIN cells x ON x.doc_id = r.doc_id AND x.page = r.page AND x.row = r.row AND x.col = w.col),
  lines AS (SELECT doc_id, page, row, '| ' || string_agg(cell, ' | ' ORDER BY col) || ' |' AS line, '| ' || string_agg(dash, ' | ' ORDER BY col) || ' |' AS dash FROM grid GROUP BY ALL)
  SELECT doc_id, page, string_agg(line, chr(10) ORDER BY row, k) AS table_md FROM (SELECT doc_id, page, row, 0 AS k, line FROM lines UNION ALL SELECT doc_id, page, min(row), 1, any_value(dash) FROM lines GROUP BY doc_id, page) GROUP BY ALL""", "v_words")),
-    "a11_column_widths": (a11, with_views("SELECT doc_id, (CASE doc_id % 3 WHEN 0 THEN t % 3 ELSE t % 4 END)::INT AS col, greatest(1, max(length(text)))::INT AS width FROM v_words WHERE doc_id % 3 < 2 GROUP BY ALL", "v_words")),
+    "a11_column_widths": (a11, with_views("SELECT doc_id, (CASE doc_id % 3 WHEN 0 THEN t % 3 WHEN 1 THEN t % 4 ELSE t % 8 END)::INT AS col, greatest(1, max(length(text)))::INT AS width FROM v_words GROUP BY ALL", "v_words")),
     "w12_code_runs": (w12, with_views(f"""WITH {STATS}, lines AS (SELECT doc_id, page, row, string_agg(text, ' ' ORDER BY x0, t) AS line FROM v_words GROUP BY ALL),
  isl AS (SELECT s.doc_id, s.page, s.row, is_code, line, row_number() OVER (PARTITION BY s.doc_id, s.page ORDER BY s.row) - row_number() OVER (PARTITION BY s.doc_id, s.page, is_code ORDER BY s.row) AS k FROM stats s JOIN lines USING (doc_id, page, row)),
  runs AS (SELECT *, count(*) OVER p AS n, row = min(row) OVER p AS f, row = max(row) OVER p AS l FROM isl WINDOW p AS (PARTITION BY doc_id, page, is_code, k))
@@ -245,7 +244,7 @@ ALL = {
  SELECT doc_id, CASE WHEN count(*) >= 20 AND count(*) FILTER (WHERE nx - gap >= 0.5) > 0 THEN greatest(1.0::DOUBLE, least(3.0::DOUBLE, arg_min((gap + nx) / 2, gap) FILTER (WHERE nx - gap >= 0.5))) ELSE 3.0::DOUBLE END AS tolerance FROM nexts GROUP BY doc_id""", "v_words")),
     "s9_page_sample": (s9, with_views("SELECT doc_id, count(*) AS n_words FROM v_words WHERE page < 10 GROUP BY ALL", "v_words")),
     "f3_garbled_words": (f3, with_views("SELECT doc_id, page, count(*) AS n_words FROM v_words WHERE t % 11 <> 0 GROUP BY ALL", "v_words")),
-    "f4_page_numbers": (f4, with_views("""WITH n AS (SELECT doc_id, page, row, t, top, bottom, CASE WHEN row IN (0, 39) THEN (t % 12000)::VARCHAR ELSE text END AS text FROM v_words WHERE doc_id % 3 = 0 AND (t % 3 = 0 OR row NOT IN (0, 39)))
+    "f4_page_numbers": (f4, with_views("""WITH n AS (SELECT doc_id, page, row, t, top, bottom, CASE WHEN row IN (0, 39) THEN (t % 12000)::VARCHAR ELSE text END AS text FROM v_words)
  SELECT doc_id, page, t, text FROM n QUALIFY NOT (count(*) OVER (PARTITION BY doc_id, page, row) = 1 AND regexp_full_match(text, '[0-9]{1,4}') AND (top < 100 OR bottom > 900))""", "v_words")),
     "u2_heading_markers": (u2, with_views(f"""WITH {STATS}, {BODY}, {HEADS} SELECT doc_id, page, t, text, x0, top FROM v_words UNION ALL
  SELECT doc_id, page, arg_min(t, (x0, t)), '##', min(x0) - 1, arg_min(top, (x0, t)) FROM v_words JOIN heads USING (doc_id, page, row) GROUP BY doc_id, page, row""", "v_words")),

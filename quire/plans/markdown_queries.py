@@ -40,8 +40,8 @@ def f22(spark, d):
 
 
 def g1(spark, d):
-    """Pieces of the chapters that are split; a piece's label is the chapter's title only if there are several."""
-    p = S.split_pieces(v_md(spark, d).filter("page % 3 = 0"), "page", "text")
+    """Pieces of all chapters; a piece's label is the chapter's title only if there are several."""
+    p = S.split_pieces(v_md(spark, d), "page", "text")
     n = F.count(F.lit(1)).over(Window.partitionBy("page"))
     return p.select("page", "piece_ix", F.when(n > 1, F.lit("Title")).alias("group_label"))
 
@@ -228,7 +228,7 @@ BOOK = "regexp_extract(path, '(src\\d+)\\.md$', 1)"
 ALL = {
     "w16_heading_split": (w16, with_views(f"WITH {MD}, {PIECES} SELECT page, piece_ix::INT AS piece_ix, md5(t) AS digest FROM pieces", "v_lines")),
     "f22_protected_zones": (f22, with_views(f"WITH {MD} SELECT page, (sum(CASE ln % 10 WHEN 4 THEN 0 WHEN 6 THEN 0 WHEN 8 THEN 0 WHEN 9 THEN 3 ELSE 1 END) + count(*) + 1)::INT AS n_open, (sum(CASE WHEN ln % 10 IN (4, 6, 8, 9) THEN 3 ELSE 1 END) + count(*) + 1)::INT AS n_lines FROM mb GROUP BY page", "v_lines")),
-    "g1_split_pieces": (g1, with_views(f"WITH {MD}, {PIECES} SELECT page, piece_ix::INT AS piece_ix, CASE WHEN count(*) OVER (PARTITION BY page) > 1 THEN 'Title' END AS group_label FROM pieces WHERE page % 3 = 0", "v_lines")),
+    "g1_split_pieces": (g1, with_views(f"WITH {MD}, {PIECES} SELECT page, piece_ix::INT AS piece_ix, CASE WHEN count(*) OVER (PARTITION BY page) > 1 THEN 'Title' END AS group_label FROM pieces", "v_lines")),
     "x14_protect_blocks": (x14, with_views(f"WITH {MD} SELECT page, count(*) FILTER (WHERE ln % 10 IN (4, 6, 8))::INT AS n_blocks, count(*) FILTER (WHERE ln % 10 IN (4, 6, 8))::INT AS n_marks, count(*) FILTER (WHERE ln % 10 IN (4, 6, 8)) > 0 AS shorter FROM mb GROUP BY page", "v_lines")),
     "x15_markdown_to_html": (x15, with_views(f"WITH {MD} SELECT page, 1 AS h1, count(*) FILTER (WHERE ln % 10 = 2)::INT AS h2, count(*) FILTER (WHERE ln % 10 IN (4, 6))::INT AS pre, count(*) FILTER (WHERE ln % 10 = 8)::INT AS raw, count(*) FILTER (WHERE ln % 10 = 9)::INT AS tables FROM mb GROUP BY page", "v_lines")),
     "x17_html_to_markdown": (x17, with_views(f"WITH {MD} SELECT page, count(*) FILTER (WHERE ln % 10 = 4)::INT AS n_code, count(*) FILTER (WHERE ln % 10 = 9)::INT AS n_tables FROM mb GROUP BY page", "v_lines")),

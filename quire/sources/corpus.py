@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import unicodedata
 from dataclasses import dataclass, field, fields
 
 import yaml
@@ -66,6 +67,8 @@ def read_book(text: str | None) -> Book | None:
     values = {k: nested[k](**v) if k in nested and v else v for k, v in raw.items() if k in known and v is not None}
     if isinstance(raw.get("callouts"), dict):
         values["tip_markers"] = raw["callouts"].get("tip_markers") or []
+    if isinstance(values.get("section_id_overrides"), dict):
+        values["section_id_overrides"] = {unicodedata.normalize("NFC", str(k)): v for k, v in values["section_id_overrides"].items()}
     return Book(**values)
 
 
