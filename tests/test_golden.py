@@ -239,3 +239,36 @@ def test_stream_of_outcomes(spark, tmp_path):
         resume.follow(stream, str(tmp_path / "state")).awaitTermination()
     state = spark.read.parquet(f"{tmp_path}/state/state/1")
     assert [(r.path, r.incomplete_chunks) for r in resume.incomplete(state).collect()] == [("q", [1])]
+
+
+def test_long_digit_runs_sort_by_value(spark):
+    from quire.functions.text import natural_key
+
+    names = ["v" + "9" * 50, "v1" + "0" * 50, "v002", "v10", "v" + "0" * 60 + "3"]
+    df = spark.createDataFrame([(n,) for n in names], "path string")
+    got = [r.path for r in df.orderBy(natural_key(F.col("path")), "path").collect()]
+    assert got == ["v002", "v" + "0" * 60 + "3", "v10", "v" + "9" * 50, "v1" + "0" * 50]
+
+
+def test_null_chunks_pass_through(spark):
+    from quire.operators.translation import failed_in_python, map_with_retry
+
+    df = spark.createDataFrame([("a", 0, None, "en"), ("a", 1, "x", "en")], "path string, chunk_ix long, original string, lang string")
+    got = sorted(map_with_retry(df, str.upper, failed_in_python).collect())
+    assert [(r.result, r.attempts, r.failed) for r in got] == [(None, 0, False), ("X", 1, False)]
+
+
+def test_unknown_theme_is_an_error(spark):
+    from quire.functions.theme import theme_css
+
+    df = spark.createDataFrame([("Teal",), (None,)], "name string")
+    assert [r[0] is None for r in df.select(theme_css(F.col("name"))).collect()] == [False, True]
+    with pytest.raises(Exception, match="unknown colour theme"):
+        spark.createDataFrame([("mauve",)], "name string").select(theme_css(F.col("name"))).collect()
+
+
+def test_override_keys_are_composed():
+    from quire.sources.corpus import read_book
+
+    key = unicodedata.normalize("NFD", "\u00e9.md")
+    assert len(key) == 5 and read_book(f"section_id_overrides:\n  '{key}': x\n").section_id_overrides == {"\u00e9.md": "x"}
