@@ -48,3 +48,13 @@ def test_every_oracle_has_its_query():
     import __spark_entry__
 
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_other_queries_stay_where_the_pipeline_cannot_be_imported(monkeypatch):
+    import sys
+
+    import __spark_entry__
+
+    monkeypatch.setitem(sys.modules, "quire.llm", None)
+    assert __spark_entry__.queries().keys() == registry.queries().keys()
+    assert __spark_entry__.oracle_sql().keys() == registry.oracle_sql().keys()
