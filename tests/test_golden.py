@@ -2,6 +2,7 @@
 
 import unicodedata
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -71,19 +72,40 @@ def test_files_of_a_tree(spark, tmp_path):
 def test_interval_union(spark, bands, want):
     df = spark.createDataFrame([(1, a, b) for a, b in bands], "id int, y0 int, y1 int")
     assert sorted((r.y0, r.y1) for r in C.interval_union(df, "id").collect()) == want
-    assert S.merged_bands(bands) == want
+    assert S.free_gaps(bands).ravel()[1:-1].tolist() == [x for band in want for x in band]
 
 
 def test_page_cuts():
     assert S.page_cuts(2500, [], 1000, 1000) == [0, 1000, 2000, 2500]
     assert S.page_cuts(50, [], 1000, 100) == [0, 50]
-    assert S.safe_cut(1000, [(950, 1050)], 400, 1000) == 950
+    assert S.nearest_free(1000, S.free_gaps([(950, 1050)]), 400, 1000) == 950
     for seed in range(30):
         bands = [(i * 37 % 900, i * 37 % 900 + seed + 5) for i in range(12)]
         cuts = S.page_cuts(3000, bands, 700, 60 + 20 * seed)
         assert cuts[0] == 0 and cuts[-1] == 3000 and all(0 < b - a <= 700 for a, b in zip(cuts, cuts[1:]))
 
 
+def test_nearest_free_is_the_first_of_a_walk():
+    rng = np.random.default_rng(3)
+    for _ in range(400):
+        bands = [(float(a), float(a + w)) for a, w in zip(rng.integers(0, 120, 6), rng.integers(1, 25, 6))]
+        low, high = sorted(rng.integers(0, 130, 2).astype(float))
+        target = min(max(float(rng.integers(0, 130)), low), high)
+        edges = sorted(bands)
+        union = [edges[0]]
+        for a, b in edges[1:]:
+            union = [*union[:-1], (union[-1][0], max(union[-1][1], b))] if a <= union[-1][1] else [*union, (a, b)]
+        walk = sorted((abs(k), target + 2 * k) for k in range(-70, 71) if low <= target + 2 * k <= high and not any(a < target + 2 * k < b for a, b in union))
+        assert S.nearest_free(target, S.free_gaps(bands), low, high) == (walk[0][1] if walk else target)
+
+
+def test_figure_cuts_of_nulls(spark):
+    rows = [(1, 900.0, [[300.0, 500.0]], 400.0, 400.0), (2, None, [], 400.0, 400.0), (3, 900.0, None, 400.0, 400.0), (4, 500.0, [None, [1.0, None]], 400.0, 400.0), (5, 9.0, [], 0.0, 0.0)]
+    df = spark.createDataFrame(rows, "id int, h double, bands array<array<double>>, p double, f double")
+    got = {r.id: r.c for r in df.select("id", S.figure_cuts("h", "bands", "p", "f").alias("c")).collect()}
+    assert got == {1: [0, 300, 700, 900], 2: None, 3: None, 4: [0, 400, 500], 5: None}
+
+
 def test_outline(spark):
     df = spark.createDataFrame([(1, 0, "I", 2), (1, 1, "I", 3), (1, 2, "II", 1)], "book int, pos int, part_label string, n int")
     got = C.part_headings(C.page_offsets(df, ["book"], "pos", F.col("n")), ["book"], "pos", True).orderBy("pos").collect()
