@@ -80,11 +80,11 @@ def _by_fingerprint(sets: DataFrame, folder: str, radius: int) -> DataFrame:
     return same.union(linked).filter("u <> v").distinct()
 
 
-def _whole(nodes: DataFrame, sets: DataFrame, docs: DataFrame, text: str, shingle_words: int, folder: str, name: str) -> DataFrame:
+def _whole(nodes: DataFrame, sets: DataFrame, docs: DataFrame, text: str, shingle_words: int, folder: str) -> DataFrame:
     """(node, held): the shingles of each of the nodes. Only their texts are hashed and moved on."""
     row = F.min(F.struct("doc_id", "text_hash")).alias("k")
     need = sets.join(nodes, "node", "left_semi").groupBy("node").agg(row).select("node", F.col("k.doc_id").alias("_id"), F.col("k.text_hash").alias("_hash"))
-    need = written(need, folder, f"{name}-need")
+    need = written(need, folder, "need")
     texts = docs.select(F.col("doc_id").cast("long").alias("_doc"), F.col(text).alias("text"), F.xxhash64(text).alias("_text"))
     texts = texts.join(need, F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_hash"))).select("node", "text")
 
@@ -92,15 +92,12 @@ def _whole(nodes: DataFrame, sets: DataFrame, docs: DataFrame, text: str, shingl
         return {"node": b["node"], "held": [shingles(t, shingle_words).astype("<u8").tobytes() for t in utf8(b["text"])]}
 
     hashed = texts.mapInArrow(arrow_rows(held, pa.schema([("node", pa.int64()), ("held", pa.binary())])), "node long, held binary")
-    whole = written(hashed, folder, f"{name}-whole")
+    whole = written(hashed, folder, "whole")
     return whole if whole.count() == need.count() else whole.dropDuplicates(["node"])  # equal rows
 
 
-def _checked(pairs: DataFrame, sets: DataFrame, docs: DataFrame, text: str, shingle_words: int, similar: tuple[int, int], folder: str, name: str) -> DataFrame:
-    """The pairs (u, v) whose whole sets are similar."""
-    pairs = written(pairs, folder, f"{name}-pairs")
-    nodes = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
-    whole = _whole(nodes, sets, docs, text, shingle_words, folder, name)
+def _checked(pairs: DataFrame, whole: DataFrame, similar: tuple[int, int]) -> DataFrame:
+    """The pairs (u, v) whose whole sets (node, held) are similar."""
 
     def rows(b: dict) -> dict:
         keep = []
@@ -151,12 +148,17 @@ def near_copies(docs: DataFrame, text: str = "text", shingle_words: int = SHINGL
     folder = shared_dir(spark)
     sets = written(_sets(docs, text, shingle_words), folder, "sets")
     near = _near(similar)
-    held = sets.select("node", "n", F.explode("bands").alias("h"))
+    # dealt by band once: buckets, pivots and their members come from the same exchange
+    held = sets.select("node", "n", F.explode("bands").alias("h")).repartition("h")
     shared = held.groupBy("h").agg(F.min(F.struct("node", "n")).alias("p"), F.max("node").alias("high")).filter("p.node < high")
     met = written(held.join(shared.select("h", F.col("p.node").alias("pivot"), F.col("p.n").alias("m")), "h").distinct(), folder, "met")
     first = met.filter("node <> pivot").filter(near).groupBy(F.col("node").alias("u")).agg(F.min("pivot").alias("v"))
-    check = lambda pairs, name: written(_checked(pairs, sets, docs, text, shingle_words, similar, folder, name), folder, f"{name}-links")
-    links = check(_by_fingerprint(sets.select("node", "fp").distinct(), folder, radius).union(first).distinct(), "first")
+    first = written(_by_fingerprint(sets.select("node", "fp").distinct(), folder, radius).union(first).distinct(), folder, "first-pairs")
+    # all sets that any pair below can hold: their texts are moved once
+    nodes = first.select(F.col("u").alias("node")).union(first.select("v")).union(met.select("node")).distinct()
+    whole = _whole(nodes, sets, docs, text, shingle_words, folder)
+    check = lambda pairs, name: written(_checked(pairs, whole, similar), folder, f"{name}-links")
+    links = check(first, "first")
 
     def apart(rows: DataFrame, links: DataFrame, name: str) -> DataFrame:
         """(h, node, n, root) of the buckets whose sets aren't all linked."""
@@ -177,8 +179,7 @@ def near_copies(docs: DataFrame, text: str = "text", shingle_words: int = SHINGL
     now = apart(now.join(pivots.select("h", F.col("v").alias("node")), ["h", "node"], "left_anti").select("h", "node", "n"), links, "two")
     if not now.isEmpty():
         open_ = now.select("node", "n", "root").distinct()
-        whole = _whole(open_.select("node"), sets, docs, text, shingle_words, folder, "open")
-        links = links.union(check(_by_rare_shingles(open_, whole, similar, folder), "third"))
+        links = links.union(check(_by_rare_shingles(open_, whole.join(open_, "node", "left_semi"), similar, folder), "third"))
     roots = components(links, f"{folder}/last-rounds")
     named = sets.select("doc_id", "text_hash", "node").join(roots, "node", "left")
     return named.select("doc_id", "text_hash", F.coalesce("root", "node").alias("root"))
