@@ -39,6 +39,30 @@ def written(df: DataFrame, folder: str, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(f"{folder}/{name}")
 
 
+#: Most bits of a key filter: 8 MB are broadcast at most, however many keys there are.
+FILTER_BITS = 26
+
+
+def split_by_keys(rows: DataFrame, key: Column, keys: DataFrame, folder: str, name: str) -> tuple[DataFrame, DataFrame]:
+    """(those that may be among the keys, those that aren't): the rows by whether a bit is set for the hash in `key`.
+
+    keys has one column of 64-bit hashes, `k`. The filter takes about 32 bits a key up to 2 ** FILTER_BITS; beyond, more rows
+    land in the first part, which the caller joins with the keys themselves, so the filter only saves moving rows. A null key
+    counts as one that isn't among them.
+    """
+    size = 1 << min(FILTER_BITS, max(15, (32 * keys.count()).bit_length()))
+    place = F.pmod("k", F.lit(size))
+    placed = keys.select(F.shiftright(place, 15).alias("part"), place.bitwiseAND(32767).alias("at")).repartition("part")
+    bits = F.broadcast(written(placed.groupBy("part").agg(F.bitmap_construct_agg("at").alias("held")), folder, name))
+    place = F.pmod(key, F.lit(size))
+    at = place.bitwiseAND(32767)
+    byte = F.conv(F.hex(F.substring(bits["held"], (F.shiftright(at, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    hit = F.coalesce(F.getbit(byte, at.bitwiseAND(7).cast("int")) == 1, F.lit(False))
+    met = rows.join(bits, F.shiftright(place, 15) == bits["part"], "left")
+    columns = [rows[c] for c in rows.columns]
+    return met.filter(hit).select(*columns), met.filter(~hit).select(*columns)
+
+
 _shipped: set[str] = set()
 
 

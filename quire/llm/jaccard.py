@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import simhash
-from .common import arrow_rows, prepare, shared_dir, utf8, written
+from .common import arrow_rows, prepare, shared_dir, split_by_keys, utf8, written
 from .graph import components
 from .simhash import SEED, chosen
 
@@ -81,11 +81,12 @@ def _by_fingerprint(sets: DataFrame, folder: str, radius: int) -> DataFrame:
 
 
 def _whole(nodes: DataFrame, sets: DataFrame, docs: DataFrame, text: str, shingle_words: int, folder: str) -> DataFrame:
-    """(node, held): the shingles of each of the nodes. Only their texts are hashed and moved on."""
+    """(node, held): the shingles of each of the nodes. Only their texts are moved and hashed, but for a few that the filter lets through."""
     row = F.min(F.struct("doc_id", "text_hash")).alias("k")
     need = sets.join(nodes, "node", "left_semi").groupBy("node").agg(row).select("node", F.col("k.doc_id").alias("_id"), F.col("k.text_hash").alias("_hash"))
     need = written(need, folder, "need")
     texts = docs.select(F.col("doc_id").cast("long").alias("_doc"), F.col(text).alias("text"), F.xxhash64(text).alias("_text"))
+    texts, _ = split_by_keys(texts, F.xxhash64("_doc", "_text"), need.select(F.xxhash64("_id", "_hash").alias("k")), folder, "need-bits")
     texts = texts.join(need, F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_hash"))).select("node", "text")
 
     def held(b: dict) -> dict:

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, prepare, shared_dir, utf8, written
+from .common import arrow_rows, prepare, shared_dir, split_by_keys, utf8, written
 from .graph import components
 
 SHINGLE_WORDS = 3
@@ -214,11 +214,21 @@ def representatives(docs: DataFrame, **options) -> DataFrame:
 
 
 def chosen(docs: DataFrame, found: DataFrame, text: str = "text") -> DataFrame:
-    """The rows of docs that stand for their root in found (doc_id, text_hash, root)."""
+    """The rows of docs that stand for their root in found (doc_id, text_hash, root).
+
+    Only rows that a filter can't tell from dropped ones are moved to the join with the chosen keys.
+    """
+    folder = shared_dir(docs.sparkSession)
+    found = written(found, folder, "found")
     best = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("k"))
-    keep = written(best.select(F.col("k.doc_id").alias("_id"), F.col("k.text_hash").alias("_hash")), shared_dir(docs.sparkSession), "representatives")
-    same = lambda df, hashed: F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (hashed == F.col("_hash"))
-    kept = docs.join(keep, same(docs, F.xxhash64(text)), "left_semi")
-    if found.join(keep, same(found, F.col("text_hash")), "left_semi").count() > keep.count():
+    keep = written(best.select(F.col("k.doc_id").alias("_id"), F.col("k.text_hash").alias("_hash")), folder, "representatives")
+    same = found["doc_id"].eqNullSafe(keep["_id"]) & (found["text_hash"] == keep["_hash"])
+    dropped = written(found.join(keep, same, "left_anti").select(F.xxhash64("doc_id", "text_hash").alias("k")), folder, "dropped")
+    id_, hashed = docs["doc_id"].cast("long"), F.xxhash64(docs[text])
+    unsure, sure = split_by_keys(docs, F.xxhash64(id_, hashed), dropped, folder, "dropped-bits")
+    # an inner join: a semi-join would be pushed below the filter and move every text
+    among = unsure["doc_id"].cast("long").eqNullSafe(keep["_id"]) & (F.xxhash64(unsure[text]) == keep["_hash"])
+    kept = sure.unionByName(unsure.join(keep, among).select(*[unsure[c] for c in docs.columns]))
+    if found.count() - dropped.count() > keep.count():
         kept = kept.dropDuplicates(["doc_id", text])
     return kept
