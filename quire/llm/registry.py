@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 import public_tokenizers
 
-from . import impact, langid, licenses, mih, mixing, packing, simhash, tokens, urls, warc
+from . import impact, langid, licenses, mih, mixing, packing, repair, simhash, tokens, urls, warc
 from .common import table
 
 #: The tokenizer file is a parameter of the operators; these queries use the public one.
@@ -54,8 +54,12 @@ def op10_token_counts(spark, sf_dir):
     return tokens.token_counts(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
+def op11_repair(spark, sf_dir):
+    return repair.audited(repair.damaged(table(spark, sf_dir, "conversations")))
+
+
 def queries() -> dict[str, Callable]:
-    return {f.__name__: f for f in (op1_impact_topk, op2_simhash, op3_licenses, op4_urls, op5_warc, op6_langid, op7_mih, op8_mixing, op9_packing, op10_token_counts)}
+    return {f.__name__: f for f in (op1_impact_topk, op2_simhash, op3_licenses, op4_urls, op5_warc, op6_langid, op7_mih, op8_mixing, op9_packing, op10_token_counts, op11_repair)}
 
 
 def oracle_sql() -> dict[str, str]:
