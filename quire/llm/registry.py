@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 import public_tokenizers
 
-from . import divergence, impact, langid, licenses, mih, mixing, packing, repair, simhash, tokens, urls, warc
+from . import divergence, impact, langid, licenses, mih, mixing, packing, pii, repair, simhash, tokens, urls, warc
 from .common import table
 
 #: The tokenizer file is a parameter of the operators; these queries use the public one.
@@ -58,14 +58,18 @@ def op11_repair(spark, sf_dir):
     return repair.audited(repair.damaged(table(spark, sf_dir, "conversations")))
 
 
+def op12_pii(spark, sf_dir):
+    return pii.digests(pii.scan(table(spark, sf_dir, "documents")))
+
+
 def op13_divergence(spark, sf_dir):
     return divergence.audit(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable]:
-    return {f.__name__: f for f in (op1_impact_topk, op2_simhash, op3_licenses, op4_urls, op5_warc, op6_langid, op7_mih, op8_mixing, op9_packing, op10_token_counts, op11_repair, op13_divergence)}
+    return {f.__name__: f for f in (op1_impact_topk, op2_simhash, op3_licenses, op4_urls, op5_warc, op6_langid, op7_mih, op8_mixing, op9_packing, op10_token_counts, op11_repair, op12_pii, op13_divergence)}
 
 
 def oracle_sql() -> dict[str, str]:
     """The two native operators, and the exact search; hashes, models and tokenizers are tested against brute force instead."""
-    return {"op1_impact_topk": impact.oracle(), "op3_licenses": licenses.oracle(), "op4_urls": urls.oracle(), "op5_warc": warc.oracle(), "op13_divergence": divergence.oracle()}
+    return {"op1_impact_topk": impact.oracle(), "op3_licenses": licenses.oracle(), "op4_urls": urls.oracle(), "op5_warc": warc.oracle(), "op12_pii": pii.oracle(), "op13_divergence": divergence.oracle()}
