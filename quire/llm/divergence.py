@@ -14,7 +14,7 @@ sources share are visited as pairs, shift by shift over a term's postings, in bl
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections import Counter
 from operator import itemgetter
 
 import ahocorasick
@@ -38,54 +38,27 @@ SCALE = 10**9
 #: Bytes of terms: letters, small ones for A-Z, and whatever isn't ASCII; all others become delimiters.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
-BLOCKS = "block long, lang string, source string, text binary"
-_BLOCKS = pa.schema([("block", pa.int64()), ("lang", pa.string()), ("source", pa.string()), ("text", pa.binary())])
-_POSTINGS = pa.schema([("block", pa.int64()), ("lang", pa.string()), ("term", pa.string()), ("docs", pa.int64())])
+BLOCK = ["lang", "source", "salt"]
+POSTINGS = "lang string, source string, salt int, term string, docs long"
+_POSTINGS = pa.schema([("lang", pa.string()), ("source", pa.string()), ("salt", pa.int32()), ("term", pa.string()), ("docs", pa.int64())])
+COUNTS = "lang string, source string, term string, n long"
+_COUNTS = pa.schema([("lang", pa.string()), ("source", pa.string()), ("term", pa.string()), ("n", pa.int64())])
 
 
-def folded(text: bytes | None) -> bytes:
+def folded(text: bytes) -> bytes:
     """A text's terms between single delimiters, small letters for A-Z; nothing for a text without terms."""
-    terms = (text or b"").translate(FOLD).split()
+    terms = text.translate(FOLD).split()
     return b" %s " % b" ".join(terms) if terms else b""
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (block, lang, source, text), folded; a block ends when it has BLOCK_BYTES or the partition ends."""
-    from pyspark import TaskContext
-
-    block, size = TaskContext.get().partitionId() << 32, 0
-    for b in batches:
-        texts = [folded(t.encode()) for t in b.column("text").to_pylist()]
-        numbers = []
-        for t in texts:
-            if size and size + len(t) > BLOCK_BYTES:
-                block, size = block + 1, 0
-            numbers.append(block)
-            size += len(t)
-        yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int64()), b.column("lang"), b.column("source"), pa.array(texts, pa.binary())], schema=_BLOCKS)
-
-
-def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(block, lang, term, documents with it): counts of what a task reads of a block, so never over a block's terms."""
-
-    def told(block: int, counts: dict[str, dict[bytes, int]]) -> Iterator[pa.RecordBatch]:
-        for lang, terms in counts.items():
-            n = len(terms)
-            columns = [pa.array([block] * n, pa.int64()), pa.array([lang] * n), pa.array(list(terms), pa.binary()).cast(pa.string()), pa.array(list(terms.values()), pa.int64())]
-            whole = pa.RecordBatch.from_arrays(columns, schema=_POSTINGS)
-            for i in range(0, n, 1 << 16):
-                yield whole.slice(i, 1 << 16)
-
-    at, counts = None, {}
-    for b in batches:
-        for block, lang, text in zip(b.column("block").to_pylist(), b.column("lang").to_pylist(), b.column("text").to_pylist(), strict=True):
-            if block != at:
-                yield from told(at, counts)
-                at, counts = block, {}
-            own = counts.setdefault(lang, {})
-            for term in set(text.split()):
-                own[term] = own.get(term, 0) + 1
-    yield from told(at, counts)
+def _postings(key: tuple, texts: pa.Table) -> pa.Table:
+    """A block's terms with the number of its documents that have them."""
+    counts: Counter[bytes] = Counter()
+    for text in texts.column("text").to_pylist():
+        counts.update(set(text.encode().translate(FOLD).split()))
+    n = len(counts)
+    lang, source, salt = (pa.repeat(k, n) for k in key)
+    return pa.table([lang, source, salt, pa.array(list(counts), pa.binary()).cast(pa.string()), pa.array(list(counts.values()), pa.int64())], schema=_POSTINGS)
 
 
 def automaton_of(terms: list[str]) -> ahocorasick.Automaton:
@@ -103,39 +76,36 @@ def occurrences_in(automaton: ahocorasick.Automaton, text: str, n_terms: int) ->
 
 
 def _scan(key: tuple, texts: pa.Table, kept: pa.Table) -> pa.Table:
-    """Occurrences by language, source and kept term of one block."""
-    terms: dict[str, list[str]] = {}
-    for lang, term in zip(kept.column("lang").to_pylist(), kept.column("term").to_pylist(), strict=True):
-        terms.setdefault(lang, []).append(term)
-    groups: dict[tuple[str, str], list[bytes]] = {}
-    for lang, source, text in zip(texts.column("lang").to_pylist(), texts.column("source").to_pylist(), texts.column("text").to_pylist(), strict=True):
-        if lang in terms:
-            groups.setdefault((lang, source), []).append(text)
-    out = []
-    for lang, names in terms.items():
-        automaton = automaton_of(names)
-        listed = pa.array(names, pa.string())
-        for (group, source), own in groups.items():
-            if group == lang:
-                counts = occurrences_in(automaton, b"".join(own).decode(), len(names))
-                found = np.flatnonzero(counts)
-                n = len(found)
-                out.append(pa.table([pa.array([lang] * n, pa.string()), pa.array([source] * n, pa.string()), listed.take(pa.array(found)), pa.array(counts[found], pa.int64())], schema=_COUNTS))
-    return pa.concat_tables(out) if out else _COUNTS.empty_table()
+    """Occurrences of a block's kept terms in its texts, by an automaton of these terms."""
+    terms = kept.column("term")
+    automaton = automaton_of(terms.to_pylist())
+    text = b"".join(folded(t.encode()) for t in texts.column("text").to_pylist()).decode()
+    counts = occurrences_in(automaton, text, len(terms)) if len(terms) and text else np.zeros(len(terms), np.int64)
+    return pa.table([pa.repeat(key[0], len(terms)), pa.repeat(key[1], len(terms)), terms, pa.array(counts)], schema=_COUNTS)
 
 
-_COUNTS = pa.schema([("lang", pa.string()), ("source", pa.string()), ("term", pa.string()), ("n", pa.int64())])
-COUNTS = "lang string, source string, term string, n long"
+def blocks(documents: DataFrame, folder: str) -> DataFrame:
+    """(lang, source, salt, text): documents dealt to blocks of about BLOCK_BYTES, each of one source.
+
+    The number of a source's blocks follows from its bytes; doc_id and text choose the block, so copies of a text are spread.
+    """
+    empty = lambda c: F.coalesce(c, F.lit("")).alias(c)
+    read = documents.select(empty("lang"), empty("source"), empty("text"), F.xxhash64("doc_id", "text").alias("h"))
+    sizes = read.groupBy("lang", "source").agg(F.ceil(F.sum(F.octet_length("text")) / BLOCK_BYTES).alias("n"))
+    rows = read.join(written(sizes, folder, "sizes"), ["lang", "source"])
+    return rows.select("lang", "source", F.pmod("h", F.greatest("n", F.lit(1))).cast("int").alias("salt"), "text").repartition(*BLOCK)
 
 
 def occurrences(documents: DataFrame, folder: str, min_documents: int = MIN_DOCUMENTS) -> DataFrame:
-    """(lang, source, term, n): how often each kept term occurs in each source that has it."""
-    read = documents.select(F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source"), F.coalesce("text", F.lit("")).alias("text"))
-    texts = written(read.sortWithinPartitions("lang", "source").mapInArrow(_blocks, BLOCKS), folder, "blocks")
-    postings = texts.select("block", "lang", "text").mapInArrow(_postings, "block long, lang string, term string, docs long")
+    """(lang, source, term, n): how often each kept term occurs in each source that has it.
+
+    Both passes read the same exchange of texts.
+    """
+    texts = blocks(documents, folder)
+    postings = texts.groupBy(*BLOCK).applyInArrow(_postings, POSTINGS)
     frequency = F.sum("docs").over(Window.partitionBy("lang", "term"))
-    kept = postings.withColumn("df", frequency).filter(F.col("df") >= min_documents).select("block", "lang", "term").distinct()
-    counts = texts.groupBy("block").cogroup(kept.groupBy("block")).applyInArrow(_scan, COUNTS)
+    kept = postings.withColumn("df", frequency).filter(F.col("df") >= min_documents).select(*BLOCK, "term")
+    counts = texts.groupBy(*BLOCK).cogroup(kept.groupBy(*BLOCK)).applyInArrow(_scan, COUNTS)
     return counts.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"))
 
 
