@@ -1,20 +1,17 @@
 """Mixing sources to target weights by Sainte-Laguë apportionment of equal-token blocks.
 
 Targets are a water level over the sources. Blocks go to sources, and a source's blocks to its shards, by the highest quotients
-target / (2 quota + 1). In a shard the documents stand in seeded order on a ring of words, which is cut into blocks of equal length
-(to a word); a quota is so many whole rounds, and for the rest of it whole blocks that a seeded permutation puts first.
+target / (2 quota + 1). In a shard the documents stand in seeded order, and their words, end to end, are cut into blocks of equal
+length (to a word); a quota is so many whole rounds, and for the rest of it the first blocks. As the order is drawn by seed, so are
+these blocks, and they hold whole documents but for one at their end, whatever the length of a block.
 """
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType
 
-from .common import prepare, shared_dir, words_of, written
+from .common import shared_dir, split_by_keys, words_of, written
 
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE = 1.5
@@ -26,11 +23,6 @@ SEED = 7
 #: Passes over the parties, and sections that each cuts the bracket of the scale into.
 PASSES = 4
 SECTIONS = 64
-#: Steps of the seeded permutations of blocks: primes, so that they are coprime to any smaller number of blocks.
-PRIMES = (2147483647, 2147483629, 2147483587, 2147483579)
-
-_WORD = re.compile("[^\x20\x09-\x0d]+")
-
 
 def targets(sources: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST_ROUNDS) -> DataFrame:
     """Adds target to (source, source_size): share * all words by weight, none above most * its size.
@@ -93,7 +85,7 @@ def apportion(parties: DataFrame, votes: str, most: str, total: str, by: list[st
 def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST_ROUNDS, shard_rows: int = SHARD_ROWS, seed: int = SEED) -> DataFrame:
     """(doc_id, size, source_size, target, taken) for every row, with what of it is taken.
 
-    Further columns: source, text_hash, whole (how often all of it is taken) and spans (words a to b that are taken once more). A null
+    Further columns: source, text_hash, whole (how often all of it is taken) and part (how many of its first words once more). A null
     text has size 0 and takes nothing; a null source is one source, weighted last; repeated rows and null ids are rows like any other;
     an empty table gives no rows; other columns are not read.
     """
@@ -122,53 +114,46 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MO
     quotas = written(quotas.select("id", "quota"), folder, "quotas")
     seated = apportion(rings.join(quotas, "id"), "ring", "most_blocks", "quota", ["id"], ["shard"], "seats")
     n = F.greatest(F.col("n_blocks"), F.lit(1))
-    prime = F.element_at(F.array(*[F.lit(x) for x in PRIMES]), (F.pmod(F.xxhash64(F.lit(seed + 2), "id", "shard"), F.lit(len(PRIMES))) + 1).cast("int"))
-    drawn = {"whole": F.floor(F.col("seats") / n), "some": F.pmod(F.col("seats"), n), "turn": F.pmod(prime, n), "from": F.pmod(F.xxhash64(F.lit(seed + 3), "id", "shard"), n)}
+    drawn = {"whole": F.floor(F.col("seats") / n), "some": F.pmod(F.col("seats"), n)}
     seated = written(seated.select("id", "shard", "ring", "n_blocks", *[c.cast("long").alias(k) for k, c in drawn.items()]), folder, "seated")
     placed = dealt.join(seated, ["id", "shard"])
     key = F.xxhash64(F.lit(seed), "doc_id", "text_hash")
     w = Window.partitionBy("id", "shard").orderBy(key, "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     placed = placed.withColumn("at", F.coalesce(F.sum("size").over(w), F.lit(0)))
-    # blocks first to last that a document lies in; block j begins at word j * ring div n_blocks
-    placed = placed.withColumn("first", F.expr("((at + 1) * n_blocks - 1) div greatest(ring, 1)")).withColumn("last", F.expr("((at + size) * n_blocks - 1) div greatest(ring, 1)"))
-    # a run of selected blocks goes from the first that has none before it to the next that has none after it
-    drawn_ = lambda j: f"(({j}) * turn + from) % n_blocks < some"
-    ends = lambda edge, side: f"filter(if(size > 0 and some > 0, sequence(first, last), array()), j -> {drawn_('j')} and (j = {edge} or not {drawn_('j' + side)}))"
-    spans = f"""zip_with({ends('first', ' - 1')}, {ends('last', ' + 1')}, (i, j) -> struct(greatest(i * ring div n_blocks - at, 0) as a, least((j + 1) * ring div n_blocks - at, size) as b))"""
-    placed = placed.withColumn("spans", F.expr(spans))
-    taken = F.col("whole") * F.col("size") + F.aggregate("spans", F.lit(0).cast("long"), lambda acc, x: acc + x.b - x.a)
-    return placed.select("doc_id", "size", "source_size", "target", taken.alias("taken"), "source", "text_hash", "whole", "spans")
-
-
-@F.pandas_udf(ArrayType(StringType()))
-def _parts(text: pd.Series, spans: pd.Series) -> pd.Series:
-    """Words a to b of a text for each of its spans, with the white space between them."""
-    out = []
-    for t, wanted in zip(text, spans):
-        at = [m.span() for m in _WORD.finditer(t)] if len(wanted) else []
-        out.append([t[at[x["a"]][0] : at[x["b"] - 1][1]] for x in wanted])
-    return pd.Series(out, dtype=object)
+    # block j begins at word j * ring div n_blocks: the first blocks end where block `some` begins
+    end = F.expr("some * ring div greatest(n_blocks, 1)")
+    placed = placed.withColumn("part", F.greatest(F.lit(0), F.least(F.col("size"), end - F.col("at"))).cast("long"))
+    taken = F.col("whole") * F.col("size") + F.col("part")
+    return placed.select("doc_id", "size", "source_size", "target", taken.alias("taken"), "source", "text_hash", "whole", "part")
+
+
+def first_words(text: Column, n: Column) -> Column:
+    """The first n words of a text, from the first one on, with the white space between them."""
+    pattern = F.concat(F.lit(r"\A[\x20\x09-\x0D]*+((?:[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++){"), n.cast("string"), F.lit("}+)"))
+    return F.regexp_extract(text, pattern, 1)
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The mix as documents: a document comes once for each whole round, and once more for each run of selected blocks in it.
+    """The mix as documents: a document comes once for each whole round, and once more if the blocks after the rounds hold it.
 
-    Columns are those of docs, with text and n_chars of what is taken. White space between words that are taken stays. Rows that
-    are equal in id, text and source are told apart by a number in the order of all their columns, so that each takes its own part.
+    So there are at most rounds + 1 rows of a document, and one document a shard is cut. Columns are those of docs, with text and
+    n_chars of what is taken. Rows that are equal in id, text and source are told apart by a number in the order of all their
+    columns, so that each takes its own part; only rows that a filter can't tell from such ones are moved for it.
     """
-    prepare(docs.sparkSession)
     folder = shared_dir(docs.sparkSession)
     plan = mix(docs, **options).filter("taken > 0")
-    plan = plan.withColumn("twin", F.row_number().over(Window.partitionBy("doc_id", "text_hash", "source").orderBy("taken", "spans")))
-    plan = written(plan.select(*[F.col(c).alias(f"_{c}") for c in ("doc_id", "text_hash", "source", "twin", "size", "whole", "spans")]), folder, "plan")
+    same_row = Window.partitionBy("doc_id", "text_hash", "source")
+    plan = plan.withColumns({"twin": F.row_number().over(same_row.orderBy("taken", "part")), "twins": F.count(F.lit(1)).over(same_row)})
+    plan = written(plan.select(*[F.col(c).alias(f"_{c}") for c in ("doc_id", "text_hash", "source", "twin", "twins", "size", "whole", "part")]), folder, "plan")
     rows = docs.withColumn("_doc", F.col("doc_id").cast("long")).withColumn("_hash", F.xxhash64("text"))
-    same = F.col("_doc").eqNullSafe(F.col("_doc_id")) & (F.col("_hash") == F.col("_text_hash")) & rows["source"].eqNullSafe(F.col("_source"))
-    if not plan.filter("_twin > 1").isEmpty():  # texts are only dealt out for a number where rows are equal
-        w = Window.partitionBy("_doc", "_hash", "source").orderBy(F.xxhash64(*docs.columns))
-        rows = rows.withColumn("_n", F.row_number().over(w))
-        same = same & (F.col("_n") == F.col("_twin"))
+    repeated = plan.filter("_twins > 1").select(F.xxhash64("_doc_id", "_text_hash").alias("k")).distinct()
+    unsure, single = split_by_keys(rows, F.xxhash64("_doc", "_hash"), written(repeated, folder, "repeated"), folder, "repeated-bits")
+    order = Window.partitionBy("_doc", "_hash", "source").orderBy(F.to_json(F.struct(*docs.columns)))
+    rows = single.withColumn("_n", F.lit(1)).unionByName(unsure.withColumn("_n", F.row_number().over(order)))
+    same = F.col("_doc").eqNullSafe(F.col("_doc_id")) & (F.col("_hash") == F.col("_text_hash")) & rows["source"].eqNullSafe(F.col("_source")) & (F.col("_n") == F.col("_twin"))
     joined = rows.join(plan, same)
-    taken = F.concat(F.array_repeat("text", F.col("_whole").cast("int")), _parts("text", "_spans"))
+    more = F.when(F.col("_part") == F.col("_size"), F.array("text")).when(F.col("_part") > 0, F.array(first_words(F.col("text"), F.col("_part")))).otherwise(F.array().cast("array<string>"))
+    taken = F.concat(F.array_repeat("text", F.col("_whole").cast("int")), more)
     out = joined.select(*[c for c in docs.columns if c != "text"], F.explode(taken).alias("text"))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))

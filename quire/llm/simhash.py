@@ -15,7 +15,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import arrow_rows, prepare, shared_dir, split_by_keys, utf8, written
@@ -216,7 +216,8 @@ def representatives(docs: DataFrame, **options) -> DataFrame:
 def chosen(docs: DataFrame, found: DataFrame, text: str = "text") -> DataFrame:
     """The rows of docs that stand for their root in found (doc_id, text_hash, root).
 
-    Only rows that a filter can't tell from dropped ones are moved to the join with the chosen keys.
+    Only rows that a filter can't tell from dropped ones are moved to the join with the chosen keys. Of rows with one id and text that
+    stays which comes first when all columns are written as JSON.
     """
     folder = shared_dir(docs.sparkSession)
     found = written(found, folder, "found")
@@ -229,6 +230,10 @@ def chosen(docs: DataFrame, found: DataFrame, text: str = "text") -> DataFrame:
     # an inner join: a semi-join would be pushed below the filter and move every text
     among = unsure["doc_id"].cast("long").eqNullSafe(keep["_id"]) & (F.xxhash64(unsure[text]) == keep["_hash"])
     kept = sure.unionByName(unsure.join(keep, among).select(*[unsure[c] for c in docs.columns]))
-    if found.count() - dropped.count() > keep.count():
-        kept = kept.dropDuplicates(["doc_id", text])
-    return kept
+    # rows of one id and text: the first in the order of all columns stays; only rows of such keys are moved
+    stays = found.join(keep, same, "left_semi").groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n"))
+    repeated = written(stays.filter("n > 1").select(F.xxhash64("doc_id", "text_hash").alias("k")), folder, "repeated")
+    unsure, single = split_by_keys(kept, F.xxhash64(F.col("doc_id").cast("long"), F.xxhash64(text)), repeated, folder, "repeated-bits")
+    order = Window.partitionBy("doc_id", F.xxhash64(text)).orderBy(F.to_json(F.struct(*docs.columns)))
+    first = unsure.withColumn("_n", F.row_number().over(order)).filter("_n = 1").drop("_n")
+    return single.unionByName(first)

@@ -207,16 +207,28 @@ def test_apportionment_is_sainte_lague(spark):
     assert sorted((r.i, r.n) for r in one if r.n) == [(0, 100)]
 
 
-def test_mix_takes_runs_of_whole_blocks(spark):
-    """Runs that don't reach an end of their document hold whole blocks; runs don't touch."""
-    rows = [(i, " ".join(["w"] * 5000), "en", "ab"[i % 2]) for i in range(8)]
-    inner = set()
-    for r in mixing.mix(documents(spark, rows), shard_rows=2).collect():
-        assert all(x.b < y.a for x, y in zip(r.spans, r.spans[1:])) and all(x.a < x.b for x in r.spans)
-        assert r.taken == r.whole * r.size + sum(x.b - x.a for x in r.spans)
-        inner |= {x.b - x.a for x in r.spans if 0 < x.a and x.b < r.size}
-    block = min(inner, default=1)
-    assert all(n % block <= n // block or block - n % block <= n // block for n in inner)
+def test_mix_keeps_documents_whole(spark):
+    """One document a shard is cut, also beside a source of five words; the others come whole, at most rounds + 1 times."""
+    rows = corpus(300, 9) + [(7000, "a b c d e", "en", "tiny"), (7001, "", "en", "none"), (7001, "", "en", "none")]
+    plan = mixing.mix(documents(spark, rows), shard_rows=40).collect()
+    cut = [r for r in plan if 0 < r.part < r.size]
+    assert all(r.taken == r.whole * r.size + r.part and 0 <= r.part <= r.size for r in plan)
+    shards = {s: -(-sum(r[3] == s for r in rows) // 40) for s in {r[3] for r in rows}}
+    assert all(sum(r.source == s for r in cut) <= n for s, n in shards.items())
+    assert next(r for r in plan if r.source == "tiny").taken == 10
+    out = mixing.mixed_documents(documents(spark, rows), shard_rows=40).collect()
+    assert len(out) <= len(rows) * 2 + sum(shards.values())
+    texts = {(d, t) for d, t, _, _ in rows}
+    assert sum((r.doc_id, r.text) not in texts for r in out) <= len(cut)
+
+
+def test_first_words(spark):
+    from pyspark.sql import functions as F
+
+    text = " a\tb\n\x0bc  d " + "w " * 50000
+    df = spark.createDataFrame([(text, n) for n in (1, 3, 4, 40000)], "t string, n long")
+    got = {r.n: r.x for r in df.select("n", mixing.first_words(F.col("t"), F.col("n")).alias("x")).collect()}
+    assert got[1] == "a" and got[3] == "a\tb\n\x0bc" and got[4] == "a\tb\n\x0bc  d" and len(got[40000].split()) == 40000
 
 
 VECTORS = "vec_id long, embedding array<float>, label int, score string"

@@ -103,3 +103,15 @@ def test_long_path_of_links(spark):
     edges = spark.createDataFrame([(i + 1, i) for i in range(200)] + [(500, 501), (7, 7)], "u long, v long")
     got = {r.node: r.root for r in components(edges, shared_dir(spark)).collect()}
     assert got == {**{i: 0 for i in range(201)}, 500: 500, 501: 500}
+
+
+def test_of_repeated_rows_the_first_in_the_order_of_all_columns_stays(spark):
+    from pyspark.sql import functions as F
+
+    from quire.llm import simhash
+
+    rows = [(1, "a b c d", "en", "s2"), (1, "a b c d", "en", "s1"), (1, "a b c d", None, "s0"), (2, "a b c d", "en", "s0"), (3, "p q r s t", "de", "s"), (3, "p q r s t", "de", "s"), (None, None, "x", "y"), (None, None, "x", "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    found = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.xxhash64("text").alias("root"))
+    kept = sorted(map(tuple, simhash.chosen(docs.repartition(3), found).collect()), key=str)
+    assert kept == [(1, "a b c d", "en", "s1"), (3, "p q r s t", "de", "s"), (None, None, "x", "y")]
