@@ -371,8 +371,8 @@ def j14(spark, d):
 
 def j15(spark, d):
     """Model names: an exact match, else the first with the same base name."""
-    have = spark.createDataFrame([(0, "qwen3.6:7b"), (1, "qwen3.6:35b-mlx"), (2, "llama3:8b"), (3, "gemma")], "ix int, name string")
-    want = F.element_at(F.array(*map(F.lit, ("qwen3.6:35b", "llama3:8b", "gemma:2b", "phi"))), (F.col("pos") % 4 + 1).cast("int"))
+    have = spark.createDataFrame([(0, "corvid2.1:7b"), (1, "corvid2.1:35b-half"), (2, "heron:8b"), (3, "plover")], "ix int, name string")
+    want = F.element_at(F.array(*map(F.lit, ("corvid2.1:35b", "heron:8b", "plover:2b", "wren"))), (F.col("pos") % 4 + 1).cast("int"))
     asked = v_chapters(spark, d).select("pos", want.alias("want"))
     base = lambda c: F.regexp_replace(c, ":.*$", "")
     hit = asked.join(F.broadcast(have), base(F.col("want")) == base(F.col("name")), "left")
@@ -475,5 +475,5 @@ ALL = {
     "g6_ruler_rows": (g6, with_views("SELECT pos, unnest(range(0, n_chars + 1, 20))::INT AS y FROM v_chapters", "v_chapters")),
     "x27_theme_css": (x27, with_views(f"SELECT pos, '/* ── color theme: ' || c[1] || ' ── */' || chr(10) || ':root {{ --primary: ' || c[2] || '; --primary-light: ' || c[3] || '; --accent: ' || c[4] || '; }}' AS css FROM (SELECT pos, {[[k, *v] for k, v in THEMES.items()]}[pos % 7 + 1] AS c FROM v_chapters)", "v_chapters")),
     "j16_locale_lookup": (j16, with_views("SELECT pos, CASE WHEN pos % 3 = 1 THEN 'No matches' ELSE '일치 없음' END AS no_match FROM v_chapters", "v_chapters")),
-    "j15_model_names": (j15, with_views("SELECT pos, ['qwen3.6:35b','llama3:8b','gemma:2b','phi'][pos % 4 + 1] AS want, ['qwen3.6:7b','llama3:8b','gemma',NULL][pos % 4 + 1] AS name FROM v_chapters", "v_chapters")),
+    "j15_model_names": (j15, with_views("SELECT pos, ['corvid2.1:35b','heron:8b','plover:2b','wren'][pos % 4 + 1] AS want, ['corvid2.1:7b','heron:8b','plover',NULL][pos % 4 + 1] AS name FROM v_chapters", "v_chapters")),
 }

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from quire.functions import blocks as B
 from quire.functions import markdown as M
 from quire.functions import text as X
 from quire.operators import corpus as C
@@ -21,7 +22,7 @@ def one(spark, column):
     return spark.range(1).select(column.alias("x")).first().x
 
 
-@pytest.mark.parametrize("text,want", [("실전 AI 에이전트 하네스 엔지니어링", "실전-ai-에이전트-하네스-엔지니어링"), ("Café du matin", "cafe-du-matin"), ("!!!", "section"), ("a - b", "a---b")])
+@pytest.mark.parametrize("text,want", [("분산 Query 실행 계획 읽기", "분산-query-실행-계획-읽기"), ("Café du matin", "cafe-du-matin"), ("!!!", "section"), ("a - b", "a---b")])
 def test_slug(spark, text, want):
     assert one(spark, X.slug(F.lit(text))) == want
 
@@ -238,8 +239,34 @@ def test_markdown_comes_back():
 
 def test_blocks_are_restored():
     text = "a\n```py\n## x\n```\nb\n@@HTML_START@@\n```\n@@HTML_END@@\n> ```\n> y\n> ```\n```mermaid\ng\n```\n"
-    masked, kept = M.protect(text)
-    assert len(kept) == 4 and kept[0].startswith("@@HTML_START@@") and kept[1].startswith("```mermaid") and M.restore(masked, kept) == text
+    masked, kept = B.protect(text)
+    assert len(kept) == 4 and kept[1].startswith("@@HTML_START@@") and kept[3].startswith("```mermaid") and B.restore(masked, kept) == text
+
+
+def test_blocks_lie_end_to_end():
+    """Whatever the text, the sources joined are the text; code takes the blank lines behind it; what isn't closed is prose."""
+    rnd = np.random.default_rng(5)
+    parts = ["```", "```py", "> ```", "> ```py", "> x", "@@HTML_START@@", "@@HTML_END@@", "```mermaid", "", "  ", "a", "b @@HTML_START@@", "```py extra", "<i>"]
+    for _ in range(3000):
+        text = "\n".join(rnd.choice(parts, rnd.integers(0, 14)))
+        assert "".join(b.source for b in B.scan(text)) == text
+        masked, kept = B.protect(text)
+        assert B.restore(masked, kept) == text
+    assert [(b.kind, b.source) for b in B.scan("```\nx\n```\n\n \nnext")] == [("code", "```\nx\n```\n\n "), ("prose", "\nnext")]
+    assert [b.kind for b in B.scan("```py\nnever closed")] == ["prose"]
+    assert B.restore("@@TBLOCK_7@@", []) == "@@TBLOCK_7@@"
+
+
+def test_deep_and_long_pages_are_converted():
+    deep = "<div>" * 5000 + "x" + "</div>" * 5000
+    assert M.to_markdown(deep) == "x"
+    assert M.render("```\n" * 20001).count("<pre>") >= 1
+
+
+def test_quotes_and_verbatim_lines():
+    assert M.render("> TIP: a\n>\n> - x\n>\n> b", M.tip_pattern(["TIP"])) == '<div class="tip-box"><p>TIP: a</p>\n<ul>\n<li>x</li>\n</ul>\n</div>\n<blockquote><p>b</p>\n</blockquote>'
+    mixed = M.render("before\n@@HTML_START@@\n<b>1</b>\n@@HTML_END@@\nafter")
+    assert mixed == '<p>before<br />\n<div class="lf-html-block" data-lf-preserve="html"><b>1</b></div><br />\nafter</p>'
 
 
 def test_labels():
