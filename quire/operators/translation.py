@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
+from ..functions.markdown import map_chunk, protected_blocks, restored
 from ..functions.text import HANGUL, strip
+from ..session import written
 
 RETRIES = 2
 
@@ -79,29 +82,132 @@ def prompt(chunk: Column, lang: Column) -> Column:
     return F.concat(F.lit(PROMPT[0]), name, F.lit(PROMPT[1] + "\n\n"), chunk)
 
 
-def map_with_retry(chunks: DataFrame, transform: Callable[[str], str], check: Callable[[str, str, str | None], bool], retries: int = RETRIES) -> DataFrame:
-    """(path, chunk_ix, result, attempts, failed): an injected function over the chunks, tried again while the check fails.
+#: Chunks of a run: what was asked, what came back, how often in all (attempts) and in this run (calls of the function).
+STATE = "path string, chunk_ix long, n_chunks long, chunk_chars long, lang string, digest string, original string, result string, attempts int, failed boolean, error string, calls int, reused boolean"
+_FRESH = "path string, chunk_ix long, result string, attempts int, failed boolean, error string, calls int"
+#: What an error message is cut to.
+ERROR_CHARS = 400
 
-    The last attempt's result stays even if it failed. The function may not be deterministic: write the result before it is
-    used twice. Null chunks and chunks of white space alone pass through untouched.
+
+def chunked(chapters: DataFrame, chunk_chars: int) -> DataFrame:
+    """(path, chunk_ix from 0, n_chunks, chunk_chars, lang, digest, original) of chapters (path, lang, text), blocks masked.
+
+    A chapter that is null or empty has no chunks.
     """
+    masked = chapters.select("path", "lang", protected_blocks(F.coalesce("text", F.lit("")))["text"].alias("text"))
+    chunks = masked.select("path", "lang", chunk_text(F.col("text"), chunk_chars).alias("c"))
+    rows = chunks.select("path", "lang", F.size("c").cast("long").alias("n_chunks"), F.posexplode("c").alias("chunk_ix", "original"))
+    return rows.select("path", F.col("chunk_ix").cast("long").alias("chunk_ix"), "n_chunks", F.lit(chunk_chars).cast("long").alias("chunk_chars"), "lang", F.sha2("original", 256).alias("digest"), "original")
+
+
+def map_with_retry(chunks: DataFrame, transform: Callable[[str, int], str], check: Callable[[str, str, str | None], bool] | None = None, retries: int = RETRIES) -> DataFrame:
+    """(path, chunk_ix, result, attempts, failed, error, calls): an injected function over chunks (path, chunk_ix, original, lang; tried if there were earlier runs).
+
+    transform(text, seed) gets the prose of a chunk, and its tables cell by cell; seed is the number of attempts so far, those of
+    earlier runs (tried) included, so that a sampler draws anew. While the check of the whole chunk fails it is tried again, and the
+    last result stays. What the function raises is kept as the chunk's error, which fails the chunk and no other; its result is the
+    original if there is none. The function may not be deterministic: write the result before it is used twice. Null chunks and
+    chunks of white space alone pass through untouched.
+    """
+    check = check or failed_in_python
+
+    def one(original: str, lang: str | None, tried: int) -> tuple:
+        calls = 0
+
+        def ask(text: str) -> str:
+            nonlocal calls
+            calls += 1
+            return transform(text, seed)
+
+        result, error, failed = original, None, True
+        for seed in range(tried, tried + retries + 1):
+            try:
+                result, error = map_chunk(original, ask, lambda cell: cell_needs_in_python(cell, lang), cell_hallucinated_in_python), None
+                failed = check(original, result, lang)
+            except Exception as e:  # the function is the caller's: whatever it raises belongs to this chunk
+                error, failed = f"{type(e).__name__}: {e}"[:ERROR_CHARS], True
+            if not failed:
+                break
+        return result, seed + 1, failed, error, calls
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             out = []
-            for path, ix, original, lang in zip(f["path"], f["chunk_ix"], f["original"], f["lang"]):
-                if original is None or not original.strip():
-                    out.append((path, ix, original, 0, False))
-                    continue
-                for attempt in range(1, retries + 2):
-                    result = transform(original)
-                    failed = check(original, result, lang)
-                    if not failed:
-                        break
-                out.append((path, ix, result, attempt, failed))
-            yield pd.DataFrame(out, columns=["path", "chunk_ix", "result", "attempts", "failed"])
-
-    return chunks.select("path", "chunk_ix", "original", "lang").mapInPandas(run, "path string, chunk_ix long, result string, attempts int, failed boolean")
+            for path, ix, original, lang, tried in zip(f["path"], f["chunk_ix"], f["original"], f["lang"], f["tried"]):
+                blank = original is None or not original.strip()
+                out.append((path, ix, *((original, 0, False, None, 0) if blank else one(original, lang, int(tried)))))
+            yield pd.DataFrame(out, columns=["path", "chunk_ix", "result", "attempts", "failed", "error", "calls"])
+
+    tried = F.col("tried") if "tried" in chunks.columns else F.lit(0).alias("tried")
+    return chunks.select("path", "chunk_ix", "original", "lang", tried).mapInPandas(run, _FRESH)
+
+
+def translated(chapters: DataFrame, transform: Callable[[str, int], str], chunk_chars: int, before: DataFrame | None = None, retries: int = RETRIES, progress: Observation | None = None) -> DataFrame:
+    """The state (STATE) after a run over chapters (path, lang, text).
+
+    before is the state of an earlier run that is resumed: chunks of the same place, digest and limit that didn't fail are taken
+    over, the others go to the function with their attempts so far. A chunk whose text has changed starts anew. progress gets the
+    numbers of chunks that were asked for and that failed.
+    """
+    now = chunked(chapters, chunk_chars)
+    if before is None:
+        both = now.withColumns({"known": F.lit(False), "_result": F.lit(None).cast("string"), "_attempts": F.lit(0)})
+    else:
+        known = before.select("path", "chunk_ix", "digest", "chunk_chars", F.col("result").alias("_result"), F.col("attempts").alias("_attempts"), (~F.col("failed")).alias("known"))
+        both = now.join(known, ["path", "chunk_ix", "digest", "chunk_chars"], "left").withColumn("known", F.coalesce("known", F.lit(False)))
+    both = written(both)
+    done = both.filter("known").select(*now.columns, F.col("_result").alias("result"), F.col("_attempts").alias("attempts"), F.lit(False).alias("failed"), F.lit(None).cast("string").alias("error"), F.lit(0).alias("calls"), F.lit(True).alias("reused"))
+    open_ = both.filter("not known").withColumn("tried", F.coalesce("_attempts", F.lit(0)))
+    fresh = map_with_retry(open_, transform, retries=retries)
+    if progress is not None:
+        fresh = fresh.observe(progress, F.count(F.lit(1)).alias("asked"), F.count_if("failed").alias("failed"), F.coalesce(F.sum("calls"), F.lit(0)).alias("calls"))
+    fresh = written(fresh)
+    made = open_.select(*now.columns).join(fresh, ["path", "chunk_ix"]).withColumn("reused", F.lit(False))
+    names = [c.split()[0] for c in STATE.split(", ")]
+    return written(done.select(*names).unionByName(made.select(*names)))
+
+
+def settled(chapters: DataFrame, transform: Callable[[str, int], str], chunk_chars: int, runs: int, retries: int = RETRIES) -> list[DataFrame]:
+    """States of resumed runs, until no chunk has failed or the number of runs is reached."""
+    states: list[DataFrame] = []
+    while len(states) < runs and (not states or not states[-1].filter("failed").isEmpty()):
+        states.append(translated(chapters, transform, chunk_chars, states[-1] if states else None, retries))
+    return states
+
+
+def reassembled(chapters: DataFrame, state: DataFrame) -> DataFrame:
+    """(path, text): the chunks of each chapter in order, with its blocks put back."""
+    ordered = F.array_sort(F.collect_list(F.struct("chunk_ix", "result")))
+    joined = state.groupBy("path").agg(F.array_join(F.transform(ordered, lambda r: r.result), "\n\n").alias("made"))
+    rows = chapters.select("path", protected_blocks(F.coalesce("text", F.lit("")))["blocks"].alias("blocks")).join(joined, "path", "left")
+    return rows.select("path", restored(F.coalesce("made", F.lit("")), F.col("blocks")).alias("text"))
+
+
+def markers(state: DataFrame) -> DataFrame:
+    """(path, incomplete_chunks from 1, total_chunks, chunk_chars, chunks) of the chapters with failed chunks."""
+    ordered = F.array_sort(F.collect_list(F.struct("chunk_ix", "result")))
+    failed = F.array_sort(F.collect_list(F.when(F.col("failed"), F.col("chunk_ix") + 1)))
+    g = state.groupBy("path").agg(failed.alias("incomplete_chunks"), F.max("n_chunks").alias("total_chunks"), F.max("chunk_chars").alias("chunk_chars"), F.transform(ordered, lambda r: r.result).alias("chunks"))
+    return g.filter(F.size("incomplete_chunks") > 0)
+
+
+def mirror(chapters: DataFrame, state: DataFrame, out: str) -> DataFrame:
+    """(path, kind, content): the translated chapters below `out`, and beside each incomplete one its marker as JSON."""
+    below = lambda suffix: F.concat(F.lit(f"{out.rstrip('/')}/"), "path", F.lit(suffix))
+    files = reassembled(chapters, state).select(below("").alias("path"), F.lit("chapter").alias("kind"), F.col("text").alias("content"))
+    notes = markers(state).select(below(".incomplete.json").alias("path"), F.lit("marker").alias("kind"), F.to_json(F.struct("incomplete_chunks", "total_chunks", "chunk_chars", "chunks")).alias("content"))
+    return files.unionByName(notes)
+
+
+_LATIN, _HANGUL = re.compile("[A-Za-z]"), re.compile("[가-힣]")
+
+
+def cell_needs_in_python(cell: str, lang: str | None) -> bool:
+    return bool((_LATIN if lang == "ko" else _HANGUL).search(cell))
+
+
+def cell_hallucinated_in_python(original: str, result: str) -> bool:
+    return "\n" in result or len(result) > 4 * len(original) + 40
 
 
 def failed_in_python(original: str, result: str, lang: str | None) -> bool:

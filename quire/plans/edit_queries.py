@@ -76,23 +76,6 @@ def j13(spark, d):
     return chapters.join(m, "path", "left").select("pos", "path", "total_chunks")
 
 
-def t2(spark, d):
-    """Cached chunks where the count still agrees and the chunk didn't fail; the others are made anew."""
-    now = _failed(spark, d).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("path")))
-    cache = now.filter("chunk_ix % 9 <> 0").select("path", "chunk_ix", F.col("result").alias("cached"))
-    size = now.select("path", F.when(F.col("chunk_ix") % 2 == 0, F.col("n")).alias("m")).groupBy("path").agg(F.max("m").alias("cached_n"))
-    both = now.join(cache, ["path", "chunk_ix"], "left").join(size, "path", "left")
-    reuse = (F.col("cached_n") == F.col("n")) & F.col("cached").isNotNull() & ~F.col("failed")
-    return both.select("path", "chunk_ix", F.coalesce(reuse, F.lit(False)).alias("reused"), F.md5(F.when(reuse, F.col("cached")).otherwise(F.concat(F.lit("+"), F.col("original")))).alias("digest"))
-
-
-def t3(spark, d):
-    """An injected transformation that echoes long chunks: attempts, result and failure of each."""
-    chunks = _t(spark, d)
-    out = T.map_with_retry(chunks, lambda s: s if len(s) > 1500 else s.upper(), T.failed_in_python)
-    return out.select("path", "chunk_ix", F.md5("result").alias("digest"), "attempts", "failed")
-
-
 def sk5(spark, d):
     m = _marks(spark, d).select("path", "incomplete_chunks", "total_chunks", "k")
     before = m.filter("k % 2 = 0").withColumn("total_chunks", F.lit(1))
@@ -100,12 +83,6 @@ def sk5(spark, d):
     return after.select("path", F.array_join("incomplete_chunks", ",").alias("incomplete"), "total_chunks")
 
 
-def t4(spark, d):
-    """Failed chunks left after each of three resumed runs, where a run mends every third of what failed."""
-    f = _failed(spark, d).filter("failed").withColumn("n", F.row_number().over(Window.partitionBy("path").orderBy("chunk_ix")))
-    return f.groupBy("path").agg(*[F.count_if(F.col("n") % 3 >= i).alias(f"left_{i}") for i in range(3)])
-
-
 def t5(spark, d):
     """Last write per section over a log of three writes each."""
     s = v_sections(spark, d)
@@ -278,11 +255,7 @@ ALL = {
     "sc18_markers": (sc18, with_views(f"WITH {FAILED} SELECT path, array_to_string(inc, ',') AS incomplete, total_chunks, true AS no_chunks FROM marks WHERE len(inc) > 0", V)),
     "t1_resume_action": (t1, with_views(f"WITH {FAILED} SELECT path, CASE WHEN total_chunks <= 3 OR k % 3 = 0 THEN 'full' WHEN len(inc) = 0 THEN 'skip' WHEN k % 4 <> 1 AND k % 5 <> 2 THEN 'retry' ELSE 'full' END AS action FROM marks", V)),
     "j13_chapter_marker": (j13, with_views(f"WITH {FAILED} SELECT pos, c.path, total_chunks FROM (SELECT pos, regexp_extract(path, '(src\\d+)\\.md$', 1) || '/' || (pos // 50) || '.md' AS path FROM v_chapters) c LEFT JOIN (SELECT * FROM marks WHERE len(inc) > 0) m ON m.path = c.path", V, "v_chapters")),
-    "t2_chunk_cache": (t2, with_views(f"""WITH {FAILED}, sz AS (SELECT path, max(total) FILTER (WHERE chunk_ix % 2 = 0) AS m FROM nf GROUP BY path), r AS (SELECT nf.*, coalesce(m = total AND chunk_ix % 9 <> 0 AND NOT failed, false) AS reused FROM nf JOIN sz USING (path))
- SELECT path, chunk_ix, reused, md5(CASE WHEN reused THEN result ELSE '+' || original END) AS digest FROM r""", V)),
-    "t3_bounded_retry": (t3, None),
     "sk5_marker_merge": (sk5, with_views(f"WITH {FAILED} SELECT path, array_to_string(inc, ',') AS incomplete, CASE WHEN k % 3 <> 0 THEN total_chunks ELSE 1 END AS total_chunks FROM marks WHERE (k % 3 <> 0 AND len(inc) > 0) OR (k % 3 = 0 AND k % 2 = 0)", V)),
-    "t4_convergence": (t4, with_views(f"WITH {FAILED}, m AS (SELECT path, row_number() OVER (PARTITION BY path ORDER BY chunk_ix) AS n FROM fl WHERE failed) SELECT path, count(*) AS left_0, count(*) FILTER (WHERE n % 3 >= 1) AS left_1, count(*) FILTER (WHERE n % 3 = 2) AS left_2 FROM m GROUP BY path", V)),
     "t5_last_write_wins": (t5, with_views("SELECT id, 3 AS seq, CASE WHEN (pos + 3) % 4 = 0 THEN 'deleted' ELSE 'edit' END AS op FROM v_sections", "v_sections")),
     "f14_is_table": (f14, with_views("SELECT chunk_ix, chunk_ix % 3 = 0 AS is_table FROM v_translations WHERE true", V)),
     "w17_chunk_packing": (w17, with_views("""WITH RECURSIVE p AS (SELECT page, line, row_number() OVER (PARTITION BY page ORDER BY ln) AS i FROM v_lines WHERE trim(line) <> ''),

@@ -169,11 +169,6 @@ def sk10(spark, d):
     return c.select("book", "pos", F.format_string("%03d_s%d.md", F.row_number().over(w), F.col("pos")).alias("file"))
 
 
-def sk4(spark, d):
-    """The translated mirror: same relative path, and the marker beside it."""
-    return v_chapters(spark, d).select("pos", F.concat(F.lit("out/"), "path").alias("dest"), F.concat(F.lit("out/"), F.regexp_replace("path", "\\.md$", ".md.incomplete.json")).alias("marker"))
-
-
 def sc3(spark, d):
     """The first root file of each source with a toc fence."""
     toc = F.when(F.col("pos") % 20 == 0, F.concat(F.lit("x\n```toc\n1|"), "title", F.lit("|1|s|k\nshort|row\n```\n"))).otherwise(F.col("text"))
@@ -248,7 +243,6 @@ ALL = {
     "sk1_book_html": (sk1, with_views(f"SELECT {BOOK} AS book, string_agg('<section id=\"s' || pos || '\"><h2>' || replace(replace(replace(replace(replace(title, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), chr(39), '&#x27;') || '</h2></section>', chr(10) ORDER BY pos) AS html FROM v_chapters GROUP BY ALL", "v_chapters")),
     "sk8_imported_corpus": (sk8, with_views(f"WITH {MD} SELECT page, md5('# doc' || chr(10) || chr(10) || '# Title' || chr(10) || chr(10) || string_agg(block, chr(10) || chr(10) ORDER BY ln) || chr(10)) AS digest, bool_or((ln % 10 = 2 AND has) OR ln % 10 IN (4, 8)) AS split FROM mb GROUP BY page", "v_lines")),
     "sk10_export_names": (sk10, with_views(f"SELECT {BOOK} AS book, pos, printf('%03d_s%d.md', row_number() OVER (PARTITION BY {BOOK} ORDER BY pos), pos) AS file FROM v_chapters", "v_chapters")),
-    "sk4_translated_mirror": (sk4, with_views("SELECT pos, 'out/' || path AS dest, 'out/' || path || '.incomplete.json' AS marker FROM v_chapters", "v_chapters")),
     "sc3_toc_discovery": (sc3, with_views(f"SELECT {BOOK} AS book, arg_min(pos, (path, pos)) AS pos FROM v_chapters WHERE NOT contains(path, '/') AND pos % 20 = 0 GROUP BY ALL", "v_chapters")),
     "sc4_toc_rows": (sc4, with_views("SELECT pos, 'Part 1. ' || regexp_replace(title, '[^A-Za-z]', '', 'g') AS label, pos::VARCHAR AS chapter_no FROM v_chapters UNION ALL SELECT pos, 'Part 2. b', '3' FROM v_chapters", "v_chapters")),
     "sc7_tiers": (sc7, with_views(f"SELECT {BOOK} AS book, CASE WHEN max((path LIKE 'Part\\_%' ESCAPE '\\')::INT) = 1 THEN 'convention' ELSE 'natural' END AS tier, count(*) AS n FROM v_chapters GROUP BY ALL", "v_chapters")),

@@ -110,6 +110,8 @@ def with_views(sql: str, *names: str) -> str:
     listed = reduce(lambda acc, n: acc + [x for x in [*NEEDS.get(n, []), n] if x not in acc], names, [])
     head = "WITH RECURSIVE " + ",\n".join(f"{n} AS ({SQL[n]})" for n in listed)
     body = sql.strip()
+    if not names:
+        return body
     if body.upper().startswith("WITH RECURSIVE "):
         return f"{head},\n{body[len('WITH RECURSIVE '):]}"
     if body.upper().startswith("WITH "):

@@ -73,12 +73,33 @@ def read_book(text: str | None) -> Book | None:
 
 
 def write_book(language: str, **extra) -> str:
-    """A minimal book.yaml in the order given."""
+    """A minimal book.yaml: the language, then what else is given."""
+    return _dumped({"language": language, **extra})
+
+
+def _dumped(values: dict) -> str:
     out = io.StringIO()
-    yaml.safe_dump({"language": language, **extra}, out, allow_unicode=True, sort_keys=False)
+    yaml.safe_dump(values, out, allow_unicode=True, sort_keys=False)
     return out.getvalue()
 
 
+def in_language(text: str | None, language: str) -> str:
+    """A book.yaml with its language replaced, other keys in their order (comments go); a minimal one if there is none."""
+    raw = yaml.safe_load(text) if text is not None else None
+    return _dumped({**(raw or {}), "language": language})
+
+
+def configurations(books: DataFrame, language: str, config: str = "config") -> DataFrame:
+    """books with their configuration (a book.yaml as text, or null) in another language."""
+
+    def run(frames):
+        for f in frames:
+            f[config] = [in_language(x, language) for x in f[config]]
+            yield f
+
+    return books.mapInPandas(run, books.schema)
+
+
 def markdown_files(spark: SparkSession, root: str) -> DataFrame:
     """(path, text) of every Markdown file below a folder, the path relative to it and composed to NFC."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.md").option("recursiveFileLookup", "true").load(root)

@@ -173,7 +173,7 @@ def test_cells_of_a_table():
 
 def test_bounded_retry(spark):
     df = spark.createDataFrame([("p", 1, "a" * 30, "ko"), ("p", 2, "fine", "ko"), ("p", 3, "  ", "ko")], "path string, chunk_ix long, original string, lang string")
-    got = {r.chunk_ix: (r.attempts, r.failed) for r in T.map_with_retry(df, lambda s: s, T.failed_in_python).collect()}
+    got = {r.chunk_ix: (r.attempts, r.failed) for r in T.map_with_retry(df, lambda s, seed: s, T.failed_in_python).collect()}
     assert got == {1: (3, True), 2: (1, False), 3: (0, False)}
 
 
@@ -303,7 +303,7 @@ def test_null_chunks_pass_through(spark):
     from quire.operators.translation import failed_in_python, map_with_retry
 
     df = spark.createDataFrame([("a", 0, None, "en"), ("a", 1, "x", "en")], "path string, chunk_ix long, original string, lang string")
-    got = sorted(map_with_retry(df, str.upper, failed_in_python).collect())
+    got = sorted(map_with_retry(df, lambda s, seed: s.upper(), failed_in_python).collect())
     assert [(r.result, r.attempts, r.failed) for r in got] == [(None, 0, False), ("X", 1, False)]
 
 
