@@ -13,6 +13,9 @@ running sums of their lengths give starts in code points.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,8 +39,9 @@ LINEAR = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": PATTERNS["phone"],
 }
-#: A text without this character has no match of the kind.
-NEEDS = {"email": "@", "ip": ".", "phone": "+"}
+#: What a text needs for a match of the kind, cheap to look for: a character, or the beginning of a match in few steps.
+NEEDS = {"email": "@", "phone": "+"}
+NEEDS_PATTERN = {"ip": r"[0-9]\.[0-9]++\.[0-9]++\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){13}"}
 #: Words that can be terms.
 WORD = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]{3,}"
 
@@ -53,6 +57,8 @@ LIFT = 16
 SHRINK = 1
 #: Lengths that one step of a running sum copies.
 STEP = 128
+#: Candidate terms that are sent along to all texts; where there are more, a filter of fixed size and a shuffled join find them.
+SENT_TERMS = 100_000
 
 
 def running(lengths: Column) -> Column:
@@ -93,20 +99,21 @@ def entity(kind: str, hit: Column) -> Column:
     return F.concat(F.lit(f"{kind}:"), name)
 
 
-def pieces(text: Column, pattern: str, needs: str | None = None) -> tuple[Column, Column]:
-    """(gaps, matches) of a pattern: one gap more than matches."""
-    gaps, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    if needs is None:
-        return gaps, hits
-    there = F.contains(text, F.lit(needs))
-    return F.when(there, gaps).otherwise(F.array(text)), F.when(there, hits).otherwise(F.array().cast("array<string>"))
+def may_hold(kind: str) -> Column:
+    return F.contains("text", F.lit(NEEDS[kind])) if kind in NEEDS else F.col("text").rlike(NEEDS_PATTERN[kind])
+
+
+def pieces(pattern: str, there: Column) -> tuple[Column, Column]:
+    """(gaps, matches) of a pattern in the text, where it is there: one gap more than matches."""
+    gaps, hits = F.split("text", pattern, -1), F.regexp_extract_all("text", F.lit(pattern), F.lit(0))
+    return F.when(there, gaps).otherwise(F.array()), F.when(there, hits).otherwise(F.array().cast("array<string>"))
 
 
 def with_spans(docs: DataFrame, context: bool = False) -> DataFrame:
     """docs with `base`: the checked matches of all kinds (start, rank, end), by start, then kind; with context also entity and words around it."""
     found = docs
     for kind in KINDS:
-        gaps, hits = pieces(F.col("text"), LINEAR[kind], NEEDS.get(kind))
+        gaps, hits = pieces(LINEAR[kind], may_hold(kind))
         found = found.withColumn(f"_g_{kind}", gaps).withColumn(f"_h_{kind}", hits)
     for kind in KINDS:
         gaps, hits = F.col(f"_g_{kind}"), F.col(f"_h_{kind}")
@@ -154,15 +161,20 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 def disclosing(docs: DataFrame, folder: str) -> DataFrame:
     """(k1, k2, terms): the texts that hold disclosing terms, with them and whether they are to be removed."""
-    spotted = with_spans(docs, context=True).filter(F.size("base") > 0).select("k1", "k2", F.explode("base").alias("s"))
+    some = reduce(or_, map(may_hold, KINDS))
+    spotted = written(with_spans(docs.filter(some), context=True).select("k1", "k2", "base"), folder, "spotted").select("k1", "k2", F.explode("base").alias("s"))
     near = spotted.select("k1", "k2", "s.entity", F.xxhash64("s.around").alias("context"), F.explode(words(F.col("s.around"))).alias("term"))
     near = written(near.distinct(), folder, "near")
     support = near.groupBy("entity", "term").agg(F.count_distinct("context").alias("contexts"), F.count_distinct("k1", "k2").alias("together"))
     candidates = written(support.filter(F.col("contexts") >= MIN_CONTEXTS), folder, "candidates")
     # texts that hold a candidate term
-    tokens = docs.select("k1", "k2", F.explode(words(F.col("text"))).alias("term"))
-    maybe, _ = split_by_keys(tokens, F.xxhash64("term"), candidates.select(F.xxhash64("term").alias("k")).distinct(), folder, "terms")
-    held = written(maybe.join(candidates.select("term").distinct(), "term", "left_semi").distinct(), folder, "held")
+    tokens = docs.select("k1", "k2", F.explode(F.regexp_extract_all("text", F.lit(WORD), F.lit(0))).alias("term"))
+    wanted = candidates.select("term").distinct()
+    if wanted.count() <= SENT_TERMS:
+        wanted = F.broadcast(wanted)
+    else:
+        tokens, _ = split_by_keys(tokens, F.xxhash64("term"), wanted.select(F.xxhash64("term").alias("k")), folder, "terms")
+    held = written(tokens.join(wanted, "term", "left_semi").distinct(), folder, "held")
     texts = docs.select("k1", "k2").distinct().count()
     with_entity = near.select("entity", "k1", "k2").distinct().groupBy("entity").agg(F.count("*").alias("entity_texts"))
     rated = candidates.join(held.groupBy("term").agg(F.count("*").alias("texts")), "term").join(with_entity, "entity")
@@ -187,8 +199,8 @@ def scan(documents: DataFrame) -> DataFrame:
     none = F.array().cast("array<struct<term:string,remove:boolean>>")
     joined = maybe.join(hits, ["k1", "k2"], "left").withColumn("terms", F.coalesce("terms", none)).select(*rest.columns, "terms")
     given = with_spans(joined)
-    gaps, held = pieces(F.col("text"), WORD)
-    given = given.withColumn("_h", F.when(F.size("terms") > 0, held).otherwise(F.array().cast("array<string>"))).withColumn("_g", F.when(F.size("terms") > 0, gaps).otherwise(F.array("text")))
+    gaps, held = pieces(WORD, F.size("terms") > 0)
+    given = given.withColumn("_h", held).withColumn("_g", gaps)
     given = given.withColumn("_s", running(F.zip_with(F.slice("_g", 1, F.size("_h")), "_h", lambda g, h: F.length(g) + F.length(h))))
     parts = F.arrays_zip(F.col("_s").alias("at"), F.col("_h").alias("hit"), F.slice("_g", 1, F.size("_h")).alias("before"))
     names, gone = F.transform("terms", lambda t: t["term"]), F.transform(F.filter("terms", lambda t: t["remove"]), lambda t: t["term"])

@@ -97,6 +97,13 @@ def test_scan_equals_plain_loops(spark):
     assert "Quillington" not in clean[450] and "[name]" in clean[600] and "[phone]" in clean[600]
 
 
+def test_many_candidate_terms_take_the_other_way(spark, monkeypatch):
+    monkeypatch.setattr(pii, "SENT_TERMS", 0)
+    rows = ODD + related()
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, pii.digests(pii.scan(df)).collect()), key=str) == plain(rows)[0]
+
+
 def test_no_rows(spark):
     assert pii.scan(spark.createDataFrame([], DDL)).count() == 0
 
