@@ -304,12 +304,6 @@ def s5(spark, d):
     return cur.join(best, "p").select("id", "ix", "src", "score")
 
 
-def w15(spark, d):
-    images = v_images(spark, d).filter("pos % 2 = 0").select("doc", "page", "pos", F.lit("image").alias("kind"), F.substring("src", 1, 50).alias("title"))
-    diagrams = v_lines(spark, d).filter("ln % 2 = 1").select("doc", "page", F.col("ln").alias("pos"), F.lit("diagram").alias("kind"), F.substring("line", 1, 50).alias("title"))
-    return C.numbered(images.unionByName(diagrams), ["doc"], ["page", "pos", "kind"], "display_index")
-
-
 def x13(spark, d):
     ext = F.regexp_extract(F.lower("src"), "\\.([a-z]+)$", 1)
     mime = F.when(ext == "png", "image/png").when(ext == "svg", "image/svg+xml").when(ext.isin("jpg", "jpeg"), "image/jpeg").otherwise("application/octet-stream")
@@ -463,8 +457,6 @@ ALL = {
     "s5_alternatives": (s5, with_views("""WITH c AS (SELECT page AS id, page % 40 AS p FROM v_images WHERE pos = 0), f AS (SELECT DISTINCT src, regexp_extract(src, 'page_?(\\d+)', 1)::INT AS fp FROM v_images),
  s AS (SELECT p, src, CASE WHEN p > 0 AND fp > 0 THEN CASE WHEN p = fp THEN 100 WHEN abs(p - fp) <= 2 THEN 50 WHEN abs(p - fp) <= 5 THEN 25 ELSE 10 END ELSE 5 END AS score FROM (SELECT DISTINCT p FROM c) CROSS JOIN f),
  b AS (SELECT *, row_number() OVER (PARTITION BY p ORDER BY score DESC, src) AS ix FROM s) SELECT id, ix::INT AS ix, src, score FROM c JOIN b USING (p) WHERE ix <= 5""", "v_images")),
-    "w15_element_index": (w15, with_views("""SELECT doc, page, pos::INT AS pos, kind, title, row_number() OVER (PARTITION BY doc ORDER BY page, pos, kind)::INT AS display_index FROM (
- SELECT doc, page, pos, 'image' AS kind, substr(src, 1, 50) AS title FROM v_images WHERE pos % 2 = 0 UNION ALL SELECT doc, page, ln, 'diagram', substr(line, 1, 50) FROM v_lines WHERE ln % 2 = 1)""", "v_images")),
     "x13_data_uri": (x13, with_views("SELECT doc, page, pos, 'data:image/png;base64,' || to_base64(encode(hash)) AS uri FROM v_images", "v_images")),
     "x22_data_uri_parse": (x22, with_views("SELECT doc, page, pos, 'image/png' AS mime, hash AS data FROM v_images", "v_images")),
     "sk11_data_uri_file": (sk11, with_views("SELECT doc, page, pos, CASE WHEN page % 5 < 2 THEN NULL ELSE md5(hash) || '.png' END AS file FROM v_images", "v_images")),

@@ -178,18 +178,6 @@ def a15(spark, d):
     return E.summary(v_sections(spark, d).select("source", F.element_at(kinds, (F.col("pos") % 7 + 1).cast("int")).alias("change")), ["source"])
 
 
-def f19(spark, d):
-    """Elements that belong to a section: their section text holds the first 20 characters of its title without the number."""
-    s = v_sections(spark, d).select("id", "pos", F.substring(F.regexp_replace("title", "^\\d+\\.\\s*", ""), 1, 20).alias("key"), "text")
-    return s.select("id", F.contains("text", "key").alias("own"), F.contains(F.lower("text"), F.concat("key", F.lit("zz"))).alias("other"))
-
-
-def sc13(spark, d):
-    s = v_sections(spark, d)
-    shown = s.filter("length(text) > 0").select("id", "pos", "title", X.word_count(F.concat_ws(" ", "title", "text")).alias("words"), E.status(F.col("op")).alias("status"))
-    return shown
-
-
 def f2(spark, d):
     return v_chapters(spark, d).agg((F.count(F.lit(1)) == 0).alias("is_empty"), F.count(F.lit(1)).alias("n_chapters"))
 
@@ -277,8 +265,6 @@ ALL = {
  o AS (SELECT a.id, a.ix, a.html, least((SELECT count(*) FROM n b WHERE b.id = a.id AND b.ix < a.ix AND b.kind = 'content'), fn.n) AS k FROM n a JOIN fn USING (id) WHERE a.kind <> 'content')
  SELECT id, row_number() OVER (PARTITION BY id ORDER BY k, r, ix)::INT AS pos, html FROM (SELECT id, k, 0 AS r, ix, html FROM o UNION ALL SELECT id, k, 1, ix, 'new' FROM f)""", "v_lines")),
     "a15_change_summary": (a15, with_views("SELECT source, count(*) FILTER (WHERE pos % 7 = 0) AS n_image_delete, count(*) FILTER (WHERE pos % 7 = 1) AS n_image_replace, count(*) FILTER (WHERE pos % 7 = 2) AS n_image_add, count(*) FILTER (WHERE pos % 7 = 3) AS n_diagram_delete, count(*) FILTER (WHERE pos % 7 = 4) AS n_section_edit, count(*) FILTER (WHERE pos % 7 = 5) AS n_section_delete FROM v_sections GROUP BY source", "v_sections")),
-    "f19_section_visuals": (f19, with_views("SELECT id, contains(text, k) AS own, contains(lower(text), k || 'zz') AS other FROM (SELECT id, text, substr(regexp_replace(title, '^\\d+\\.\\s*', ''), 1, 20) AS k FROM v_sections)", "v_sections")),
-    "sc13_section_list": (sc13, with_views("SELECT id, pos, title, len(regexp_extract_all(title || ' ' || text, '\\S+'))::INT AS words, CASE op WHEN 'deleted' THEN 'deleted' WHEN 'edit' THEN 'modified' ELSE 'original' END AS status FROM v_sections WHERE length(text) > 0", "v_sections")),
     "f2_empty_guard": (f2, with_views("SELECT count(*) = 0 AS is_empty, count(*) AS n_chapters FROM v_chapters", "v_chapters")),
     "f17_tip_markers": (f17, with_views("SELECT page, ln::INT AS ln, starts_with(l, 'The') OR starts_with(l, 'A.') OR starts_with(l, '*') AS is_tip FROM (SELECT page, ln, ltrim(line) AS l FROM v_lines)", "v_lines")),
     "f21_highlight_classes": (f21, with_views("SELECT pos, ['language-python','language-bash','plain-code','plain-code','language-sh','language-css','plain-code'][pos % 7 + 1] AS html_class, ['language-python','language-bash','plain-code','language-dockerfile','language-sh','language-css','plain-code'][pos % 7 + 1] AS pdf_class FROM v_chapters", "v_chapters")),

@@ -98,25 +98,6 @@ def f20(spark, d):
     return shown.filter(X.strip(F.col("text")) != "").groupBy("page_id").agg(F.count_if(F.lower("text").contains("track(")).alias("n_script_text"), (F.count(F.lit(1)) > 0).alias("has_text"))
 
 
-def sc14(spark, d):
-    """Images of pages (links made images): number, source and the page number in their caption."""
-    imaged = F.regexp_replace("html", '<a href="([^"]*)">([^<]*)</a>', '<figure><img src="$1" alt="Page $2"/></figure>')
-    n = M.html_nodes(v_html(spark, d).select("page_id", imaged.alias("html")), "page_id", "html").filter("tag = 'img'")
-    k = F.row_number().over(Window.partitionBy("page_id").orderBy("ix"))
-    return n.select("page_id", k.alias("n"), F.col("attrs")["src"].alias("src"))
-
-
-def sc15(spark, d):
-    """Diagrams: kind is the first word of the code, else diagram."""
-    code = F.when(F.col("pos") % 4 == 0, F.lit("  ")).otherwise(F.concat(F.lit(" GRAPH TD\n"), F.regexp_replace("title", "[^A-Za-z]", "")))
-    html = F.concat(F.lit('<section><h2>T</h2><div class="mermaid">'), code, F.lit("</div></section>"))
-    n = M.html_nodes(v_chapters(spark, d).select("pos", html.alias("html")), "pos", "html")
-    parents = n.filter("array_contains(split(attrs['class'], ' '), 'mermaid')").select("pos", F.col("ix").alias("parent"))
-    inner = parents.join(n.filter("tag = '#text'").select("pos", "parent", "text"), ["pos", "parent"], "left")
-    word = F.lower(F.regexp_extract("text", "(\\S+)", 1))
-    return inner.select("pos", F.when(word == "", "diagram").otherwise(word).alias("kind"))
-
-
 def f23(spark, d):
     html = F.concat(F.lit("<section><figure>a</figure><div class='"), F.element_at(F.array(*map(F.lit, ("tip-box", "x mermaid", "my-8", "plain"))), (F.col("pos") % 4 + 1).cast("int")), F.lit("'><p>t</p></div></section>"))
     n = M.html_nodes(v_chapters(spark, d).select("pos", html.alias("html")), "pos", "html")
@@ -162,13 +143,6 @@ def sk8(spark, d):
     return m.select("page", F.md5(F.concat(F.lit("# doc\n\n"), "text", F.lit("\n"))).alias("digest"), F.col("text").rlike("(?md)^##\\s+\\S").alias("split"))
 
 
-def sk10(spark, d):
-    """Names of exported chapters, by order in the book and id."""
-    w = Window.partitionBy("book").orderBy("pos")
-    c = v_chapters(spark, d).withColumn("book", F.regexp_extract("path", "(src\\d+)\\.md$", 1))
-    return c.select("book", "pos", F.format_string("%03d_s%d.md", F.row_number().over(w), F.col("pos")).alias("file"))
-
-
 def sc3(spark, d):
     """The first root file of each source with a toc fence."""
     toc = F.when(F.col("pos") % 20 == 0, F.concat(F.lit("x\n```toc\n1|"), "title", F.lit("|1|s|k\nshort|row\n```\n"))).otherwise(F.col("text"))
@@ -233,8 +207,6 @@ ALL = {
     "x26_diagram_labels": (x26, with_views("SELECT pos, 'A[\"x\\n' || (pos % 100) || '\"]' || chr(10) || 'subgraph S[\"x<br/>y\"]' AS code FROM v_chapters", "v_chapters")),
     "g8_node_walk": (g8, with_views("SELECT page_id, len(regexp_extract_all(html, '<a[ >]')) AS n_a, len(regexp_extract_all(html, '<h1[ >]')) AS n_h1, len(regexp_extract_all(html, '<li[ >]')) AS n_li FROM v_html", "v_html")),
     "f20_search_nodes": (f20, with_views("SELECT page_id, 0::BIGINT AS n_script_text, true AS has_text FROM v_html", "v_html")),
-    "sc14_images": (sc14, with_views("SELECT page_id, generate_subscripts(s, 1)::INT AS n, unnest(s) AS src FROM (SELECT page_id, regexp_extract_all(html, '<a href=\"([^\"]*)\">[^<]*</a>', 1) AS s FROM v_html)", "v_html")),
-    "sc15_diagrams": (sc15, with_views("SELECT pos, CASE WHEN pos % 4 = 0 THEN 'diagram' ELSE 'graph' END AS kind FROM v_chapters", "v_chapters")),
     "f23_preserved_kinds": (f23, with_views("SELECT pos, 'figure' AS kind FROM v_chapters UNION ALL SELECT pos, ['tip-box','diagram'][pos % 4 + 1] FROM v_chapters WHERE pos % 4 < 2", "v_chapters")),
     "g9_quote_segments": (g9, with_views("""SELECT pos, 1 AS run, true AS tip, '<p>TIP: a</p><p>TIP b</p>' AS html FROM v_chapters UNION ALL SELECT pos, 2, false, '<p>' || regexp_replace(title, '[^A-Za-z]', '', 'g') || '</p>' FROM v_chapters
  UNION ALL SELECT pos, 3, true, '<p>TIP c</p>' FROM v_chapters WHERE pos % 2 = 0""", "v_chapters")),
@@ -242,7 +214,6 @@ ALL = {
     "w2_unique_ids": (w2, None),
     "sk1_book_html": (sk1, with_views(f"SELECT {BOOK} AS book, string_agg('<section id=\"s' || pos || '\"><h2>' || replace(replace(replace(replace(replace(title, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), chr(39), '&#x27;') || '</h2></section>', chr(10) ORDER BY pos) AS html FROM v_chapters GROUP BY ALL", "v_chapters")),
     "sk8_imported_corpus": (sk8, with_views(f"WITH {MD} SELECT page, md5('# doc' || chr(10) || chr(10) || '# Title' || chr(10) || chr(10) || string_agg(block, chr(10) || chr(10) ORDER BY ln) || chr(10)) AS digest, bool_or((ln % 10 = 2 AND has) OR ln % 10 IN (4, 8)) AS split FROM mb GROUP BY page", "v_lines")),
-    "sk10_export_names": (sk10, with_views(f"SELECT {BOOK} AS book, pos, printf('%03d_s%d.md', row_number() OVER (PARTITION BY {BOOK} ORDER BY pos), pos) AS file FROM v_chapters", "v_chapters")),
     "sc3_toc_discovery": (sc3, with_views(f"SELECT {BOOK} AS book, arg_min(pos, (path, pos)) AS pos FROM v_chapters WHERE NOT contains(path, '/') AND pos % 20 = 0 GROUP BY ALL", "v_chapters")),
     "sc4_toc_rows": (sc4, with_views("SELECT pos, 'Part 1. ' || regexp_replace(title, '[^A-Za-z]', '', 'g') AS label, pos::VARCHAR AS chapter_no FROM v_chapters UNION ALL SELECT pos, 'Part 2. b', '3' FROM v_chapters", "v_chapters")),
     "sc7_tiers": (sc7, with_views(f"SELECT {BOOK} AS book, CASE WHEN max((path LIKE 'Part\\_%' ESCAPE '\\')::INT) = 1 THEN 'convention' ELSE 'natural' END AS tier, count(*) AS n FROM v_chapters GROUP BY ALL", "v_chapters")),

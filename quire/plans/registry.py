@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import corpus_queries, edit_queries, layout_queries, markdown_queries, translation_queries
+from . import corpus_queries, edit_queries, layout_queries, markdown_queries, node_queries, translation_queries
 
-_ALL = {**corpus_queries.ALL, **layout_queries.ALL, **edit_queries.ALL, **markdown_queries.ALL, **translation_queries.ALL}
+_ALL = {**corpus_queries.ALL, **layout_queries.ALL, **edit_queries.ALL, **markdown_queries.ALL, **node_queries.ALL, **translation_queries.ALL}
 
 
 def queries() -> dict[str, Callable]:
