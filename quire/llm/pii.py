@@ -55,6 +55,7 @@ GENERALISE, REMOVE = (3, 4), (9, 10)
 LIFT = 16
 #: Chance is contexts / (contexts + other texts + SHRINK).
 SHRINK = 1
+SPANS = "array<struct<start:int,rank:int,end:int>>"
 #: Lengths that one step of a running sum copies.
 STEP = 128
 #: Candidate terms that are sent along to all texts; where there are more, a filter of fixed size and a shuffled join find them.
@@ -159,10 +160,12 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumn("k1", F.xxhash64("text")).withColumn("k2", F.xxhash64(F.lit(1), "text"))
 
 
-def disclosing(docs: DataFrame, folder: str) -> DataFrame:
-    """(k1, k2, terms): the texts that hold disclosing terms, with them and whether they are to be removed."""
-    some = reduce(or_, map(may_hold, KINDS))
-    spotted = written(with_spans(docs.filter(some), context=True).select("k1", "k2", "base"), folder, "spotted").select("k1", "k2", F.explode("base").alias("s"))
+def disclosing(docs: DataFrame, spans: DataFrame, folder: str) -> DataFrame:
+    """(k1, k2, terms): the texts that hold disclosing terms, with them and whether they are to be removed.
+
+    docs has text, k1 and k2; spans the base spans with their contexts of those that have some.
+    """
+    spotted = spans.select("k1", "k2", F.explode("base").alias("s"))
     near = spotted.select("k1", "k2", "s.entity", F.xxhash64("s.around").alias("context"), F.explode(words(F.col("s.around"))).alias("term"))
     near = written(near.distinct(), folder, "near")
     support = near.groupBy("entity", "term").agg(F.count_distinct("context").alias("contexts"), F.count_distinct("k1", "k2").alias("together"))
@@ -193,12 +196,19 @@ def scan(documents: DataFrame) -> DataFrame:
     """
     spark = documents.sparkSession
     folder = shared_dir(spark)
-    docs = keyed(documents.withColumn("text", F.coalesce("text", F.lit(""))))
-    hits = written(disclosing(docs.select("text", "k1", "k2"), folder), folder, "hits")
-    maybe, rest = split_by_keys(docs.drop("base", "found", "terms"), F.col("k1"), hits.select(F.col("k1").alias("k")), folder, "texts")
-    none = F.array().cast("array<struct<term:string,remove:boolean>>")
-    joined = maybe.join(hits, ["k1", "k2"], "left").withColumn("terms", F.coalesce("terms", none)).select(*rest.columns, "terms")
-    given = with_spans(joined)
+    docs = keyed(documents.drop("base", "found", "terms").withColumn("text", F.coalesce("text", F.lit(""))))
+    some = reduce(or_, map(may_hold, KINDS))
+    spans = written(with_spans(docs.filter(some).select("text", "k1", "k2"), context=True).select("k1", "k2", "base"), folder, "spans")
+    hits = disclosing(docs.select("text", "k1", "k2"), spans, folder)
+    plain = F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["end"].alias("end")))
+    spotted = spans.filter(F.size("base") > 0).select("k1", "k2", plain.alias("base")).dropDuplicates(["k1", "k2"])
+    no_spans, no_terms = F.array().cast(SPANS), F.array().cast("array<struct<term:string,remove:boolean>>")
+    marks = spotted.join(hits, ["k1", "k2"], "full").select("k1", "k2", F.coalesce("base", no_spans).alias("base"), F.coalesce("terms", no_terms).alias("terms"))
+    marks = written(marks, folder, "marks")
+    # texts without spans and terms, but for a filter's errors, aren't moved
+    maybe, rest = split_by_keys(docs, F.col("k1"), marks.select(F.col("k1").alias("k")), folder, "texts")
+    joined = maybe.join(marks, ["k1", "k2"], "left")
+    given = joined.withColumns({"base": F.coalesce("base", no_spans), "terms": F.coalesce("terms", no_terms)}).select(*rest.columns, "base", "terms")
     gaps, held = pieces(WORD, F.size("terms") > 0)
     given = given.withColumn("_h", held).withColumn("_g", gaps)
     given = given.withColumn("_s", running(F.zip_with(F.slice("_g", 1, F.size("_h")), "_h", lambda g, h: F.length(g) + F.length(h))))
@@ -213,8 +223,8 @@ def scan(documents: DataFrame) -> DataFrame:
     own = F.transform(F.filter(parts, lambda p: F.array_contains(names, p["hit"])), span)
     free = F.filter(own, lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
     given = given.withColumn("found", F.array_sort(F.concat("base", free))).drop("_h", "_g", "_s", "terms")
-    plain = with_spans(rest).withColumn("found", F.col("base"))
-    return given.unionByName(plain).drop("k1", "k2")
+    clean = rest.withColumns({"base": no_spans, "found": no_spans})
+    return given.unionByName(clean).drop("k1", "k2")
 
 
 def listed(spans: Column) -> Column:
@@ -239,7 +249,7 @@ def sanitised(scanned: DataFrame) -> DataFrame:
     Where spans overlap, the first one stands for both.
     """
     letters = F.split("text", "")
-    first = F.aggregate("found", F.array().cast("array<struct<start:int,rank:int,end:int>>"), lambda acc, s: F.when((F.size(acc) > 0) & (F.try_element_at(acc, F.lit(-1))["end"] > s["start"]), acc).otherwise(F.concat(acc, F.array(s))))
+    first = F.aggregate("found", F.array().cast(SPANS), lambda acc, s: F.when((F.size(acc) > 0) & (F.try_element_at(acc, F.lit(-1))["end"] > s["start"]), acc).otherwise(F.concat(acc, F.array(s))))
     rows = scanned.withColumn("_c", F.when(F.length("text") > 0, letters).otherwise(F.array().cast("array<string>"))).withColumn("_f", first)
     ends = F.concat(F.array(F.lit(0)), F.transform("_f", lambda s: s["end"]))
     starts = F.concat(F.transform("_f", lambda s: s["start"]), F.array(F.length("text")))
