@@ -331,10 +331,6 @@ def a13(spark, d):
     return v_html(spark, d).select("page_id", X.word_count(t).alias("n_words"), F.regexp_count("html", F.lit("<a ")).alias("n_links"), F.regexp_count("html", F.lit("<script")).alias("n_scripts"))
 
 
-def a20(spark, d):
-    return v_images(spark, d).groupBy("doc").agg(F.coalesce(F.bool_or(F.when(F.col("width") > 30, F.col("height") < 1)), F.lit(False)).alias("needs_cdn"))
-
-
 def a21(spark, d):
     return v_html(spark, d).groupBy(F.lit("th").alias("q")).agg(F.sum(F.regexp_count(F.lower(X.strip_tags(F.col("html"))), F.lit("\\Qth\\E"))).cast("long").alias("hits"))
 
@@ -461,7 +457,6 @@ ALL = {
     "x22_data_uri_parse": (x22, with_views("SELECT doc, page, pos, 'image/png' AS mime, hash AS data FROM v_images", "v_images")),
     "sk11_data_uri_file": (sk11, with_views("SELECT doc, page, pos, CASE WHEN page % 5 < 2 THEN NULL ELSE md5(hash) || '.png' END AS file FROM v_images", "v_images")),
     "a13_section_stats": (a13, with_views("SELECT page_id, len(regexp_extract_all(regexp_replace(html, '<[^>]+>', '', 'g'), '\\S+'))::INT AS n_words, len(regexp_extract_all(html, '<a '))::INT AS n_links, len(regexp_extract_all(html, '<script'))::INT AS n_scripts FROM v_html", "v_html")),
-    "a20_any_flag": (a20, with_views("SELECT doc, coalesce(bool_or(height < 1) FILTER (WHERE width > 30), false) AS needs_cdn FROM v_images GROUP BY doc", "v_images")),
     "a21_search_hits": (a21, with_views("SELECT 'th' AS q, sum(len(regexp_extract_all(lower(regexp_replace(html, '<[^>]+>', '', 'g')), 'th')))::BIGINT AS hits FROM v_html", "v_html")),
     "w21_search_cursor": (w21, with_views("SELECT pos, CASE WHEN n > 0 THEN n - 1 END::INT AS prev_of_first, CASE WHEN n > 0 THEN 0 END::INT AS next_of_last FROM (SELECT pos, len(regexp_extract_all(text, '\\S+')) AS n FROM v_chapters)", "v_chapters")),
     "g6_ruler_rows": (g6, with_views("SELECT pos, unnest(range(0, n_chars + 1, 20))::INT AS y FROM v_chapters", "v_chapters")),

@@ -130,13 +130,6 @@ def w2(spark, d):
     return S.unique_ids(s, "book", "pos")
 
 
-def sk1(spark, d):
-    """A book of each source: sections in order between the contract's tags, headings one level down."""
-    h = v_chapters(spark, d).select("pos", F.regexp_extract("path", "(src\\d+)\\.md$", 1).alias("book"), F.concat(F.lit("<h1>"), X.html_escape(F.col("title")), F.lit("</h1>")).alias("html"))
-    sec = F.concat(F.lit('<section id="s'), F.col("pos").cast("string"), F.lit('">'), X.demote_headings(F.col("html")), F.lit("</section>"))
-    return h.groupBy("book").agg(X.ordered_concat(sec, [F.col("pos")], "\n").alias("html"))
-
-
 def sk8(spark, d):
     """Imported chapters: a title, the body, and whether the book's configuration has to split them."""
     m = v_md(spark, d)
@@ -212,7 +205,6 @@ ALL = {
  UNION ALL SELECT pos, 3, true, '<p>TIP c</p>' FROM v_chapters WHERE pos % 2 = 0""", "v_chapters")),
     "w18_page_cuts": (w18, None),
     "w2_unique_ids": (w2, None),
-    "sk1_book_html": (sk1, with_views(f"SELECT {BOOK} AS book, string_agg('<section id=\"s' || pos || '\"><h2>' || replace(replace(replace(replace(replace(title, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), chr(39), '&#x27;') || '</h2></section>', chr(10) ORDER BY pos) AS html FROM v_chapters GROUP BY ALL", "v_chapters")),
     "sk8_imported_corpus": (sk8, with_views(f"WITH {MD} SELECT page, md5('# doc' || chr(10) || chr(10) || '# Title' || chr(10) || chr(10) || string_agg(block, chr(10) || chr(10) ORDER BY ln) || chr(10)) AS digest, bool_or((ln % 10 = 2 AND has) OR ln % 10 IN (4, 8)) AS split FROM mb GROUP BY page", "v_lines")),
     "sc3_toc_discovery": (sc3, with_views(f"SELECT {BOOK} AS book, arg_min(pos, (path, pos)) AS pos FROM v_chapters WHERE NOT contains(path, '/') AND pos % 20 = 0 GROUP BY ALL", "v_chapters")),
     "sc4_toc_rows": (sc4, with_views("SELECT pos, 'Part 1. ' || regexp_replace(title, '[^A-Za-z]', '', 'g') AS label, pos::VARCHAR AS chapter_no FROM v_chapters UNION ALL SELECT pos, 'Part 2. b', '3' FROM v_chapters", "v_chapters")),

@@ -6,13 +6,14 @@ a bare diagram.
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import markdown as M
 from ..functions.text import ordered_concat
 from ..operators import nodes as N
 from ..session import written
-from .views import v_lines, with_views
+from .views import v_chapters, v_lines, with_views
 
 #: A picture for the images that come as data.
 PIXEL = "R0lGODlhAQABAAAAACwAAAAAAQABAAA="
@@ -85,6 +86,13 @@ def sk10(spark, d):
     return N.exported(_nodes(spark, d), "page").select("page", "path", "kind", F.md5("content").alias("digest"))
 
 
+def sk10_names(spark, d):
+    """Names of exported chapters, by order in the book and id."""
+    w = Window.partitionBy("book").orderBy("pos")
+    c = v_chapters(spark, d).withColumn("book", F.regexp_extract("path", "(src\\d+)\\.md$", 1))
+    return c.select("book", "pos", F.format_string("%03d_s%d.md", F.row_number().over(w), F.col("pos")).alias("file"))
+
+
 LINES = "bl AS (SELECT page, ln, trim(regexp_replace(regexp_replace(line, '[^\\p{L}\\p{N} ]', '', 'g'), ' +', ' ', 'g')) AS l FROM v_lines)"
 DATA = f"data:image/gif;base64,{PIXEL}"
 NUMBERED = f"""{LINES}, hd AS (SELECT page, ln, l AS hl FROM bl WHERE ln % 6 = 0), b AS (SELECT bl.page, bl.ln, l, bl.ln % 6 AS k, (bl.ln - bl.ln % 6) || '. ' || hl AS head, CASE WHEN bl.ln % 6 = 2 AND bl.ln % 4 = 2 THEN '{DATA}' WHEN bl.ln % 6 = 2 THEN 'i' || bl.ln || '.png' ELSE bl.ln || '.png' END AS src
@@ -120,5 +128,6 @@ ALL = {
     "f19_section_visuals": (f19, with_views(f"WITH {NUMBERED}, s AS (SELECT page, 's' || ln AS id, substr(regexp_replace(trim(head), '^\\d+\\.\\s*', ''), 1, 20) AS t FROM b WHERE k = 0) SELECT el.page, s.id, display_index::INT AS display_index FROM el JOIN s ON s.page = el.page AND contains(trim(el.section), s.t)", "v_lines")),
     "w15_element_index": (w15, with_views(f"WITH {NUMBERED} SELECT page, display_index::INT AS display_index, kind, n::INT AS n, title, trim(section) AS section, extra FROM el", "v_lines")),
     "sk12_saved_edits": (sk12, with_views(SAVED, "v_lines")),
+    "sk10_export_names": (sk10_names, with_views("SELECT regexp_extract(path, '(src\\d+)\\.md$', 1) AS book, pos, printf('%03d_s%d.md', row_number() OVER (PARTITION BY regexp_extract(path, '(src\\d+)\\.md$', 1) ORDER BY pos), pos) AS file FROM v_chapters", "v_chapters")),
     "sk10_exported_sections": (sk10, with_views(EXPORT, "v_lines")),
 }
