@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import book_queries, corpus_queries, edit_queries, layout_queries, markdown_queries, node_queries, translation_queries
+from . import book_queries, corpus_queries, edit_queries, import_queries, layout_queries, markdown_queries, node_queries, translation_queries
 
-_ALL = {**book_queries.ALL, **corpus_queries.ALL, **layout_queries.ALL, **edit_queries.ALL, **markdown_queries.ALL, **node_queries.ALL, **translation_queries.ALL}
+_ALL = {**book_queries.ALL, **corpus_queries.ALL, **layout_queries.ALL, **edit_queries.ALL, **import_queries.ALL, **markdown_queries.ALL, **node_queries.ALL, **translation_queries.ALL}
 
 
 def queries() -> dict[str, Callable]:
