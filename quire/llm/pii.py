@@ -160,6 +160,15 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumn("k1", F.xxhash64("text")).withColumn("k2", F.xxhash64(F.lit(1), "text"))
 
 
+def weight() -> Column:
+    """What contexts are measured against: themselves and the texts with the term but without the entity near it, shrunken."""
+    return F.col("contexts") + F.col("texts") - F.col("together") + SHRINK
+
+
+def reaches(chance: tuple[int, int]) -> Column:
+    return F.col("contexts") * chance[1] >= chance[0] * weight()
+
+
 def disclosing(docs: DataFrame, spans: DataFrame, folder: str) -> DataFrame:
     """(k1, k2, terms): the texts that hold disclosing terms, with them and whether they are to be removed.
 
@@ -169,7 +178,9 @@ def disclosing(docs: DataFrame, spans: DataFrame, folder: str) -> DataFrame:
     near = spotted.select("k1", "k2", "s.entity", F.xxhash64("s.around").alias("context"), F.explode(words(F.col("s.around"))).alias("term"))
     near = written(near.distinct(), folder, "near")
     support = near.groupBy("entity", "term").agg(F.count_distinct("context").alias("contexts"), F.count_distinct("k1", "k2").alias("together"))
-    candidates = written(support.filter(F.col("contexts") >= MIN_CONTEXTS), folder, "candidates")
+    # texts with the term in anyone's context are some of all texts with it: what fails with them fails with all
+    seen = near.groupBy("term").agg(F.count_distinct("k1", "k2").alias("texts"))
+    candidates = written(support.filter(F.col("contexts") >= MIN_CONTEXTS).join(seen, "term").filter(reaches(GENERALISE)).drop("texts"), folder, "candidates")
     # texts that hold a candidate term
     tokens = docs.select("k1", "k2", F.explode(F.regexp_extract_all("text", F.lit(WORD), F.lit(0))).alias("term"))
     wanted = candidates.select("term").distinct()
@@ -181,9 +192,7 @@ def disclosing(docs: DataFrame, spans: DataFrame, folder: str) -> DataFrame:
     texts = docs.select("k1", "k2").distinct().count()
     with_entity = near.select("entity", "k1", "k2").distinct().groupBy("entity").agg(F.count("*").alias("entity_texts"))
     rated = candidates.join(held.groupBy("term").agg(F.count("*").alias("texts")), "term").join(with_entity, "entity")
-    weight = F.col("contexts") + F.col("texts") - F.col("together") + SHRINK
-    lifted = F.col("contexts") * texts >= LIFT * F.col("entity_texts") * weight
-    reaches = lambda t: F.col("contexts") * t[1] >= t[0] * weight
+    lifted = F.col("contexts") * texts >= LIFT * F.col("entity_texts") * weight()
     flagged = written(rated.filter(lifted & reaches(GENERALISE)).groupBy("term").agg(F.max(reaches(REMOVE)).alias("remove")), folder, "flagged")
     return held.join(flagged, "term").groupBy("k1", "k2").agg(F.collect_list(F.struct("term", "remove")).alias("terms"))
 
