@@ -124,10 +124,22 @@ def w18(spark, d):
     return g.select("id", F.posexplode(cuts).alias("ix", "y"))
 
 
+def _ids(spark, d):
+    """Ids with repeats, and some that look like the ones given out for repeats."""
+    i = F.col("pos")
+    ids = F.when(i % 5 == 0, F.concat("title", F.lit("_2"))).when(i % 7 == 0, F.concat("title", F.lit("_"), (i % 6).cast("string"))).otherwise(F.col("title"))
+    return v_chapters(spark, d).select(F.regexp_extract("path", "(src\\d+)\\.md$", 1).alias("book"), "pos", ids.alias("id"))
+
+
 def w2(spark, d):
-    ids = F.when(F.col("pos") % 5 == 0, F.concat("title", F.lit("_2"))).otherwise(F.col("title"))
-    s = v_chapters(spark, d).select(F.regexp_extract("path", "(src\\d+)\\.md$", 1).alias("book"), "pos", ids.alias("id"))
-    return S.unique_ids(s, "book", "pos")
+    return S.unique_ids(_ids(spark, d), "book", "pos").select("book", "pos", "id", "new_id")
+
+
+def w2_links(spark, d):
+    """A table of contents whose links follow the renamed sections."""
+    ids = _ids(spark, d)
+    links = ids.select("book", F.col("pos").alias("ix"), F.concat(F.lit("#"), "id").alias("href"))
+    return S.followed_links(links, S.unique_ids(ids, "book", "pos"), "book")
 
 
 def sk8(spark, d):
@@ -187,6 +199,13 @@ PIECES = """bd AS (SELECT *, CASE WHEN ln % 10 = 2 AND has THEN 1 ELSE 0 END AS
  pieces AS (SELECT page, row_number() OVER (PARTITION BY page ORDER BY seg) - 1 AS piece_ix, t FROM pc WHERE seg > 0 OR body OR mx = 0)"""
 BOOK = "regexp_extract(path, '(src\\d+)\\.md$', 1)"
 
+# the numbers from 2 that no id of the book takes, in order, to the repeats of an id
+UNIQUE = f"""o AS (SELECT {BOOK} AS book, pos, CASE WHEN pos % 5 = 0 THEN title || '_2' WHEN pos % 7 = 0 THEN title || '_' || (pos % 6) ELSE title END AS id FROM v_chapters),
+ r AS (SELECT *, row_number() OVER (PARTITION BY book, id ORDER BY pos) AS n FROM o),
+ m AS (SELECT book, id, count(*) AS m FROM o GROUP BY ALL), k AS (SELECT book, id, unnest(range(2, m + 2000)) AS k FROM m WHERE m > 1),
+ free AS (SELECT book, id, k, row_number() OVER (PARTITION BY book, id ORDER BY k) + 1 AS n FROM k WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.book = k.book AND o.id = k.id || '_' || k.k)),
+ named AS (SELECT r.book, r.pos, r.id, r.n, CASE WHEN r.n = 1 THEN r.id ELSE r.id || '_' || free.k END AS new_id FROM r LEFT JOIN free ON free.book = r.book AND free.id = r.id AND free.n = r.n)"""
+
 ALL = {
     "w16_heading_split": (w16, with_views(f"WITH {MD}, {PIECES} SELECT page, piece_ix::INT AS piece_ix, md5(t) AS digest FROM pieces", "v_lines")),
     "f22_protected_zones": (f22, with_views(f"WITH {MD} SELECT page, (sum(CASE ln % 10 WHEN 4 THEN 0 WHEN 6 THEN 0 WHEN 8 THEN 0 WHEN 9 THEN 3 ELSE 1 END) + count(*) + 1)::INT AS n_open, (sum(CASE WHEN ln % 10 IN (4, 6, 8, 9) THEN 3 ELSE 1 END) + count(*) + 1)::INT AS n_lines FROM mb GROUP BY page", "v_lines")),
@@ -204,7 +223,9 @@ ALL = {
     "g9_quote_segments": (g9, with_views("""SELECT pos, 1 AS run, true AS tip, '<p>TIP: a</p><p>TIP b</p>' AS html FROM v_chapters UNION ALL SELECT pos, 2, false, '<p>' || regexp_replace(title, '[^A-Za-z]', '', 'g') || '</p>' FROM v_chapters
  UNION ALL SELECT pos, 3, true, '<p>TIP c</p>' FROM v_chapters WHERE pos % 2 = 0""", "v_chapters")),
     "w18_page_cuts": (w18, None),
-    "w2_unique_ids": (w2, None),
+    "w2_unique_ids": (w2, with_views(f"WITH {UNIQUE} SELECT book, pos, id, new_id FROM named", "v_chapters")),
+    "w2_toc_links": (w2_links, with_views(f"""WITH {UNIQUE}, l AS (SELECT *, row_number() OVER (PARTITION BY book, id ORDER BY pos) - 1 AS place FROM o)
+ SELECT l.book, l.pos AS ix, '#' || coalesce(m.new_id, l.id) AS href FROM l LEFT JOIN named m ON m.book = l.book AND m.id = l.id AND m.n > 1 AND l.place = 2 * (m.n - 1) - 1""", "v_chapters")),
     "sk8_imported_corpus": (sk8, with_views(f"WITH {MD} SELECT page, md5('# doc' || chr(10) || chr(10) || '# Title' || chr(10) || chr(10) || string_agg(block, chr(10) || chr(10) ORDER BY ln) || chr(10)) AS digest, bool_or((ln % 10 = 2 AND has) OR ln % 10 IN (4, 8)) AS split FROM mb GROUP BY page", "v_lines")),
     "sc3_toc_discovery": (sc3, with_views(f"SELECT {BOOK} AS book, arg_min(pos, (path, pos)) AS pos FROM v_chapters WHERE NOT contains(path, '/') AND pos % 20 = 0 GROUP BY ALL", "v_chapters")),
     "sc4_toc_rows": (sc4, with_views("SELECT pos, 'Part 1. ' || regexp_replace(title, '[^A-Za-z]', '', 'g') AS label, pos::VARCHAR AS chapter_no FROM v_chapters UNION ALL SELECT pos, 'Part 2. b', '3' FROM v_chapters", "v_chapters")),

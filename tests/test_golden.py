@@ -321,3 +321,30 @@ def test_override_keys_are_composed():
 
     key = unicodedata.normalize("NFD", "\u00e9.md")
     assert len(key) == 5 and read_book(f"section_id_overrides:\n  '{key}': x\n").section_id_overrides == {"\u00e9.md": "x"}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_unique_ids_are_those_of_probing(spark, seed):
+    rnd = np.random.default_rng(seed)
+    rows = [(int(rnd.integers(3)), i, str(rnd.choice(["a", "a_2", "a_3", "a_2_2", "b", "b_5", "a_02", "a_1", "_2", ""]))) for i in range(120)]
+    want = {}
+    for book in range(3):
+        taken, seen = {x for b, _, x in rows if b == book}, {}
+        for b, i, x in rows:
+            if b == book:
+                seen[x] = n = seen.get(x, 0) + 1
+                new = x
+                if n > 1:
+                    while (new := f"{x}_{n}") in taken:
+                        n += 1
+                    taken.add(new)
+                want[b, i] = new
+    got = S.unique_ids(spark.createDataFrame(rows, "book int, pos int, id string"), "book", "pos")
+    assert {(r.book, r.pos): r.new_id for r in got.collect()} == want
+
+
+def test_toc_links_follow_renamed_sections(spark):
+    ids = spark.createDataFrame([(1, i, "a") for i in range(3)] + [(1, 9, "b")], "book int, pos int, id string")
+    links = spark.createDataFrame([(1, i, "#a") for i in range(5)] + [(1, 7, "#b")], "book int, ix int, href string")
+    got = S.followed_links(links, S.unique_ids(ids, "book", "pos"), "book")
+    assert [r.href for r in got.orderBy("ix").collect()] == ["#a", "#a_2", "#a", "#a_3", "#a", "#b"]
