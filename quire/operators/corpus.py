@@ -43,11 +43,8 @@ def leading_number(name: Column) -> Column:
     return F.regexp_extract(name, "^(\\d+)", 1).try_cast("int")
 
 
-def convention_order(chapters: DataFrame) -> DataFrame:
-    """Reading order of a tree by naming: front files, parts by numeral, back matter, appendix. Other folders don't count.
-
-    Adds section (0 to 3), label and reading position `pos_out`.
-    """
+def by_convention(chapters: DataFrame) -> DataFrame:
+    """Rows that a tree's naming places: section (0 front files, 1 parts, 2 back matter, 3 appendix), label, and _rank and _key to sort by."""
     name, top = file_name(F.col("path")), F.regexp_extract("path", "^([^/]+)/", 1)
     part = F.regexp_extract(top, "^Part_([IVX]+)_", 1)
     number = leading_number(name)
@@ -56,9 +53,16 @@ def convention_order(chapters: DataFrame) -> DataFrame:
     )
     label = F.when(section == 1, F.concat(part, F.lit("부. "), F.replace(F.regexp_extract(top, "^Part_[IVX]+_(.*)$", 1), F.lit("_"), F.lit(" ")))).when(section == 3, F.lit("Appendix"))
     c = chapters.withColumn("section", section).withColumn("label", label).filter("section is not null")
-    c = c.withColumn("_rank", F.when(F.col("section") == 1, roman_rank(part)).otherwise(0)).withColumn("_key", natural_key(F.col("path")))
+    return c.withColumn("_rank", F.when(F.col("section") == 1, roman_rank(part)).otherwise(0)).withColumn("_key", natural_key(F.col("path")))
+
+
+def convention_order(chapters: DataFrame) -> DataFrame:
+    """Reading order of a tree by naming: front files, parts by numeral, back matter, appendix. Other folders don't count.
+
+    Adds section (0 to 3), label and reading position `pos_out`.
+    """
     # ranked in ranges of the sort key: counts of the ranges before are added, so the whole isn't sorted in one task
-    return ranked(c, ["section", "_rank", "_key", "path", "pos"], "pos_out").drop("_rank", "_key")
+    return ranked(by_convention(chapters), ["section", "_rank", "_key", "path", "pos"], "pos_out").drop("_rank", "_key")
 
 
 def ranked(df: DataFrame, by: list[str], name: str) -> DataFrame:

@@ -10,6 +10,7 @@ from ..functions import markdown as M
 from ..functions import text as X
 from ..operators import corpus as C
 from ..operators import splitting as S
+from ..sources import corpus as source
 from .views import v_bands, v_chapters, v_html, v_lines, with_views
 
 
@@ -164,10 +165,16 @@ def sc4(spark, d):
 
 
 def sc7(spark, d):
-    """Tiers of each source's tree: the first that has rows."""
+    """Reading order of books of four kinds: with a listing, with a toc, named by parts and chapters, and neither."""
+    kind = F.regexp_extract("book", "(\\d+)$", 1).cast("int") % 4
     c = v_chapters(spark, d).withColumn("book", F.regexp_extract("path", "(src\\d+)\\.md$", 1))
-    parts, any_file = F.bool_or(F.col("path").rlike("^Part_[IVX]+_")), F.lit(True)
-    return c.groupBy("book").agg(F.when(parts, "convention").when(any_file, "natural").alias("tier"), F.count(F.lit(1)).alias("n"))
+    path = F.when(kind == 3, F.replace("path", F.lit("Part_"), F.lit("Sec_"))).otherwise(F.col("path"))
+    files = c.select("book", path.alias("path")).distinct().withColumn("text", F.lit("# x"))
+    books = c.select("book").distinct()
+    toc = F.concat(F.lit("# toc\n```toc\n"), F.array_join(F.transform(F.sequence(F.lit(0), F.lit(59)), lambda i: F.concat((F.floor(i / 30) + 1).cast("string"), F.lit("|T|"), (i % 30).cast("string"), F.lit("|s"))), "\n"), F.lit("\nshort|row\n```\n"))
+    files = files.unionByName(books.filter(kind == 1).select("book", F.lit("50_toc.md").alias("path"), toc.alias("text")))
+    config = F.when(kind == 0, F.lit("order:\n  files: ['Appendix/*.md', 'notes/n1*.md', gone.md]\n")).when(kind == 2, F.lit("exclude: ['*_top_*']\n"))
+    return source.resolve_books(files, books.withColumn("config", config))
 
 
 def sc1(spark, d):
@@ -199,6 +206,7 @@ PIECES = """bd AS (SELECT *, CASE WHEN ln % 10 = 2 AND has THEN 1 ELSE 0 END AS
  pieces AS (SELECT page, row_number() OVER (PARTITION BY page ORDER BY seg) - 1 AS piece_ix, t FROM pc WHERE seg > 0 OR body OR mx = 0)"""
 BOOK = "regexp_extract(path, '(src\\d+)\\.md$', 1)"
 
+NATURAL = "list_transform(regexp_extract_all(lower(path), '\\d+|\\D+'), lambda r: CASE WHEN regexp_matches(r, '^\\d') THEN lpad(r, 20, '0') ELSE r END)"
 # the numbers from 2 that no id of the book takes, in order, to the repeats of an id
 UNIQUE = f"""o AS (SELECT {BOOK} AS book, pos, CASE WHEN pos % 5 = 0 THEN title || '_2' WHEN pos % 7 = 0 THEN title || '_' || (pos % 6) ELSE title END AS id FROM v_chapters),
  r AS (SELECT *, row_number() OVER (PARTITION BY book, id ORDER BY pos) AS n FROM o),
@@ -229,7 +237,16 @@ ALL = {
     "sk8_imported_corpus": (sk8, with_views(f"WITH {MD} SELECT page, md5('# doc' || chr(10) || chr(10) || '# Title' || chr(10) || chr(10) || string_agg(block, chr(10) || chr(10) ORDER BY ln) || chr(10)) AS digest, bool_or((ln % 10 = 2 AND has) OR ln % 10 IN (4, 8)) AS split FROM mb GROUP BY page", "v_lines")),
     "sc3_toc_discovery": (sc3, with_views(f"SELECT {BOOK} AS book, arg_min(pos, (path, pos)) AS pos FROM v_chapters WHERE NOT contains(path, '/') AND pos % 20 = 0 GROUP BY ALL", "v_chapters")),
     "sc4_toc_rows": (sc4, with_views("SELECT pos, 'Part 1. ' || regexp_replace(title, '[^A-Za-z]', '', 'g') AS label, pos::VARCHAR AS chapter_no FROM v_chapters UNION ALL SELECT pos, 'Part 2. b', '3' FROM v_chapters", "v_chapters")),
-    "sc7_tiers": (sc7, with_views(f"SELECT {BOOK} AS book, CASE WHEN max((path LIKE 'Part\\_%' ESCAPE '\\')::INT) = 1 THEN 'convention' ELSE 'natural' END AS tier, count(*) AS n FROM v_chapters GROUP BY ALL", "v_chapters")),
+    "sc7_tiers": (sc7, with_views(f"""WITH f AS (SELECT DISTINCT book, k, CASE WHEN k = 3 THEN replace(path, 'Part_', 'Sec_') ELSE path END AS path FROM (SELECT {BOOK} AS book, regexp_extract({BOOK}, '\\d+')::INT % 4 AS k, path FROM v_chapters)),
+ g AS (SELECT * FROM f UNION SELECT book, k, '50_toc.md' FROM f WHERE k = 1), n AS (SELECT *, {NATURAL} AS nk, path LIKE 'Part\\_%' ESCAPE '\\' AS part, contains(path, '/') AS deep, try_cast(regexp_extract(path, '^(\\d+)[^/]*$', 1) AS INT) AS no, regexp_extract(path, '^Part_([IVX]+)_', 1) AS roman FROM g),
+ e AS (SELECT book, 0 AS tier, CASE WHEN path LIKE 'Appendix/%' THEN 0 ELSE 1 END AS a, nk, path, NULL AS part_label FROM n WHERE k = 0 AND (path LIKE 'Appendix/%' OR path LIKE 'notes/n1%')),
+ t AS (SELECT book, 1 AS tier, p * 30 + c AS a, [] AS nk, min(path) AS path, 'Part ' || (p + 1) || '. T' AS part_label FROM n, (SELECT unnest([0, 1]) AS p), (SELECT unnest(range(30)) AS c)
+  WHERE k = 1 AND path LIKE 'Part\\_' || ['I', 'II'][p + 1] || '\\_%' ESCAPE '\\' AND regexp_extract(path, 'Chapter_(\\d+)_', 1)::INT = c GROUP BY book, p, c),
+ kept AS (SELECT * FROM n WHERE k <> 2 OR NOT contains(path, '_top_')),
+ v AS (SELECT book, 2 AS tier, CASE WHEN NOT deep AND coalesce(no, 0) < 50 THEN 0 WHEN part THEN 1000 + CASE roman WHEN 'I' THEN 1 WHEN 'II' THEN 2 WHEN 'IV' THEN 4 ELSE 10 END WHEN NOT deep THEN 2000 ELSE 3000 END AS a, nk, path,
+  CASE WHEN part THEN roman || '부. some name' WHEN deep THEN 'Appendix' END AS part_label FROM kept WHERE (part OR NOT deep OR path LIKE 'Appendix/%') AND book IN (SELECT book FROM kept WHERE part)),
+ u AS (SELECT book, 3 AS tier, 0 AS a, nk, path, NULL AS part_label FROM kept), x AS (SELECT * FROM e UNION ALL SELECT * FROM t UNION ALL SELECT * FROM v UNION ALL SELECT * FROM u)
+ SELECT book, ['explicit', 'toc', 'convention', 'natural'][tier + 1] AS tier, row_number() OVER (PARTITION BY book ORDER BY a, nk, path)::INT AS pos_out, path, part_label FROM x WHERE tier = (SELECT min(tier) FROM x y WHERE y.book = x.book)""", "v_chapters")),
     "sc1_corpus_scan": (sc1, with_views("SELECT pos, path, row_number() OVER (ORDER BY list_transform(regexp_extract_all(lower(CASE WHEN regexp_matches(path, '^\\d') THEN path ELSE path END), '\\d+|\\D+'), lambda r: CASE WHEN regexp_matches(r, '^\\d') THEN lpad(r, 20, '0') ELSE r END), path, pos) AS pos_out FROM v_chapters WHERE NOT path GLOB '*_src1.md'", "v_chapters")),
     "sc21_path_allowed": (sc21, with_views("SELECT pos, pos % 3 = 2 OR (pos % 3 = 0 AND path LIKE 'book/%') AS allowed FROM v_chapters", "v_chapters")),
 }

@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 import io
+import re
 import unicodedata
 from dataclasses import dataclass, field, fields
 
+import pandas as pd
 import yaml
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 from ..functions.text import ROMAN, natural_key, nfc
 from ..operators import corpus as C
+from ..session import written
 
 # Files that aren't chapters unless a book says otherwise.
 DEFAULT_EXCLUDE = ["book.yaml", "README.md", "readme.md"]
@@ -157,3 +161,86 @@ def resolve(files: DataFrame, book: Book | None) -> tuple[DataFrame, str]:
         return C.convention_order(kept).select("pos_out", "path", F.col("label").alias("part_label")), "convention"
     keyed = kept.withColumn("_key", natural_key(F.col("path")))
     return C.ranked(keyed, ["_key", "path"], "pos_out").select("pos_out", "path", empty), "natural"
+
+
+# --- many books at once ------------------------------------------------------------------------------------------------------
+
+TIERS = ("explicit", "toc", "convention", "natural")
+
+
+def book_orders(books: DataFrame, config: str = "config") -> DataFrame:
+    """(book, exclude, files, manifest): what a book's configuration (a book.yaml as text, or null) says of its order."""
+
+    def run(frames):
+        for f in frames:
+            out = []
+            for book, text in zip(f["book"], f["config"]):
+                b = read_book(text) or Book()
+                out.append((book, list(b.exclude), list(b.order.files), b.order.manifest))
+            yield pd.DataFrame(out, columns=["book", "exclude", "files", "manifest"])
+
+    kind = dict(books.dtypes)["book"]
+    return books.select("book", F.col(config).alias("config")).mapInPandas(run, f"book {kind}, exclude array<string>, files array<string>, manifest string")
+
+
+@F.pandas_udf(BooleanType())
+def glob_matches(name: pd.Series, pattern: pd.Series) -> pd.Series:
+    """Whether a path is what a pattern names: as it is, or as a glob whose wildcards stop at a slash."""
+    return pd.Series([bool(re.match(C.glob_regex(p), n)) if any(c in p for c in "*?[") else n == p for n, p in zip(name, pattern)])
+
+
+@F.pandas_udf(BooleanType())
+def any_glob(name: pd.Series, patterns: pd.Series) -> pd.Series:
+    return pd.Series([any(re.match(C.glob_regex(p, name_only=True), n) for p in ps) for n, ps in zip(name, patterns)])
+
+
+def toc_entries(files: DataFrame) -> DataFrame:
+    """(book, pos, part_no, part_title, chapter_no): the toc fence of each book's first file, in the order of paths, that has one."""
+    fence = "(?s)```toc\\s*\\n(.*?)```"
+    first = files.filter(F.col("text").rlike(fence)).groupBy("book").agg(F.min_by("text", "path").alias("text"))
+    lines = first.select("book", F.posexplode(F.split(F.regexp_extract("text", fence, 1), "\n")).alias("pos", "line"))
+    f = F.col("f")
+    return lines.withColumn("f", F.split(F.trim("line"), "\\|")).filter(F.size("f") >= 4).select("book", "pos", f[0].alias("part_no"), f[1].alias("part_title"), f[2].alias("chapter_no"))
+
+
+def resolve_books(files: DataFrame, books: DataFrame) -> DataFrame:
+    """(book, tier, pos_out, path, part_label): the chapters of many books (book, path, text), each by its first tier that has some.
+
+    books is (book, config). A listing in the configuration comes first, then a toc (the file that the configuration names, or any
+    in the root), then naming by parts and chapters, then natural order; exclusions hold for the last two. Tiers are ranked
+    relations over all books, and a book takes the lowest that isn't empty.
+    """
+    orders = book_orders(books)
+    known = files.select("book", "path", "text").join(orders, "book", "left")
+    key = natural_key(F.col("path"))
+    none = F.lit(None).cast("string").alias("part_label")
+    listed = known.filter(F.col("manifest").isNull() & (F.size("files") > 0)).select("book", "path", F.posexplode("files").alias("ix", "pattern")).filter(glob_matches("path", "pattern"))
+    explicit = listed.select("book", F.lit(0).alias("tier"), F.struct(F.col("ix").cast("long").alias("a"), key.alias("k")).alias("at"), "path", none)
+    root = known.filter(~F.contains("path", F.lit("/")) & (F.col("manifest").isNull() | (F.col("path") == F.col("manifest"))))
+    rows = toc_entries(root.select("book", "path", "text"))
+    romans = F.create_map(*[F.lit(x) for k, v in ROMAN.items() for x in (str(v), k)])
+    rows = rows.withColumn("alt", F.coalesce(romans[F.col("part_no")], F.col("part_no")))
+    placed = files.select("book", "path", F.regexp_extract("path", "^([^/]*)/[^/]*$", 1).alias("folder"), F.concat(F.regexp_extract("path", "([^/]*)\\.md$", 1), F.lit("_")).alias("stem"))
+    # numerals are compared whole, zeros before them aside: an entry meets the files of its own number alone
+    bare = lambda c: F.regexp_replace(c, "^0+(?=.)", "")
+    numeral = "_?0*([0-9]+|[^0-9_]+)"
+    placed = placed.withColumns({"folder_no": F.regexp_extract(F.concat("folder", F.lit("_")), f"^Part{numeral}(?=\\D)", 1), "file_no": F.regexp_extract("stem", f"^Chapter{numeral}(?=\\D)", 1)})
+    rows = rows.withColumns({"file_no": bare("chapter_no"), "numerals": F.array_distinct(F.array(bare("part_no"), "alt"))})
+    meant = rows.select("*", F.explode("numerals").alias("folder_no"))
+    parts = meant.join(placed.filter("folder_no <> ''").select("book", "folder_no").distinct(), ["book", "folder_no"], "left_semi").select("book", "pos").distinct()
+    in_parts = meant.join(placed.filter("folder_no <> '' and file_no <> ''"), ["book", "folder_no", "file_no"])
+    loose = rows.join(parts, ["book", "pos"], "left_anti").join(placed.filter("folder = '' and file_no <> ''"), ["book", "file_no"])
+    columns = ["book", "pos", "part_no", "part_title", "path"]
+    hit = in_parts.select(*columns).unionByName(loose.select(*columns)).groupBy("book", "pos", "part_no", "part_title").agg(F.min("path").alias("path"))
+    toc = hit.select("book", F.lit(1).alias("tier"), F.struct(F.col("pos").cast("long").alias("a"), key.alias("k")).alias("at"), "path", F.concat(F.lit("Part "), "part_no", F.lit(". "), "part_title").alias("part_label"))
+    kept = known.filter(~any_glob(C.file_name(F.col("path")), F.coalesce("exclude", F.array(*map(F.lit, DEFAULT_EXCLUDE))))).select("book", "path")
+    named = C.by_convention(kept)
+    convention = named.select("book", F.lit(2).alias("tier"), F.struct((F.col("section") * 1000 + F.col("_rank")).cast("long").alias("a"), F.col("_key").alias("k")).alias("at"), "path", F.col("label").alias("part_label"))
+    has_parts = kept.filter(F.col("path").rlike("^Part_[IVX]+_")).select("book").distinct()
+    natural = kept.select("book", F.lit(3).alias("tier"), F.struct(F.lit(0).cast("long").alias("a"), key.alias("k")).alias("at"), "path", none)
+    tiers = explicit.unionByName(toc).unionByName(convention.join(has_parts, "book", "left_semi")).unionByName(natural)
+    tiers = written(tiers)
+    lowest = tiers.groupBy("book").agg(F.min("tier").alias("tier"))
+    chosen = tiers.join(lowest, ["book", "tier"])
+    pos = F.row_number().over(Window.partitionBy("book").orderBy("at", "path"))
+    return chosen.select("book", F.element_at(F.array(*map(F.lit, TIERS)), F.col("tier") + 1).alias("tier"), pos.alias("pos_out"), "path", "part_label")

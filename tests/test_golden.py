@@ -348,3 +348,21 @@ def test_toc_links_follow_renamed_sections(spark):
     links = spark.createDataFrame([(1, i, "#a") for i in range(5)] + [(1, 7, "#b")], "book int, ix int, href string")
     got = S.followed_links(links, S.unique_ids(ids, "book", "pos"), "book")
     assert [r.href for r in got.orderBy("ix").collect()] == ["#a", "#a_2", "#a", "#a_3", "#a", "#b"]
+
+
+def test_each_book_takes_its_first_tier(spark):
+    parts = ["Part_I_a/Chapter_01_x.md", "Part_II_b/Chapter_001_y.md", "Chapter_9_z.md", "README.md", "10.md", "9.md"]
+    files = [(b, p, "# x") for b in ("listed", "toc", "named", "none", "gone") for p in parts if b != "gone"]
+    files = [(b, p.replace("Part_", "Sec_") if b == "none" else p, t) for b, p, t in files]
+    files += [("toc", "b_toc.md", "```toc\n1|One|1|s\n2|Two|1|s\n3|Three|9|s\n1|One|7|s\n```"), ("toc", "c_toc.md", "```toc\n1|X|1|s\n```"), ("toc", "deep/a.md", "```toc\n1|X|1|s\n```")]
+    books = [("listed", "order: {files: ['Part_*/*.md', 9.md, 9.md]}"), ("toc", None), ("named", "exclude: [README.md, '1*.md']"), ("none", "a: ["), ("gone", None)]
+    got = source.resolve_books(spark.createDataFrame(files, "book string, path string, text string"), spark.createDataFrame(books, "book string, config string"))
+    want = {}
+    for r in got.orderBy("book", "pos_out").collect():
+        want.setdefault((r.book, r.tier), []).append((r.path, r.part_label))
+    assert want == {
+        ("listed", "explicit"): [(parts[0], None), (parts[1], None), ("9.md", None), ("9.md", None)],
+        ("toc", "toc"): [(parts[0], "Part 1. One"), (parts[1], "Part 2. Two"), ("Chapter_9_z.md", "Part 3. Three")],
+        ("named", "convention"): [("9.md", None), ("Chapter_9_z.md", None), (parts[0], "I부. a"), (parts[1], "II부. b")],
+        ("none", "natural"): [("9.md", None), ("10.md", None), ("Chapter_9_z.md", None), ("Sec_I_a/Chapter_01_x.md", None), ("Sec_II_b/Chapter_001_y.md", None)],
+    }
