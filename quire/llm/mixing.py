@@ -130,7 +130,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MO
 def first_words(text: Column, n: Column) -> Column:
     """The first n words of a text, from the first one on, with the white space between them."""
     pattern = F.concat(F.lit(r"\A[\x20\x09-\x0D]*+((?:[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++){"), n.cast("string"), F.lit("}+)"))
-    return F.regexp_extract(text, pattern, 1)
+    return F.call_function("regexp_extract", text, pattern, F.lit(1))
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
