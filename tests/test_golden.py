@@ -276,20 +276,6 @@ def test_labels():
         assert all(M.columns(p) <= 18 for p in parts) and "".join(parts).replace(" ", "") == label.replace(" ", "")
 
 
-def test_stream_of_outcomes(spark, tmp_path):
-    from quire.streaming import resume
-
-    rows = [("p", 1, 1, True), ("p", 2, 1, False), ("q", 1, 1, True)]
-    spark.createDataFrame(rows, resume.OUTCOME).write.parquet(f"{tmp_path}/in/a")
-    for more in ([], [("p", 1, 2, False)]):
-        if more:
-            spark.createDataFrame(more, resume.OUTCOME).coalesce(1).write.parquet(f"{tmp_path}/in/b")
-        stream = spark.readStream.schema(resume.OUTCOME).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
-        resume.follow(stream, str(tmp_path / "state")).awaitTermination()
-    state = spark.read.parquet(f"{tmp_path}/state/state/1")
-    assert [(r.path, r.incomplete_chunks) for r in resume.incomplete(state).collect()] == [("q", [1])]
-
-
 def test_long_digit_runs_sort_by_value(spark):
     from quire.functions.text import natural_key
 
