@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -43,3 +47,20 @@ def written(df: DataFrame) -> DataFrame:
     folder = scratch(df.sparkSession)
     df.write.parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends the package to the executors, once an application: functions over Arrow batches import it there."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    top = Path(__file__).resolve().parent
+    out = os.path.join(tempfile.mkdtemp(prefix="quire-"), "quire_package.zip")
+    with zipfile.ZipFile(out, "w") as z:
+        for p in sorted(top.rglob("*.py")):
+            z.write(p, str(p.relative_to(top.parent)))
+    spark.sparkContext.addPyFile(out)
+    _shipped.add(app)
