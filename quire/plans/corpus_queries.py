@@ -74,7 +74,7 @@ def j4(spark, d):
 
 def j5(spark, d):
     a = v_lines(spark, d).select("page", F.col("ln").alias("ix"), "line")
-    b = v_images(spark, d).filter("pos % 2 = 0").select("page", (F.col("pos") / 2).cast("int").alias("ix"), "hash")
+    b = v_images(spark, d).select("page", F.col("pos").alias("ix"), "hash")
     return a.join(b, ["page", "ix"])
 
 
@@ -402,7 +402,7 @@ ALL = {
     "sk9_image_files": (sk9, with_views("SELECT doc, page, pos, printf('page%04d_img%d.png', page, row_number() OVER w) AS file, '![](images/' || printf('page%04d_img%d.png', page, row_number() OVER w) || ')' AS text FROM v_images WINDOW w AS (PARTITION BY doc, page ORDER BY pos)", "v_images")),
     "f8_tiny_images": (f8, with_views("SELECT doc, page, pos, width, height FROM v_images WHERE NOT (width < 20 OR height < 20)", "v_images")),
     "j4_image_positions": (j4, with_views("SELECT i.page, i.pos, i.name, last.hash FROM (SELECT page, pos, regexp_replace(src, '\\.[^.]*$', '') AS name FROM v_images) i JOIN (SELECT page, regexp_replace(src, '\\.[^.]*$', '') AS name, hash FROM v_images QUALIFY row_number() OVER (PARTITION BY page, src ORDER BY pos DESC) = 1) last USING (page, name)", "v_images")),
-    "j5_zip_join": (j5, with_views("SELECT l.page, l.ln::INT AS ix, l.line, i.hash FROM v_lines l JOIN v_images i ON i.page = l.page AND i.pos = 2 * l.ln", "v_images")),
+    "j5_zip_join": (j5, with_views("SELECT l.page, l.ln::INT AS ix, l.line, i.hash FROM v_lines l JOIN v_images i ON i.page = l.page AND i.pos = l.ln", "v_images")),
     "s1_natural_sort": (s1, with_views(f"SELECT pos, path, row_number() OVER (PARTITION BY CASE WHEN contains(path, '/') THEN string_split(path, '/')[1] ELSE '' END ORDER BY {NAT.format('path')}, pos)::INT AS rank FROM v_chapters", "v_chapters")),
     "s2_roman_rank": (s2, with_views("SELECT pos, CASE regexp_extract(path, '^Part_([A-Z]+)_', 1) WHEN 'I' THEN 1 WHEN 'II' THEN 2 WHEN 'IV' THEN 4 WHEN 'X' THEN 10 ELSE 99 END AS rank FROM v_chapters", "v_chapters")),
     "s3_front_back": (s3, with_views("SELECT pos, CASE WHEN regexp_matches(path, '(^|/)[0-9]+[^/]*$') AND regexp_extract(path, '(^|/)([0-9]+)[^/]*$', 2)::INT >= 50 THEN 'back' ELSE 'front' END AS side FROM v_chapters", "v_chapters")),

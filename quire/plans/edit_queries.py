@@ -150,9 +150,9 @@ def sk12(spark, d):
 
 
 def j10(spark, d):
-    """Images of the editor that are left after deletions, to the live images, by the k-th of a source."""
-    editor = v_images(spark, d).filter("page % 5 <> 0").select("doc", "src", F.struct("page", "pos").alias("e"))
-    live = v_images(spark, d).filter("page % 5 <> 0").select("doc", "src", F.struct(-F.col("page"), -F.col("pos")).alias("l"))
+    """Images of the editor to the live images, by the k-th of a source."""
+    editor = v_images(spark, d).select("doc", "src", F.struct("page", "pos").alias("e"))
+    live = v_images(spark, d).select("doc", "src", F.struct(-F.col("page"), -F.col("pos")).alias("l"))
     key = lambda df: df.withColumn("k", F.concat_ws("|", "doc", "src"))
     m = C.rank_matched(key(editor).drop("doc", "src"), key(live).drop("doc", "src"), "k", "e", "l")
     return m.select("k", F.col("e.page").alias("e_page"), F.col("e.pos").alias("e_pos"), (-F.col("l.col1")).alias("l_page"), (-F.col("l.col2")).alias("l_pos"))
@@ -257,7 +257,7 @@ ALL = {
     "x21_title_edit": (x21, with_views("SELECT id, CASE WHEN pos % 2 = 0 THEN pos || '. ' ELSE '' END || new_title AS title FROM v_sections", "v_sections")),
     "j12_staged_edits": (j12, with_views("SELECT id, CASE WHEN op = 'edit' THEN pos || '. ' || new_title ELSE title END AS title, md5(CASE WHEN op = 'edit' THEN '+' || text ELSE text END) AS digest FROM v_sections WHERE op IS DISTINCT FROM 'deleted'", "v_sections")),
     "sk12_dead_links": (sk12, with_views("SELECT id, '#s' || ((pos * 7 + 3) % 1000) AS target, CASE WHEN (pos * 7 + 3) % 1000 IN (SELECT pos FROM v_sections WHERE op = 'deleted') THEN 'see' ELSE '<a href=\"#s' || ((pos * 7 + 3) % 1000) || '\">see</a>' END AS html FROM v_sections", "v_sections")),
-    "j10_rank_matched": (j10, with_views("""WITH i AS (SELECT doc || '|' || src AS k, page, pos FROM v_images WHERE page % 5 <> 0), e AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY page, pos) AS r FROM i), l AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY page DESC, pos DESC) AS r FROM i)
+    "j10_rank_matched": (j10, with_views("""WITH i AS (SELECT doc || '|' || src AS k, page, pos FROM v_images), e AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY page, pos) AS r FROM i), l AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY page DESC, pos DESC) AS r FROM i)
  SELECT k, e.page AS e_page, e.pos::INT AS e_pos, l.page AS l_page, l.pos::INT AS l_pos FROM e JOIN l USING (k, r)""", "v_images")),
     "j11_contained_first": (j11, with_views("SELECT n.pos AS needle_id, min(c.pos) AS text_id FROM v_chapters n JOIN v_chapters c ON contains(c.text, substr(n.text, 11, 40)) WHERE n.n_chars >= 60 GROUP BY n.pos", "v_chapters")),
     "w20_reinsertion": (w20, with_views("""WITH n AS (SELECT page AS id, ln AS ix, CASE WHEN ln % 3 = 1 THEN 'figure' WHEN ln % 5 = 4 THEN 'tip-box' ELSE 'content' END AS kind, md5(line) AS html FROM v_lines),
