@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import half_even, natural_key, ordered_concat, roman_rank, strip
-from ..session import written
+from ..session import scratch, written
 
 
 def repeated(items: DataFrame, doc: str, page: str, key: Column, fraction: float) -> DataFrame:
@@ -195,19 +195,44 @@ def rank_matched(left: DataFrame, right: DataFrame, key: str, left_by: str, righ
     return number(left, left_by).join(number(right, right_by), [key, "_k"]).drop("_k")
 
 
+#: Lengths of the keys by which needles are looked up, from a beginning of a word on, the more selective one first.
+ANCHORS = (24, 12)
+#: A text of 29 characters without a beginning of a word behind its first character has such a run of one kind.
+_RUN = "\\S{15}|\\s{15}"
+
+
 def first_contained(needles: DataFrame, texts: DataFrame, head: int = 40) -> DataFrame:
     """(needle_id, text_id): the first text that holds the first `head` characters of the needle.
 
-    Candidates are found by an equality on short substrings at every place of a text, not by comparing all pairs; needles that
-    are shorter than the key are few and compared by themselves.
+    Candidates are found by an equality on short substrings, not by comparing all pairs. A key begins where a word does, so a text
+    has one a word and not one a character; of these only hashes are moved, and only those that a filter of fixed size lets pass.
+    Needles without such a place are looked up at every character, in the texts that have a run as long as theirs. Needles that
+    are shorter than a key are few and compared by themselves.
     """
-    k = 12
+    k = ANCHORS[-1]
     probe = needles.withColumn("_head", F.substring("code", 1, head)).filter(F.length("_head") > 0)
-    # one pass over a text: a lookahead finds the short strings that begin at every place
+    open_, hits = probe.filter(F.length("_head") >= k), []
+    for n in ANCHORS:
+        # pieces of a text from one beginning of a word to the next have two characters at least
+        pieces = F.split("body", "(?<=\\s)(?=\\S)")
+        grams = F.transform("pieces", lambda _, i: F.xxhash64(F.substring(F.array_join(F.slice("pieces", i + 1, n // 2), ""), 1, n)))  # noqa: B023
+        anchor = F.regexp_extract("_head", f"(?s)\\s(\\S.{{{n - 1}}})", 1)
+        placed = open_.withColumn("_anchor", anchor)
+        found = texts.select("text_id", pieces.alias("pieces")).select("text_id", F.explode(F.array_distinct(grams)).alias("_gram"))
+        hits.append(_held(placed.filter("_anchor <> ''").withColumn("_gram", F.xxhash64("_anchor")), found, texts))
+        open_ = placed.filter("_anchor = ''").drop("_anchor")
     every = F.array_distinct(F.regexp_extract_all("body", F.lit(f"(?s)(?=(.{{{k}}}))"), F.lit(1)))
-    keys = probe.filter(F.length("_head") >= k).select(F.substring("_head", 1, k).alias("_gram")).distinct()
-    grams = texts.select("text_id", F.explode(every).alias("_gram")).join(keys, "_gram", "left_semi").join(texts, "text_id")
-    long = probe.filter(F.length("_head") >= k).withColumn("_gram", F.substring("_head", 1, k)).join(grams, "_gram")
-    short = probe.filter(F.length("_head") < k).join(texts, F.contains("body", "_head"))
-    hits = long.filter(F.contains("body", "_head")).select("needle_id", "text_id").union(short.select("needle_id", "text_id"))
-    return hits.groupBy("needle_id").agg(F.min("text_id").alias("text_id"))
+    found = texts.filter(F.col("body").rlike(_RUN)).select("text_id", F.explode(every).alias("_gram")).withColumn("_gram", F.xxhash64("_gram"))
+    hits.append(_held(open_.withColumn("_gram", F.xxhash64(F.substring("_head", 1, k))), found, texts))
+    hits.append(probe.filter(F.length("_head") < k).join(texts, F.contains("body", "_head")).select("needle_id", "text_id"))
+    return reduce(DataFrame.union, hits).groupBy("needle_id").agg(F.min("text_id").alias("text_id"))
+
+
+def _held(needles: DataFrame, grams: DataFrame, texts: DataFrame) -> DataFrame:
+    """(needle_id, text_id) of needles (needle_id, _head, _gram) in those texts with their key (text_id, _gram) that hold them."""
+    from ..llm.common import split_by_keys
+
+    keys = written(needles.select(F.col("_gram").alias("k")).distinct())
+    near, _ = split_by_keys(grams, F.col("_gram"), keys, scratch(keys.sparkSession), "filter")
+    asked = needles.select("needle_id", "_head", "_gram").join(near, "_gram")
+    return asked.join(texts, "text_id").filter(F.contains("body", "_head")).select("needle_id", "text_id")

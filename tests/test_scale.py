@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import markdown as M
 from quire.functions import text as X
+from quire.operators import corpus as C
 from quire.plans import registry
 
 SF = "/root/testdata/sf0.001"
@@ -36,3 +37,13 @@ def test_word_count_by_splits(spark):
     rows = [("",), (None,), ("  ",), ("a",), (" a　b\x85 c\n",)]
     got = spark.createDataFrame(rows, "s string").select(X.word_count(F.col("s")).alias("n")).collect()
     assert [r.n for r in got] == [0, 0, 0, 1, 3]
+
+
+def test_needles_of_all_kinds_are_found_without_keys_at_every_character(spark, monkeypatch):
+    bodies = [(1, "x" * 50 + " tail"), (2, "one two three four five six seven eight nine ten"), (3, "ab " + "y" * 60), (4, " " * 45 + "z"), (5, "A one two three four five six seven eight nine ten"), (6, "longlonglonglonglonglong word and then some others too")]
+    needles = [(i, code) for i, code in enumerate(b[at : at + 50] for _, b in bodies for at in (0, 3, 7, 45)) if code]
+    kept, held = [], C._held
+    monkeypatch.setattr(C, "_held", lambda n, g, t: (kept.append(g.count()), held(n, g, t))[1])
+    got = C.first_contained(spark.createDataFrame(needles, "needle_id long, code string"), spark.createDataFrame(bodies, "text_id long, body string")).collect()
+    assert {r.needle_id: r.text_id for r in got} == {i: min(t for t, b in bodies if code[:40] in b) for i, code in needles}
+    assert kept[0] <= sum(len(b.split()) + 1 for _, b in bodies)
