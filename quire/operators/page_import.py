@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import ordered_concat
-from ..session import written
+from ..session import written, written_dealt
 from . import layout as L
 from .corpus import strip_repeated_lines
 from .paragraphs import CODE, CODE_END, HEADING, repair
@@ -65,16 +65,17 @@ def region_texts(words: DataFrame) -> DataFrame:
     return tables.unionByName(texts.select(*keys, "col", "text"))
 
 
-def page_texts(pages: DataFrame, words: DataFrame, images: DataFrame | None = None, headings: bool = True) -> DataFrame:
+def page_texts(pages: DataFrame, words: DataFrame, images: DataFrame | None = None, headings: bool = True, parts: int | None = None) -> DataFrame:
     """(doc_id, page, text) of every page (doc_id, page, height), empty where nothing stands.
 
     words have the columns WORD. Words with control characters and lone numbers in the margins go; images come as references.
-    Headings and code stand behind and between marks, which document_texts turns into Markdown.
+    Headings and code stand behind and between marks, which document_texts turns into Markdown. Words between two steps are written
+    dealt by page, in so many parts; words that come dealt so are dealt no more (under session.co_located).
     """
     sized = in_rows(L.garbled_free(words)).join(pages.select("doc_id", "page", "height"), L.KEYS, "left")
     kept = L.page_number_words(sized, F.col("height")).select(*WORD)
-    rows = written(in_rows(kept if images is None else kept.unionByName(image_words(images))))
-    placed = written(in_regions(with_headings(rows) if headings else rows))
+    rows = written_dealt(in_rows(kept if images is None else kept.unionByName(image_words(images))), L.KEYS, parts)
+    placed = written_dealt(in_regions(with_headings(rows) if headings else rows), L.KEYS, parts)
     joined = region_texts(placed).filter("text <> ''").groupBy(*L.KEYS).agg(ordered_concat(F.col("text"), [F.col("region"), F.col("col")], "\n\n").alias("text"))
     return pages.select(*L.KEYS).join(joined, L.KEYS, "left").withColumn("text", F.coalesce("text", F.lit("")))
 
@@ -88,12 +89,12 @@ def document_texts(texts: DataFrame) -> DataFrame:
     return repair(again).select(F.col("doc").alias("doc_id"), F.col("text").alias("body"))
 
 
-def imported(pages: DataFrame, words: DataFrame, images: DataFrame | None = None, name: Column | None = None, headings: bool = True) -> DataFrame:
+def imported(pages: DataFrame, words: DataFrame, images: DataFrame | None = None, name: Column | None = None, headings: bool = True, parts: int | None = None) -> DataFrame:
     """(doc_id, path, kind, content): each document as a Markdown file, and the configuration of its book.
 
     name is a column over doc_id (its text by default). A body with headings is to be split at them.
     """
-    made = document_texts(written(page_texts(pages, words, images, headings)))
+    made = document_texts(written(page_texts(pages, words, images, headings, parts)))
     named = made.withColumn("name", F.col("doc_id").cast("string") if name is None else name)
     split = F.col("body").rlike(r"(?md)^##\s+\S")
     config = F.concat(F.lit("language: en\n"), F.when(split, F.concat(F.lit("split:\n  files:\n  - "), "name", F.lit(".md\n  heading_level: 2\n"))).otherwise(F.lit("")))

@@ -5,39 +5,58 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import page_import as P
+from ..operators.layout import KEYS
 from ..operators.paragraphs import CODE, CODE_END, HEADING
-from ..session import table, written
+from ..session import co_located, table, written, written_dealt
 from .layout_queries import ALIGNED, BANDS, BODY, COLS, GROUPS, HEADS, STATS, clusters
-from .views import v_words, with_views
+from .views import parts_of, v_words, with_views
 
 HEIGHT = 1000.0
 
 
 def _words(spark, d):
-    """(pages, words): all pages of all documents; one without words has a page of its own."""
-    words = written(v_words(spark, d).select(*P.WORD))
-    empty = table(spark, d, "documents").select("doc_id", F.lit(0).alias("page"))
+    """(pages, words, parts): all pages of all documents, one without words having a page of its own; words dealt by page in parts."""
+    documents = table(spark, d, "documents")
+    parts = parts_of(documents)
+    words = written_dealt(v_words(spark, d).select(*P.WORD), KEYS, parts)
+    empty = documents.select("doc_id", F.lit(0).alias("page"))
     pages = words.select("doc_id", "page").unionByName(empty).distinct().withColumn("height", F.lit(HEIGHT))
-    return pages, words
+    return pages, words, parts
 
 
+def _settled(made):
+    """The query with words that stay where their page is: its few bytes a row are written while joins are planned so."""
+
+    def run(spark, d):
+        with co_located(spark):
+            return written(made(spark, d))
+
+    return run
+
+
+@_settled
 def sc11(spark, d):
-    return P.page_texts(*_words(spark, d)).select("doc_id", "page", F.md5("text").alias("digest"))
+    pages, words, parts = _words(spark, d)
+    return P.page_texts(pages, words, parts=parts).select("doc_id", "page", F.md5("text").alias("digest"))
 
 
+@_settled
 def u4(spark, d):
     """What stands before, in and after the table of a page."""
-    _, words = _words(spark, d)
-    texts = P.region_texts(written(P.in_regions(P.in_rows(words))))
+    _, words, parts = _words(spark, d)
+    rows = written_dealt(P.in_rows(words), KEYS, parts)
+    texts = P.region_texts(written_dealt(P.in_regions(rows), KEYS, parts))
     return texts.select("doc_id", "page", "region", "col", F.md5("text").alias("digest"))
 
 
+@_settled
 def sk8(spark, d):
     """Documents imported from their words, with their configuration."""
-    return P.imported(*_words(spark, d)).select("doc_id", "path", "kind", F.md5("content").alias("digest"))
+    pages, words, parts = _words(spark, d)
+    return P.imported(pages, words, parts=parts).select("doc_id", "path", "kind", F.md5("content").alias("digest"))
 
 
-KEYS = "doc_id, page, region"
+REGION = "doc_id, page, region"
 _TABLE = f"""tw AS (SELECT * FROM vr WHERE region = 1), {GROUPS.replace('groups AS', 'tgroups AS').replace('FROM v_words', 'FROM tw')}, {clusters('tcols', 'tgroups', '10')},
  tplaced AS (SELECT doc_id, page, row, t, x0, replace(text, '|', '\\|') AS text, arg_min(cluster, (abs(x0 - center), cluster)) AS col FROM tw JOIN tcols USING (doc_id, page) GROUP BY ALL),
  cells AS (SELECT doc_id, page, row, col, string_agg(text, ' ' ORDER BY x0, t) AS cell FROM tplaced GROUP BY ALL),
@@ -45,13 +64,13 @@ _TABLE = f"""tw AS (SELECT * FROM vr WHERE region = 1), {GROUPS.replace('groups
  grid AS (SELECT r.doc_id, r.page, r.row, w.col, rpad(coalesce(cell, ''), w.w::INT, ' ') AS cell, repeat('-', w.w) AS dash FROM (SELECT DISTINCT doc_id, page, row FROM tw) r JOIN widths w USING (doc_id, page) LEFT JOIN cells x ON x.doc_id = r.doc_id AND x.page = r.page AND x.row = r.row AND x.col = w.col),
  tlines AS (SELECT doc_id, page, row, '| ' || string_agg(cell, ' | ' ORDER BY col) || ' |' AS line, '| ' || string_agg(dash, ' | ' ORDER BY col) || ' |' AS dash FROM grid GROUP BY ALL),
  tmd AS (SELECT doc_id, page, 1 AS region, 0 AS col, string_agg(line, chr(10) ORDER BY row, k) AS text FROM (SELECT doc_id, page, row, 0 AS k, line FROM tlines UNION ALL SELECT doc_id, page, min(row), 1, any_value(dash) FROM tlines GROUP BY doc_id, page) GROUP BY ALL)"""
-_PROSE = f"""vx AS (SELECT * FROM vr WHERE region <> 1), {BANDS.replace('doc_id, page', KEYS).replace('FROM v_words', 'FROM vx')},
+_PROSE = f"""vx AS (SELECT * FROM vr WHERE region <> 1), {BANDS.replace('doc_id, page', REGION).replace('FROM v_words', 'FROM vx')},
  cp AS (SELECT vx.doc_id, vx.page, vx.region, t, row, x0, text, fontname, coalesce(min(CASE WHEN lo <= (x0 + x1) / 2 AND (x0 + x1) / 2 <= hi THEN ix END), arg_min(ix, (least(abs((x0 + x1) / 2 - lo), abs((x0 + x1) / 2 - hi)), ix))) AS col
-  FROM vx JOIN bands USING ({KEYS}) GROUP BY ALL),
- cl AS (SELECT {KEYS}, col, row, string_agg(text, ' ' ORDER BY x0, t) AS line, bool_and(coalesce(regexp_matches(fontname, '(?i)courier|consolas|mono'), false)) AS is_code FROM cp GROUP BY {KEYS}, col, row),
- ci AS (SELECT *, row_number() OVER (PARTITION BY {KEYS}, col ORDER BY row) - row_number() OVER (PARTITION BY {KEYS}, col, is_code ORDER BY row) AS k FROM cl),
- cr AS (SELECT *, count(*) OVER p AS n, row = min(row) OVER p AS f, row = max(row) OVER p AS l FROM ci WINDOW p AS (PARTITION BY {KEYS}, col, is_code, k)),
- cmd AS (SELECT {KEYS}, col, string_agg(CASE WHEN is_code AND n >= 2 AND f THEN '{CODE}' || chr(10) ELSE '' END || line || CASE WHEN is_code AND n >= 2 AND l THEN chr(10) || '{CODE_END}' ELSE '' END, chr(10) ORDER BY row) AS text FROM cr GROUP BY {KEYS}, col)"""
+  FROM vx JOIN bands USING ({REGION}) GROUP BY ALL),
+ cl AS (SELECT {REGION}, col, row, string_agg(text, ' ' ORDER BY x0, t) AS line, bool_and(coalesce(regexp_matches(fontname, '(?i)courier|consolas|mono'), false)) AS is_code FROM cp GROUP BY {REGION}, col, row),
+ ci AS (SELECT *, row_number() OVER (PARTITION BY {REGION}, col ORDER BY row) - row_number() OVER (PARTITION BY {REGION}, col, is_code ORDER BY row) AS k FROM cl),
+ cr AS (SELECT *, count(*) OVER p AS n, row = min(row) OVER p AS f, row = max(row) OVER p AS l FROM ci WINDOW p AS (PARTITION BY {REGION}, col, is_code, k)),
+ cmd AS (SELECT {REGION}, col, string_agg(CASE WHEN is_code AND n >= 2 AND f THEN '{CODE}' || chr(10) ELSE '' END || line || CASE WHEN is_code AND n >= 2 AND l THEN chr(10) || '{CODE_END}' ELSE '' END, chr(10) ORDER BY row) AS text FROM cr GROUP BY {REGION}, col)"""
 _RUNS = """ix AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page ORDER BY row) - 1 AS ix FROM aligned),
  runs AS (SELECT doc_id, page, min(ix) AS s, max(ix) + 1 AS e FROM (SELECT *, ix - row_number() OVER (PARTITION BY doc_id, page ORDER BY ix) AS k FROM ix WHERE aligned >= 3 AND n_cols >= 3) GROUP BY doc_id, page, k),
  tb AS (SELECT doc_id, page, s, e FROM runs WHERE e - s >= 3 QUALIFY row_number() OVER (PARTITION BY doc_id, page ORDER BY e - s DESC, s) = 1)"""

@@ -47,3 +47,16 @@ def test_needles_of_all_kinds_are_found_without_keys_at_every_character(spark, m
     got = C.first_contained(spark.createDataFrame(needles, "needle_id long, code string"), spark.createDataFrame(bodies, "text_id long, body string")).collect()
     assert {r.needle_id: r.text_id for r in got} == {i: min(t for t, b in bodies if code[:40] in b) for i, code in needles}
     assert kept[0] <= sum(len(b.split()) + 1 for _, b in bodies)
+
+
+def test_words_of_the_import_stay_where_their_page_is(spark):
+    from quire.operators import page_import as P
+    from quire.plans.views import v_words
+    from quire.session import co_located, written_dealt
+
+    with co_located(spark):
+        words = written_dealt(v_words(spark, SF).select(*P.WORD), ["doc_id", "page"], 4)
+        assert _exchanges(P.in_rows(words)) == 0
+        assert _exchanges(P.in_regions(words.withColumn("row", F.floor("top").cast("int")))) == 0
+    assert words.count() == v_words(spark, SF).count()
+    assert spark.conf.get("spark.sql.requireAllClusterKeysForCoPartition") == "true"
