@@ -8,11 +8,16 @@ band of minima under random orders are candidates too. A pair of similarity 0.8
 A bucket isn't paired up at once: its sets are compared with some pivots of its smallest parts, and linked parts merge. Sets of buckets
 that are still apart meet once more by their rare shingles: of two similar sets n - ceil(t n) + 1 shingles each, in any one order, have
 one in common. With the order of their counts among these sets, a passage that many share comes last and brings none together, so
-no pair of a bucket is skipped and none grows to all its pairs.
+no pair of a bucket is skipped and none grows to all its pairs. Where many sets share a rare shingle and aren't similar, most pairs are
+ruled out where they meet: each set has the parities of its shingles' counts in SKETCH_BITS places, and two sets differ in at least as
+many shingles as their parities do. That bound loses no pair; it tells little of sets with far more shingles than places.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -31,6 +36,9 @@ BANDS = 40
 ROWS = 6
 #: Sets of a bucket that all others of it are compared with at once.
 PIVOTS = 4
+#: Places of a sketch, a power of two.
+SKETCH_BITS = 512
+_SKETCH = [f"b{i}" for i in range(SKETCH_BITS // 64)]
 
 _TURNS = np.random.default_rng(SEED).integers(1 << 63, size=BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -114,6 +122,29 @@ def _checked(pairs: DataFrame, whole: DataFrame, similar: tuple[int, int]) -> Da
     return joined.mapInArrow(arrow_rows(rows, pa.schema([("u", pa.int64()), ("v", pa.int64())])), "u long, v long")
 
 
+def sketch(held: bytes) -> np.ndarray:
+    """Parities of the numbers of shingles at each place, as words of 64 bits."""
+    places = (np.frombuffer(held, "<u8") >> np.uint64(64 - SKETCH_BITS.bit_length() + 1)).astype(np.int64)
+    return np.packbits(np.bincount(places, minlength=SKETCH_BITS) & 1, bitorder="little").view("<i8")
+
+
+def _sketches(whole: DataFrame) -> DataFrame:
+    """(node, one column for each word of its sketch)."""
+    schema = pa.schema([("node", pa.int64()), *((c, pa.int64()) for c in _SKETCH)])
+
+    def rows(b: dict) -> dict:
+        words = np.array([sketch(x) for x in b["held"].to_pylist()], np.int64)
+        return {"node": b["node"], **{c: words[:, i] for i, c in enumerate(_SKETCH)}}
+
+    return whole.mapInArrow(arrow_rows(rows, schema), ", ".join(f"{c} long" for c in ("node", *_SKETCH)))
+
+
+def _may_be_similar(similar: tuple[int, int]) -> Column:
+    """Whether sketches (the second one's words end in v) leave it open that sets of n and m shingles are similar."""
+    differ = reduce(add, [F.bit_count(F.col(c).bitwiseXOR(F.col(f"{c}v"))) for c in _SKETCH])
+    return differ * sum(similar) <= (F.col("n") + F.col("m")) * (similar[1] - similar[0])
+
+
 def _by_rare_shingles(open_: DataFrame, whole: DataFrame, similar: tuple[int, int], folder: str) -> DataFrame:
     """Pairs (u, v) of the sets (node, n, root) that have different roots and share a shingle among the rarest of both."""
 
@@ -127,10 +158,10 @@ def _by_rare_shingles(open_: DataFrame, whole: DataFrame, similar: tuple[int, in
     rare = written(rare.select("h", "node", "n", "root"), folder, "rare")
     parts = rare.groupBy("h", "root").agg(F.count(F.lit(1)).alias("part"))
     groups = parts.groupBy("h").agg(F.count(F.lit(1)).alias("parts"), F.max(F.struct("part", "root")).alias("p")).filter("parts > 1").select("h", F.col("p.root").alias("main"))
-    placed = written(rare.join(groups, "h"), folder, "rare-apart")
+    placed = written(rare.join(groups, "h").join(written(_sketches(whole), folder, "sketches"), "node"), folder, "rare-apart")
     # each set outside the largest part of a group meets all of the group
-    some = placed.filter("root <> main").select("h", F.col("node").alias("v"), F.col("n").alias("m"), F.col("root").alias("rv"))
-    met = placed.join(some, "h").filter("root <> rv").filter(_near(similar))
+    some = placed.filter("root <> main").select("h", F.col("node").alias("v"), F.col("n").alias("m"), F.col("root").alias("rv"), *[F.col(c).alias(f"{c}v") for c in _SKETCH])
+    met = placed.join(some, "h").filter("root <> rv").filter(_near(similar)).filter(_may_be_similar(similar))
     return met.select(F.least("node", "v").alias("u"), F.greatest("node", "v").alias("v")).distinct()
 
 

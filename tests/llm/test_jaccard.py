@@ -53,3 +53,18 @@ def test_odd_rows(spark):
     docs = documents(spark, [(d, t, "en", "s") for d, t in rows])
     assert sorted(r.doc_id for r in jaccard.representatives(docs).collect()) == [1, 3, 4]
     assert jaccard.representatives(documents(spark, [])).count() == 0
+
+
+def test_rare_shingles_bring_few_unlike_sets_together(spark, tmp_path):
+    import numpy as np
+
+    rnd = np.random.default_rng(1)
+    words = rnd.integers(1 << 63, size=400, dtype=np.uint64) * np.uint64(2)
+    sets = [np.sort(rnd.choice(words, 100, replace=False)) for _ in range(60)]
+    sets.append(np.sort(np.concatenate([sets[0][:90], np.setdiff1d(words, sets[0])[:10]])))
+    rows = [(i, x.tobytes(), len(x)) for i, x in enumerate(sets)]
+    whole = spark.createDataFrame([(i, h) for i, h, _ in rows], "node long, held binary")
+    open_ = spark.createDataFrame([(i, n, i) for i, _, n in rows], "node long, n long, root long")
+    got = {(r.u, r.v) for r in jaccard._by_rare_shingles(open_, whole, (4, 5), str(tmp_path)).collect()}
+    near = {(i, j) for j in range(61) for i in range(j) if 9 * len(np.intersect1d(sets[i], sets[j])) >= 4 * (len(sets[i]) + len(sets[j]))}
+    assert near == {(0, 60)} and near <= got and len(got) < 20
