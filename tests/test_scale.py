@@ -60,3 +60,25 @@ def test_words_of_the_import_stay_where_their_page_is(spark):
         assert _exchanges(P.in_regions(words.withColumn("row", F.floor("top").cast("int")))) == 0
     assert words.count() == v_words(spark, SF).count()
     assert spark.conf.get("spark.sql.requireAllClusterKeysForCoPartition") == "true"
+
+
+def test_cuts_look_at_gaps_from_the_target_down_alone():
+    import random
+
+    from quire.operators import splitting as S
+
+    rnd = random.Random(5)
+    for _ in range(3000):
+        bands = [(a, a + rnd.choice([0, 1, 7.5, 40])) for a in (rnd.choice([rnd.randint(0, 300), rnd.random() * 300]) for _ in range(rnd.randint(0, 12)))]
+        end, room = rnd.choice([rnd.randint(1, 320), rnd.random() * 300]), rnd.choice([5, 60, 200])
+        gaps = S.free_gaps(bands)
+        upto = sum(a <= end for a in gaps[:, 0])
+        assert S.last_free(end, gaps.tolist(), upto, end - 0.6 * room) == S.nearest_free(end, gaps, end - 0.6 * room, end)
+    seen = []
+
+    class Gaps(list):
+        def __getitem__(self, i):
+            seen.append(i)
+            return super().__getitem__(i)
+
+    assert S.last_free(5.0, Gaps([[float(i), i + 0.5] for i in range(1000)]), 6, 2.0) == 5.0 and seen == [5]
