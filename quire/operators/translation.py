@@ -84,7 +84,7 @@ def prompt(chunk: Column, lang: Column) -> Column:
 
 #: Chunks of a run: what was asked, what came back, how often in all (attempts) and in this run (calls of the function).
 STATE = "path string, chunk_ix long, n_chunks long, chunk_chars long, lang string, digest string, original string, result string, attempts int, failed boolean, error string, calls int, reused boolean"
-_FRESH = "path string, chunk_ix long, result string, attempts int, failed boolean, error string, calls int"
+_FRESH = "result string, attempts int, failed boolean, error string, calls int"
 #: What an error message is cut to.
 ERROR_CHARS = 400
 
@@ -109,7 +109,16 @@ def map_with_retry(chunks: DataFrame, transform: Callable[[str, int], str], chec
     original if there is none. The function may not be deterministic: write the result before it is used twice. Null chunks and
     chunks of white space alone pass through untouched.
     """
-    check = check or failed_in_python
+    tried = F.col("tried") if "tried" in chunks.columns else F.lit(0).alias("tried")
+    made = _mapped(chunks.select("path", "chunk_ix", "original", "lang", tried), transform, check or failed_in_python, retries)
+    return made.select("path", "chunk_ix", *[c.split()[0] for c in _FRESH.split(", ")])
+
+
+def _mapped(chunks: DataFrame, transform: Callable[[str, int], str], check: Callable[[str, str, str | None], bool], retries: int) -> DataFrame:
+    """chunks (original, lang, tried, any more) with _FRESH, so that what was made needs no join with what was asked.
+
+    With a column `known`, rows that have it true aren't asked for: their `former` result stays, with the attempts so far.
+    """
 
     def one(original: str, lang: str | None, tried: int) -> tuple:
         calls = 0
@@ -133,13 +142,16 @@ def map_with_retry(chunks: DataFrame, transform: Callable[[str, int], str], chec
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             out = []
-            for path, ix, original, lang, tried in zip(f["path"], f["chunk_ix"], f["original"], f["lang"], f["tried"]):
+            settled_ = zip(f["known"], f["former"]) if "known" in f else [(False, None)] * len(f)
+            for original, lang, tried, (known, former) in zip(f["original"], f["lang"], f["tried"], settled_):
                 blank = original is None or not original.strip()
-                out.append((path, ix, *((original, 0, False, None, 0) if blank else one(original, lang, int(tried)))))
-            yield pd.DataFrame(out, columns=["path", "chunk_ix", "result", "attempts", "failed", "error", "calls"])
+                out.append((former, int(tried), False, None, 0) if known else (original, 0, False, None, 0) if blank else one(original, lang, int(tried)))
+            made = pd.DataFrame(out, columns=["result", "attempts", "failed", "error", "calls"], index=f.index)
+            yield pd.concat([f[kept], made], axis=1)
 
-    tried = F.col("tried") if "tried" in chunks.columns else F.lit(0).alias("tried")
-    return chunks.select("path", "chunk_ix", "original", "lang", tried).mapInPandas(run, _FRESH)
+    kept = [c for c in chunks.columns if c not in ("tried", "former")]
+    given = ", ".join(f"`{c}` {kind}" for c, kind in chunks.dtypes if c in kept)
+    return chunks.mapInPandas(run, f"{given}, {_FRESH}")
 
 
 def translated(chapters: DataFrame, transform: Callable[[str, int], str], chunk_chars: int, before: DataFrame | None = None, retries: int = RETRIES, progress: Observation | None = None) -> DataFrame:
@@ -150,21 +162,18 @@ def translated(chapters: DataFrame, transform: Callable[[str, int], str], chunk_
     numbers of chunks that were asked for and that failed.
     """
     now = chunked(chapters, chunk_chars)
+    names = [c.split()[0] for c in STATE.split(", ")]
     if before is None:
-        both = now.withColumns({"known": F.lit(False), "_result": F.lit(None).cast("string"), "_attempts": F.lit(0)})
+        asked = now.withColumns({"tried": F.lit(0), "former": F.lit(None).cast("string"), "known": F.lit(False)})
     else:
-        known = before.select("path", "chunk_ix", "digest", "chunk_chars", F.col("result").alias("_result"), F.col("attempts").alias("_attempts"), (~F.col("failed")).alias("known"))
-        both = now.join(known, ["path", "chunk_ix", "digest", "chunk_chars"], "left").withColumn("known", F.coalesce("known", F.lit(False)))
-    both = written(both)
-    done = both.filter("known").select(*now.columns, F.col("_result").alias("result"), F.col("_attempts").alias("attempts"), F.lit(False).alias("failed"), F.lit(None).cast("string").alias("error"), F.lit(0).alias("calls"), F.lit(True).alias("reused"))
-    open_ = both.filter("not known").withColumn("tried", F.coalesce("_attempts", F.lit(0)))
-    fresh = map_with_retry(open_, transform, retries=retries)
+        # results of failed chunks aren't moved: they are asked for anew
+        known = before.select("path", "chunk_ix", "digest", "chunk_chars", F.when(~F.col("failed"), F.col("result")).alias("former"), F.col("attempts").alias("tried"), (~F.col("failed")).alias("known"))
+        asked = now.join(known, ["path", "chunk_ix", "digest", "chunk_chars"], "left").withColumns({"tried": F.coalesce("tried", F.lit(0)), "known": F.coalesce("known", F.lit(False))})
+    made = _mapped(asked, transform, failed_in_python, retries).withColumnRenamed("known", "reused")
     if progress is not None:
-        fresh = fresh.observe(progress, F.count(F.lit(1)).alias("asked"), F.count_if("failed").alias("failed"), F.coalesce(F.sum("calls"), F.lit(0)).alias("calls"))
-    fresh = written(fresh)
-    made = open_.select(*now.columns).join(fresh, ["path", "chunk_ix"]).withColumn("reused", F.lit(False))
-    names = [c.split()[0] for c in STATE.split(", ")]
-    return written(done.select(*names).unionByName(made.select(*names)))
+        fresh = ~F.col("reused")
+        made = made.observe(progress, F.count_if(fresh).alias("asked"), F.count_if(fresh & F.col("failed")).alias("failed"), F.coalesce(F.sum("calls"), F.lit(0)).alias("calls"))
+    return written(made.select(*names))
 
 
 def settled(chapters: DataFrame, transform: Callable[[str, int], str], chunk_chars: int, runs: int, retries: int = RETRIES) -> list[DataFrame]:

@@ -82,3 +82,15 @@ def test_cuts_look_at_gaps_from_the_target_down_alone():
             return super().__getitem__(i)
 
     assert S.last_free(5.0, Gaps([[float(i), i + 0.5] for i in range(1000)]), 6, 2.0) == 5.0 and seen == [5]
+
+
+def test_a_run_writes_its_state_once(spark, monkeypatch):
+    from quire.operators import translation as T
+
+    kept, write = [], T.written
+    monkeypatch.setattr(T, "written", lambda df: (kept.append(df), write(df))[1])
+    chapters = spark.createDataFrame([("a", "ko", "one two\n\n" * 60), ("b", "ko", "x")], "path string, lang string, text string")
+    first = T.translated(chapters, lambda t, seed: "T" + t, 100)
+    again = T.translated(chapters, lambda t, seed: "U" + t, 100, first)
+    assert len(kept) == 2 and "Join" not in kept[0]._jdf.queryExecution().executedPlan().toString()
+    assert [r.result[0] for r in again.collect()] == ["T"] * first.count() and again.filter("reused and calls = 0").count() == first.count()
