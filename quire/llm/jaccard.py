@@ -7,10 +7,12 @@ band of minima under random orders are candidates too. A pair of similarity 0.8
 
 A bucket isn't paired up at once: its sets are compared with some pivots of its smallest parts, and linked parts merge. Sets of buckets
 that are still apart meet once more by their rare shingles: of two similar sets n - ceil(t n) + 1 shingles each, in any one order, have
-one in common. With the order of their counts among these sets, a passage that many share comes last and brings none together, so
+one in common. With the order of the meetings they cause, a passage that many share comes last and brings none together, so
 no pair of a bucket is skipped and none grows to all its pairs. Where many sets share a rare shingle and aren't similar, most pairs are
 ruled out where they meet: each set has the parities of its shingles' counts in SKETCH_BITS places, and two sets differ in at least as
-many shingles as their parities do. That bound loses no pair; it tells little of sets with far more shingles than places.
+many shingles as their parities do. That bound loses no pair; it tells little of sets with far more shingles than places. A pair counts
+where its first common shingle stands, and only if what follows there in both sets is enough for a link; shingles that only linked sets
+hold come first in the order, so a set that differs much from all others has few places left to meet them.
 """
 
 from __future__ import annotations
@@ -38,6 +40,8 @@ ROWS = 6
 PIVOTS = 4
 #: Places of a sketch, a power of two.
 SKETCH_BITS = 512
+#: Rarer shingles that each rare shingle of a set carries along.
+BEFORE = 64
 _SKETCH = [f"b{i}" for i in range(SKETCH_BITS // 64)]
 
 _TURNS = np.random.default_rng(SEED).integers(1 << 63, size=BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -146,23 +150,38 @@ def _may_be_similar(similar: tuple[int, int]) -> Column:
 
 
 def _by_rare_shingles(open_: DataFrame, whole: DataFrame, similar: tuple[int, int], folder: str) -> DataFrame:
-    """Pairs (u, v) of the sets (node, n, root) that have different roots and share a shingle among the rarest of both."""
+    """Pairs (u, v) of the sets (node, n, root) that have different roots and share a shingle among the rarest of both.
+
+    A pair comes once, where its first common shingle stands, and again only where more than BEFORE shingles of one set lie between two
+    that it shares.
+    """
 
     def listed(b: dict) -> dict:
         return {"node": b["node"], "h": [np.frombuffer(x, "<i8") for x in b["held"].to_pylist()]}
 
     every = whole.mapInArrow(arrow_rows(listed, pa.schema([("node", pa.int64()), ("h", pa.list_(pa.int64()))])), "node long, h array<long>").select("node", F.explode("h").alias("h"))
-    every = every.join(every.groupBy("h").agg(F.count(F.lit(1)).alias("d")), "h").join(open_, "node")
-    rank = F.row_number().over(Window.partitionBy("node").orderBy("d", "h"))
-    rare = every.withColumn("k", rank).filter((F.col("k") <= F.col("n") - F.ceil(F.col("n") * similar[0] / similar[1]) + 1) & (F.col("d") > 1))
-    rare = written(rare.select("h", "node", "n", "root"), folder, "rare")
+    every = every.join(open_, "node")
+    size = F.sum("part")
+    meetings = every.groupBy("h", "root").agg(F.count(F.lit(1)).alias("part")).groupBy("h").agg((size * (size - F.max("part"))).alias("c"))
+    rank = F.row_number().over(Window.partitionBy("node").orderBy("c", "h"))
+    rare = every.join(meetings, "h").withColumn("k", rank).filter((F.col("k") <= F.col("n") - F.ceil(F.col("n") * similar[0] / similar[1]) + 1) & (F.col("c") > 0))
+    rare = written(rare.select("h", "node", "n", "root", "k"), folder, "rare")
     parts = rare.groupBy("h", "root").agg(F.count(F.lit(1)).alias("part"))
     groups = parts.groupBy("h").agg(F.count(F.lit(1)).alias("parts"), F.max(F.struct("part", "root")).alias("p")).filter("parts > 1").select("h", F.col("p.root").alias("main"))
-    placed = written(rare.join(groups, "h").join(written(_sketches(whole), folder, "sketches"), "node"), folder, "rare-apart")
+    before = F.collect_list("h").over(Window.partitionBy("node").orderBy("k").rowsBetween(-BEFORE, -1))
+    placed = rare.join(groups, "h").withColumn("before", before).join(written(_sketches(whole), folder, "sketches"), "node")
+    placed = written(placed, folder, "rare-apart")
     # each set outside the largest part of a group meets all of the group
-    some = placed.filter("root <> main").select("h", F.col("node").alias("v"), F.col("n").alias("m"), F.col("root").alias("rv"), *[F.col(c).alias(f"{c}v") for c in _SKETCH])
-    met = placed.join(some, "h").filter("root <> rv").filter(_near(similar)).filter(_may_be_similar(similar))
-    return met.select(F.least("node", "v").alias("u"), F.greatest("node", "v").alias("v")).distinct()
+    other = {"node": "v", "n": "m", "root": "rv", **{c: f"{c}v" for c in ("k", "before", *_SKETCH)}}
+    some = placed.filter("root <> main").select("h", *[F.col(c).alias(to) for c, to in other.items()])
+    met = placed.join(some, "h").filter("root <> rv and (root = main or node < v)").filter(_near(similar)).filter(_enough_left(similar)).filter(_may_be_similar(similar))
+    met = met.filter(~F.arrays_overlap("before", "beforev"))
+    return met.select(F.least("node", "v").alias("u"), F.greatest("node", "v").alias("v"))
+
+
+def _enough_left(similar: tuple[int, int]) -> Column:
+    """Whether similar sets of n and m shingles may have the k-th of one and the kv-th of the other as the first in common."""
+    return (F.least(F.col("n") - F.col("k"), F.col("m") - F.col("kv")) + 1) * sum(similar) >= (F.col("n") + F.col("m")) * similar[0]
 
 
 def _near(similar: tuple[int, int]) -> Column:
@@ -211,7 +230,7 @@ def near_copies(docs: DataFrame, text: str = "text", shingle_words: int = SHINGL
     now = apart(now.join(pivots.select("h", F.col("v").alias("node")), ["h", "node"], "left_anti").select("h", "node", "n"), links, "two")
     if not now.isEmpty():
         open_ = now.select("node", "n", "root").distinct()
-        links = links.union(check(_by_rare_shingles(open_, whole.join(open_, "node", "left_semi"), similar, folder), "third"))
+        links = links.union(check(_by_rare_shingles(open_, whole.join(open_, "node", "left_semi"), similar, folder).distinct(), "third"))
     roots = components(links, f"{folder}/last-rounds")
     named = sets.select("doc_id", "text_hash", "node").join(roots, "node", "left")
     return named.select("doc_id", "text_hash", F.coalesce("root", "node").alias("root"))

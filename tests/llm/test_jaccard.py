@@ -68,3 +68,18 @@ def test_rare_shingles_bring_few_unlike_sets_together(spark, tmp_path):
     got = {(r.u, r.v) for r in jaccard._by_rare_shingles(open_, whole, (4, 5), str(tmp_path)).collect()}
     near = {(i, j) for j in range(61) for i in range(j) if 9 * len(np.intersect1d(sets[i], sets[j])) >= 4 * (len(sets[i]) + len(sets[j]))}
     assert near == {(0, 60)} and near <= got and len(got) < 20
+
+
+def test_sets_with_much_of_their_own_do_not_meet_at_what_they_share(spark, tmp_path):
+    """Sketches tell nothing of sets as long as these: 67 in 100 shingles are alike in each pair, and a link needs 80."""
+    import numpy as np
+
+    rnd = np.random.default_rng(2)
+    base = rnd.integers(1 << 63, size=1200, dtype=np.uint64)
+    sets = [np.sort(np.concatenate([base, rnd.integers(1 << 63, size=300, dtype=np.uint64)])) for _ in range(40)]
+    sets.append(np.sort(np.concatenate([sets[0][:1400], rnd.integers(1 << 63, size=100, dtype=np.uint64)])))
+    whole = spark.createDataFrame([(i, x.tobytes()) for i, x in enumerate(sets)], "node long, held binary")
+    open_ = spark.createDataFrame([(i, len(x), i) for i, x in enumerate(sets)], "node long, n long, root long")
+    got = [(r.u, r.v) for r in jaccard._by_rare_shingles(open_, whole, (4, 5), str(tmp_path)).collect()]
+    assert (0, 40) in got and len(got) < 45
+    assert len(got) == len(set(got))  # a pair comes once, not at each shingle that it shares
