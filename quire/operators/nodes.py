@@ -123,15 +123,21 @@ def sections(nodes: DataFrame, key: str) -> DataFrame:
     """
     words = F.when(F.col("tag") == "#text", F.size(F.regexp_extract_all("text", F.lit(r"(?U)(\S+)"), F.lit(1)))).otherwise(0)
     along = Window.partitionBy(key).orderBy("ix").rowsBetween(Window.unboundedPreceding, 0)
-    running = nodes.select(key, "ix", "last", "tag", "attrs", *[F.sum(c).over(along).alias(k) for k, c in (("words", words), ("imgs", (F.col("tag") == "img").cast("int")), ("dgms", ((F.col("tag") == "div") & has_class("mermaid")).cast("int")))])
+    running = nodes.select(key, "ix", *[F.sum(c).over(along).alias(k) for k, c in (("words", words), ("imgs", (F.col("tag") == "img").cast("int")), ("dgms", ((F.col("tag") == "div") & has_class("mermaid")).cast("int")))])
     ends = running.select(key, F.col("ix").alias("last"), F.col("words").alias("w"), F.col("imgs").alias("i"), F.col("dgms").alias("d"))
-    named = running.filter("tag = 'section' and attrs['id'] is not null")
-    named = named.withColumn("n", F.row_number().over(Window.partitionBy(key).orderBy("ix"))).join(ends, [key, "last"])
-    counted = named.select(key, "ix", "last", "n", F.col("attrs")["id"].alias("id"), (F.col("w") - F.col("words")).alias("word_count"), (F.col("i") - F.col("imgs")).alias("image_count"), (F.col("d") - F.col("dgms")).alias("diagram_count"))
+    named = headed_sections(nodes, key).join(running.select(key, "ix", "words", "imgs", "dgms"), [key, "ix"]).join(ends, [key, "last"])
+    counts = [(F.col(end) - F.col(start)).alias(name) for end, start, name in (("w", "words", "word_count"), ("i", "imgs", "image_count"), ("d", "dgms", "diagram_count"))]
+    return named.select(key, "ix", "last", "n", "id", "title", *counts, "head")
+
+
+def headed_sections(nodes: DataFrame, key: str) -> DataFrame:
+    """(key, ix, last, n, id, title, head): sections that have an id and an h2; n counts those with an id, head is the first h2."""
+    own = nodes.filter("tag = 'section' and attrs['id'] is not null").select(key, "ix", "last", F.col("attrs")["id"].alias("id"))
+    own = own.withColumn("n", F.row_number().over(Window.partitionBy(key).orderBy("ix")))
     heads = nodes.filter("tag = 'h2'").select(key, "ix", "last")
-    headed = first_inside(counted, heads.select(key, "ix"), key, "head").filter("head is not null")
+    headed = first_inside(own, heads.select(key, "ix"), key, "head").filter("head is not null")
     said = texts_of(nodes, heads, key).select(key, F.col("ix").alias("head"), F.col("said").alias("title"))
-    return headed.join(said, [key, "head"]).select(key, "ix", "last", "n", "id", "title", "word_count", "image_count", "diagram_count", "head")
+    return headed.join(said, [key, "head"]).select(key, "ix", "last", "n", "id", "title", "head")
 
 
 # --- edits ----------------------------------------------------------------------------------------------------------------
@@ -185,11 +191,13 @@ def html_of(nodes: DataFrame, by: list[str]) -> DataFrame:
         F.when((F.col("tag") == "#text") & raw, F.col("text")).when(F.col("tag") == "#text", escape_html(F.col("text"))).when(F.col("tag") == "#comment", F.concat(F.lit("<!--"), "text", F.lit("-->")))
         .when(F.col("tag") == "#decl", F.concat(F.lit("<!"), "text", F.lit(">"))).otherwise(F.concat(F.lit("<"), "tag", attrs, F.when(void, "/>").otherwise(">")))
     )
-    tags = nodes.filter("tag in ('script', 'style')").select(*by, F.col("ix").alias("parent"), F.col("tag").alias("ptag"))
-    full = nodes.join(tags, [*by, "parent"], "left")
-    events = full.select(*by, F.col("ix").alias("at"), F.lit(0).alias("rank"), F.lit(0).alias("up"), start.alias("s"))
-    closing = nodes.filter(~F.col("tag").startswith("#") & ~void)
-    events = events.unionByName(closing.select(*by, F.col("last").alias("at"), F.lit(1).alias("rank"), (-F.col("depth")).alias("up"), F.concat(F.lit("</"), "tag", F.lit(">")).alias("s")))
+    # nothing but text stands in a script or style, so that the last one ahead is the parent or none is
+    ahead = Window.partitionBy(*by).orderBy("ix").rowsBetween(Window.unboundedPreceding, -1)
+    last_raw = F.last(F.when(F.col("tag").isin(*RAW_TEXT), F.struct("ix", "tag")), ignorenulls=True).over(ahead)
+    full = nodes.withColumn("_raw", last_raw).withColumn("ptag", F.when(F.col("_raw.ix") == F.col("parent"), F.col("_raw.tag")))
+    event = lambda at, rank, up, said: F.struct(at.cast("int").alias("at"), F.lit(rank).alias("rank"), up.cast("int").alias("up"), said.alias("s"))
+    closing = F.when(~F.col("tag").startswith("#") & ~void, event(F.col("last"), 1, -F.col("depth"), F.concat(F.lit("</"), "tag", F.lit(">"))))
+    events = full.select(*by, F.explode(F.array(event(F.col("ix"), 0, F.lit(0), start), closing)).alias("e")).filter("e is not null").select(*by, "e.*")
     return events.groupBy(*by).agg(ordered_concat(F.col("s"), [F.col("at"), F.col("rank"), F.col("up")], "").alias("html"))
 
 
@@ -207,18 +215,22 @@ def exported(nodes: DataFrame, key: str) -> DataFrame:
     Files go by the section's number and id; headings rise by one level, the section's own becomes the title. An image whose data
     can't be read stays where it is. Content of images is base64.
     """
-    named = sections(nodes, key)
-    inner = nearest_enclosing(nodes.select(key, "ix", "parent", "depth", "tag", "attrs", "text", "last"), named.select(key, "ix", "last"), key).filter("inside is not null").withColumnRenamed("inside", "sec")
-    ids = named.select(key, F.col("ix").alias("sec"), "n", "id", "title", "head")
-    inner = inner.join(ids.select(key, "sec", "id", "head"), [key, "sec"])
-    data = inner.filter("tag = 'img'").select(key, "ix", "id", F.col("attrs")["src"].alias("src")).filter(F.col("src").startswith("data:"))
+    ids = headed_sections(nodes, key).withColumnRenamed("ix", "sec")
+    # places only: attributes and texts are moved once, when it is known where they belong
+    inner = nearest_enclosing(nodes.select(key, "ix"), ids.select(key, F.col("sec").alias("ix"), "last"), key).filter("inside is not null").withColumnRenamed("inside", "sec")
+    data = nodes.filter("tag = 'img'").select(key, "ix", F.col("attrs")["src"].alias("src")).filter(F.col("src").startswith("data:"))
+    data = data.join(inner, [key, "ix"]).join(ids.select(key, "sec", "id"), [key, "sec"])
     data = data.withColumn("k", F.row_number().over(Window.partitionBy(key).orderBy("ix"))).filter(F.col("src").rlike(_DATA_URI) & F.col("src").contains(";base64,"))
     mime = F.regexp_extract("src", _DATA_URI, 1)
     ending = F.coalesce(F.create_map(*[F.lit(x) for kv in EXTENSIONS.items() for x in kv])[F.when(mime == "", "application/octet-stream").otherwise(mime)], F.lit(".png"))
     data = data.withColumn("value", F.concat(F.lit("images/"), "id", F.lit("-"), F.col("k").cast("string"), ending)).withColumn("bytes", F.regexp_replace(F.regexp_extract("src", _DATA_URI, 3), r"\s", ""))
-    heads = inner.filter(F.col("ix") == F.col("head")).select(key, "ix", "last")
-    kept = patched(without(inner.drop("id", "head", "sec"), heads, key), data, key, "src")
-    kept = nearest_enclosing(kept.select(key, "ix", "parent", "depth", "tag", "attrs", "text", "last"), named.select(key, "ix", "last"), key).withColumnRenamed("inside", "sec")
+    # the first h2 of a section is that of the innermost section around it too; a range from the place before it holds the h2 itself
+    heads = nodes.filter("tag = 'h2'").select(key, F.col("ix").alias("head"), "last").join(ids.select(key, "head").distinct(), [key, "head"])
+    below = nearest_enclosing(inner, heads.select(key, (F.col("head") - 1).alias("ix"), "last"), key).filter("inside is null").drop("inside")
+    placed = below.join(data.select(key, "ix", "value"), [key, "ix"], "left")
+    kept = nodes.join(placed, [key, "ix"])
+    src = F.transform_values("attrs", lambda k, v: F.when(k == "src", F.col("value")).otherwise(v))
+    kept = kept.withColumn("attrs", F.when(F.col("value").isNull(), F.col("attrs")).otherwise(src))
     body = html_of(kept, [key, "sec"])
     texts = ids.join(body, [key, "sec"], "left").select(key, F.format_string("%03d_%s.md", "n", "id").alias("path"), F.lit("chapter").alias("kind"), F.concat(F.lit("# "), "title", F.lit("\n\n"), section_markdown(F.coalesce("html", F.lit(""))), F.lit("\n")).alias("content"))
     return texts.unionByName(data.select(key, F.col("value").alias("path"), F.lit("image").alias("kind"), F.col("bytes").alias("content")))

@@ -85,3 +85,26 @@ def test_exported_sections(spark):
     assert files["images/two-1.png"] == "QUJD"
     assert files["004_two.md"] == "# Two\n\n> tip\n\n![d](images/two-1.png)![e](data:text/plain,%20)\n\n```py\na < b\n```\n"
     assert files["002_in.md"] == "# Inner\n\n![]()\n\n#### Flow\n\n```mermaid\nGraph TD A\n```\n".replace("#### Flow", "### Flow")
+
+
+def test_export_moves_attributes_and_texts_few_times(spark):
+    import re
+
+    nodes = M.html_nodes(spark.createDataFrame([(1, "<section id='a'><h2>T</h2><p>x</p></section>")], "page long, html string"), "page", "html")
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as over large tables
+    try:
+        mode = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+        plan = N.exported(nodes, "page")._jdf.queryExecution().explainString(mode)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    moved = re.findall(r"\(\d+\) Exchange\nInput \[\d+\]: \[(.*)\]", plan)
+    assert len(moved) > 3 and sum("attrs#" in x for x in moved) <= 2
+
+
+def test_export_of_nested_sections_scripts_and_images_in_headings(spark):
+    png = "data:image/png;base64,AAAA"
+    html = f"<section id='a'><section id='b'><h2>B <img src='{png}'> c</h2><p>x</p><script>1 < 2</script><p>a &lt; b</p></section><p>y <img src='{png}'></p></section>"
+    nodes = M.html_nodes(spark.createDataFrame([(1, html)], "page long, html string"), "page", "html")
+    got = {r.path: r.content for r in N.exported(nodes, "page").collect()}
+    assert got == {"001_a.md": "# Bc\n\ny ![](images/a-2.png)\n", "002_b.md": "# Bc\n\nx\n\na < b\n", "images/b-1.png": "AAAA", "images/a-2.png": "AAAA"}
