@@ -15,8 +15,6 @@ from . import layout as L
 from .corpus import strip_repeated_lines
 from .paragraphs import CODE, CODE_END, HEADING, repair
 
-#: Pages from which a document's sizes are taken (a sampling operator).
-SAMPLE_PAGES = 10
 WORD = ["doc_id", "page", "t", "text", "x0", "x1", "top", "bottom", "size", "fontname"]
 
 
@@ -34,9 +32,8 @@ def in_rows(words: DataFrame) -> DataFrame:
 
 def with_headings(words: DataFrame) -> DataFrame:
     """Words in rows, with a mark before the rows that are headings; documents with too many such rows get none."""
-    sample = words.filter(F.col("page") < SAMPLE_PAGES)
-    bodies = written(L.body_size(sample))
-    sizes = L.heading_sizes(sample, bodies)
+    bodies = written(L.body_size(words))
+    sizes = L.heading_sizes(words, bodies)
     heads = written(L.heading_rows(words, bodies.filter("body_size is not null"), sizes))
     rows = words.select("doc_id", "page", "row").distinct()
     sane = L.heading_sanity(heads, rows).filter("sane and n_headings > 0").select("doc_id")

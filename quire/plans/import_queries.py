@@ -82,7 +82,7 @@ def _regions(words: str) -> str:
     return f"{COLS.replace('FROM v_words', f'FROM {words}')}, {ALIGNED}, {_RUNS}, vr AS (SELECT w.*, CASE WHEN s IS NULL OR row < s THEN 0 WHEN row < e THEN 1 ELSE 2 END AS region FROM {words} w LEFT JOIN tb USING (doc_id, page)), {_TABLE}, {_PROSE}, alltext AS (SELECT * FROM tmd UNION ALL SELECT * FROM cmd)"
 
 
-SC11 = f"""WITH vw AS ({_DENSE} WHERE NOT regexp_matches(text, '[\\x00-\\x1f\\x7f]')), vs AS (SELECT * FROM vw WHERE page < {P.SAMPLE_PAGES}), {STATS.replace('FROM v_words', 'FROM vw')}, {BODY.replace('FROM v_words', 'FROM vs')}, {HEADS},
+SC11 = f"""WITH vw AS ({_DENSE} WHERE NOT regexp_matches(text, '[\\x00-\\x1f\\x7f]')), {STATS.replace('FROM v_words', 'FROM vw')}, {BODY.replace('FROM v_words', 'FROM vw')}, {HEADS},
  ok AS (SELECT doc_id FROM (SELECT doc_id, count(*) AS n FROM stats GROUP BY doc_id) JOIN (SELECT doc_id, count(*) AS h FROM heads WHERE doc_id IN (SELECT doc_id FROM body WHERE body_size IS NOT NULL) GROUP BY doc_id) USING (doc_id) WHERE n < 50 OR h / n <= 0.05),
  vm AS (SELECT doc_id, page, row, t, text, x0, x1, fontname FROM vw UNION ALL SELECT doc_id, page, row, arg_min(t, (x0, t)), '{HEADING}', min(x0) - 1, min(x0) - 0.5, NULL FROM vw JOIN heads USING (doc_id, page, row) WHERE doc_id IN (SELECT doc_id FROM ok) GROUP BY doc_id, page, row),
  {_regions('vm')}, pt AS (SELECT doc_id, page, string_agg(text, chr(10) || chr(10) ORDER BY region, col) AS text FROM alltext WHERE text <> '' GROUP BY doc_id, page),

@@ -85,3 +85,16 @@ def test_no_words(spark):
     sizes, words = spark.createDataFrame([(1, 0, 10.0)], PAGES), spark.createDataFrame([], WORDS)
     assert [tuple(r) for r in P.page_texts(sizes, words).collect()] == [(1, 0, "")]
     assert {r.path: r.content for r in P.imported(sizes, words).collect()} == {"1.md": "# 1\n\n\n", "book.yaml": "language: en\n"}
+
+
+def _late_heading():
+    """A book whose first ten pages hold a word each, and whose chapter begins after them."""
+    pages = [Page(3, n).line("word") for n in range(10)]
+    last = Page(3, 10).line("Chapter Late", size=20.0, step=60.0)
+    for i in range(30):
+        last.line(f"some body text of line {i} in the usual size")
+    return [*pages, last]
+
+
+def test_sizes_come_from_all_pages(spark):
+    assert texts(spark, _late_heading())[3][3, 10].startswith(f"{HEADING} Chapter Late\n")
