@@ -145,6 +145,11 @@ def body_size(words: DataFrame, key: str = "doc_id", least: int = 20) -> DataFra
     """Most frequent size of a document in half points, the first seen of equal ones; null under `least` samples."""
     bucket = F.bround(F.col("size") * 2) / 2
     counted = words.filter("size is not null").groupBy(key, bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("page", "t")).alias("first"))
+    return counted_body(counted, key, least)
+
+
+def counted_body(counted: DataFrame, key: str = "doc_id", least: int = 20) -> DataFrame:
+    """body_size() of sizes that are counted: (key, bucket, n, first)."""
     w = Window.partitionBy(key).orderBy(F.col("n").desc(), "first")
     ranked = counted.withColumn("rank", F.row_number().over(w)).withColumn("total", F.sum("n").over(Window.partitionBy(key)))
     return ranked.filter("rank = 1").select(key, F.when(F.col("total") >= least, F.col("bucket")).alias("body_size"))
@@ -153,6 +158,11 @@ def body_size(words: DataFrame, key: str = "doc_id", least: int = 20) -> DataFra
 def heading_sizes(words: DataFrame, bodies: DataFrame, key: str = "doc_id", ratio: float = 1.15, most: float = 0.15) -> DataFrame:
     """Sizes that stand out and are rare against the body: (key, bucket)."""
     counted = words.filter("size is not null").groupBy(key, (F.bround(F.col("size") * 2) / 2).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+    return counted_headings(counted, bodies, key, ratio, most)
+
+
+def counted_headings(counted: DataFrame, bodies: DataFrame, key: str = "doc_id", ratio: float = 1.15, most: float = 0.15) -> DataFrame:
+    """heading_sizes() of sizes that are counted: (key, bucket, n)."""
     joined = counted.join(bodies, key)
     body_n = F.max(F.when(F.col("bucket") == F.col("body_size"), F.col("n"))).over(Window.partitionBy(key))
     joined = joined.withColumn("body_n", body_n)
@@ -168,14 +178,23 @@ def heading_rows(words: DataFrame, bodies: DataFrame, sizes: DataFrame, keys: li
     medians = stats.groupBy(*keys).agg(F.median("gap_before").alias("median_gap"))
     listed = sizes.groupBy(key).agg(F.collect_set("bucket").alias("sizes"))
     s = stats.join(medians, keys).join(bodies, key).join(listed, key, "left")
-    big = F.when(F.col("sizes").isNotNull(), F.array_contains("sizes", F.bround(F.col("avg_size") * 2) / 2)).otherwise(F.col("avg_size") >= F.col("body_size") * 1.15)
+    big = stands_out(F.col("avg_size"))
     apart = F.col("gap_before").isNull() | F.col("median_gap").isNull() | (F.col("gap_before") >= F.col("median_gap") * isolation)
     return s.filter((F.col("n_words") <= most_words) & (F.col("spread") <= spread) & big & apart).select(*keys, "row")
 
 
+def stands_out(size: Column) -> Column:
+    """The mean size of a row is one of the document's heading sizes (sizes); where it has none, it exceeds its body_size."""
+    return F.when(F.col("sizes").isNotNull(), F.array_contains("sizes", F.bround(size * 2) / 2)).otherwise(size >= F.col("body_size") * 1.15)
+
+
 def heading_sanity(headings: DataFrame, stats: DataFrame, key: str = "doc_id", least: int = 50, most: float = 0.05) -> DataFrame:
     """Per document: heading rows, rows, and whether headings are rare enough to be believed."""
-    totals = stats.groupBy(key).agg(F.count(F.lit(1)).alias("n_rows"))
+    return counted_sanity(headings, stats.groupBy(key).agg(F.count(F.lit(1)).alias("n_rows")), key, least, most)
+
+
+def counted_sanity(headings: DataFrame, totals: DataFrame, key: str = "doc_id", least: int = 50, most: float = 0.05) -> DataFrame:
+    """heading_sanity() of rows that are counted: (key, n_rows)."""
     found = headings.groupBy(key).agg(F.count(F.lit(1)).alias("n_headings"))
     both = totals.join(found, key, "left").withColumn("n_headings", F.coalesce("n_headings", F.lit(0)))
     return both.select(key, "n_headings", "n_rows", ((F.col("n_rows") < least) | (F.col("n_headings") / F.col("n_rows") <= most)).alias("sane"))

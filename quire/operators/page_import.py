@@ -6,16 +6,27 @@ column. What is calibrated over a document (sizes, headings, repeated lines) is
 
 from __future__ import annotations
 
+import math
+import re
+from collections.abc import Callable, Iterator
+from functools import lru_cache
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
+from ..functions import pages as G
 from ..functions.text import ordered_concat
-from ..session import written, written_dealt
+from ..session import written
 from . import layout as L
 from .corpus import strip_repeated_lines
 from .paragraphs import CODE, CODE_END, HEADING, repair
 
 WORD = ["doc_id", "page", "t", "text", "x0", "x1", "top", "bottom", "size", "fontname"]
+PLACE = {"x0", "x1", "top", "bottom", "size"}
+_MONO = re.compile("courier|consolas|mono", re.IGNORECASE | re.ASCII)
 
 
 def image_words(images: DataFrame) -> DataFrame:
@@ -30,20 +41,6 @@ def in_rows(words: DataFrame) -> DataFrame:
     return L.anchored_rows(words.select(*WORD)).withColumnRenamed("row_ix", "row").select(*WORD, "row")
 
 
-def with_headings(words: DataFrame) -> DataFrame:
-    """Words in rows, with a mark before the rows that are headings; documents with too many such rows get none."""
-    bodies = written(L.body_size(words))
-    sizes = L.heading_sizes(words, bodies)
-    heads = written(L.heading_rows(words, bodies.filter("body_size is not null"), sizes))
-    rows = words.select("doc_id", "page", "row").distinct()
-    sane = L.heading_sanity(heads, rows).filter("sane and n_headings > 0").select("doc_id")
-    meant = heads.join(sane, "doc_id")
-    first = words.join(meant, ["doc_id", "page", "row"]).groupBy("doc_id", "page", "row").agg(F.min_by(F.struct("t", "x0", "top", "bottom"), F.struct("x0", "t")).alias("f"))
-    none = {"size": F.lit(None).cast("double"), "fontname": F.lit(None).cast("string")}
-    marks = first.select("doc_id", "page", "f.t", F.lit(HEADING).alias("text"), (F.col("f.x0") - 1).alias("x0"), (F.col("f.x0") - 0.5).alias("x1"), "f.top", "f.bottom", *[v.alias(k) for k, v in none.items()], "row")
-    return words.select(*WORD, "row").unionByName(marks)
-
-
 def in_regions(words: DataFrame) -> DataFrame:
     """Words with `region`: 0 before the page's table, 1 in it, 2 after; 0 where there is none."""
     tables = L.table_runs(words)
@@ -51,30 +48,121 @@ def in_regions(words: DataFrame) -> DataFrame:
     return both.withColumn("region", F.when(F.col("start_row").isNull() | (F.col("row") < F.col("start_row")), 0).when(F.col("row") < F.col("end_row"), 1).otherwise(2)).drop("start_row", "end_row")
 
 
-def region_texts(words: DataFrame) -> DataFrame:
-    """(doc_id, page, region, col, text) of words in regions: tables as pipes, the rest by columns."""
-    tables = L.table_markdown(words.filter("region = 1")).select("doc_id", "page", F.lit(1).alias("region"), F.lit(0).alias("col"), F.col("table_md").alias("text"))
-    prose = words.filter("region <> 1")
-    keys = [*L.KEYS, "region"]
-    placed = L.assign_columns(prose, L.column_bands(prose, keys), keys).drop("row")
-    rows = L.anchored_rows(placed, [*keys, "col"]).withColumnRenamed("row_ix", "row")
-    texts = L.rows_text(rows, [*keys, "col"], 2, CODE, CODE_END)
-    return tables.unionByName(texts.select(*keys, "col", "text"))
+def gathered(words: DataFrame, images: DataFrame | None = None) -> DataFrame:
+    """(doc_id, page, words): the words of each page, and its images as words, in one row; those without a page go."""
+    flagged = words.select(*WORD, F.lit(False).alias("image"))
+    if images is not None:
+        flagged = flagged.unionByName(image_words(images).withColumn("image", F.lit(True)))
+    # doubles whatever the caller has, as the functions over pages count in them
+    fields = [F.col(c).cast("double").alias(c) if c in PLACE else F.col(c) for c in flagged.columns if c not in L.KEYS]
+    return flagged.filter("doc_id is not null and page is not null").groupBy(*L.KEYS).agg(F.collect_list(F.struct(*fields)).alias("words"))
+
+
+@lru_cache(maxsize=4096)
+def _mono(font: str | None) -> bool:
+    return font is not None and _MONO.search(font) is not None
+
+
+def _unpacked(batch: pa.RecordBatch) -> Iterator[tuple[list, list]]:
+    """(words, images) of each page of a batch, as tuples of functions.pages."""
+    column = batch.column("words")
+    values = column.flatten()
+    parts = dict(zip([f.name for f in values.type], values.flatten()))
+    x0, x1, top, bottom, size = ([math.nan if v is None else v for v in parts[c].to_pylist()] for c in ("x0", "x1", "top", "bottom", "size"))
+    x0 = [0.0 if v != v else v for v in x0]
+    x1 = [a if v != v else v for a, v in zip(x0, x1)]
+    t, text = [-1 if v is None else v for v in parts["t"].to_pylist()], [G.NULL if v is None else v for v in parts["text"].to_pylist()]
+    mono = [_mono(v) for v in parts["fontname"].to_pylist()]
+    words, image = list(zip(x0, t, text, x1, top, bottom, size, mono)), parts["image"].to_pylist()
+    placed = [known and v is not None for known, v in zip(parts["top"].is_valid().to_pylist(), image)]
+    at = 0
+    for n in column.value_lengths().to_pylist():
+        n = n or 0
+        here = range(at, at + n)
+        yield [words[i] for i in here if placed[i] and not image[i]], [words[i] for i in here if placed[i] and image[i]]
+        at += n
+
+
+def _clean_rows(words: list, images: list, height: float | None) -> list:
+    return G.rows_of(G.cleaned(words, height) + images)
+
+
+def _mapped(pages: DataFrame, one: Callable[..., list[tuple]], made: str, *given: str) -> DataFrame:
+    """Rows (doc_id, page, made) that one(words, images, values of the columns given) makes of each page."""
+    kinds = dict(pages.dtypes)
+    schema = f"doc_id {kinds['doc_id']}, page {kinds['page']}, {made}"
+    names = StructType.fromDDL(made).names
+    types = to_arrow_schema(StructType.fromDDL(made))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ix, rows = [], []
+            for i, ((words, images), *values) in enumerate(zip(_unpacked(b), *[b.column(c).to_pylist() for c in given])):
+                found = one(words, images, *values)
+                ix += [i] * len(found)
+                rows += found
+            keys = b.select(L.KEYS).take(pa.array(ix, pa.int64()))
+            columns = list(zip(*rows)) if rows else [[] for _ in names]
+            yield pa.RecordBatch.from_arrays([*keys.columns, *[pa.array(c, types.field(n).type) for c, n in zip(columns, names)]], [*L.KEYS, *names])
+
+    return pages.select(*L.KEYS, "words", *given).mapInArrow(run, schema)
+
+
+def region_texts(pages: DataFrame) -> DataFrame:
+    """(doc_id, page, region, col, text) of gathered pages: tables as pipes, what stands before and after them by columns."""
+
+    def one(words: list, images: list) -> list[tuple]:
+        return G.region_texts(G.rows_of(words + images), CODE, CODE_END)
+
+    return _mapped(pages, one, "region int, col int, text string")
+
+
+def heading_rows(pages: DataFrame) -> DataFrame:
+    """(doc_id, page, headings) of gathered pages with their height: rows that are headings; documents with too many of them get none.
+
+    Sizes are counted and candidates found page by page; a document's body and headings are calibrated over all its pages.
+    """
+
+    def one(words: list, images: list, height: float | None) -> list[tuple]:
+        rows = _clean_rows(words, images, height)
+        sizes = [dict(zip(("bucket", "n", "t"), s)) for s in G.size_counts(rows)]
+        return [(len(rows), sizes, [dict(zip(("row", "size"), c)) for c in G.heading_candidates(rows)])]
+
+    stats = written(_mapped(pages, one, "n_rows long, sizes array<struct<bucket:double,n:long,t:int>>, found array<struct<row:int,size:double>>", "height"))
+    counted = stats.select(*L.KEYS, F.explode("sizes").alias("s")).groupBy("doc_id", "s.bucket").agg(F.sum("s.n").alias("n"), F.min(F.struct("page", "s.t")).alias("first"))
+    bodies = L.counted_body(counted).filter("body_size is not null")
+    listed = L.counted_headings(counted, bodies).groupBy("doc_id").agg(F.collect_set("bucket").alias("sizes"))
+    found = stats.select(*L.KEYS, F.explode("found").alias("c")).select(*L.KEYS, "c.row", "c.size")
+    heads = written(found.join(bodies, "doc_id").join(listed, "doc_id", "left").filter(L.stands_out(F.col("size"))).select(*L.KEYS, "row"))
+    sane = L.counted_sanity(heads, stats.groupBy("doc_id").agg(F.sum("n_rows").alias("n_rows"))).filter("sane and n_headings > 0").select("doc_id")
+    return heads.join(sane, "doc_id").groupBy(*L.KEYS).agg(F.array_sort(F.collect_list("row")).alias("headings"))
 
 
-def page_texts(pages: DataFrame, words: DataFrame, images: DataFrame | None = None, headings: bool = True, parts: int | None = None) -> DataFrame:
+def page_texts(pages: DataFrame, words: DataFrame, images: DataFrame | None = None, headings: bool = True) -> DataFrame:
     """(doc_id, page, text) of every page (doc_id, page, height), empty where nothing stands.
 
-    words have the columns WORD. Words with control characters and lone numbers in the margins go; images come as references.
-    Headings and code stand behind and between marks, which document_texts turns into Markdown. Words between two steps are written
-    dealt by page, in so many parts; words that come dealt so are dealt no more (under session.co_located).
+    words have the columns WORD, or are gathered already. Words with control characters and lone numbers in the margins go; images
+    come as references. Headings and code stand behind and between marks, which document_texts turns into Markdown. Words are moved
+    once, to their page; what is calibrated over a document moves by rows of pages.
     """
-    sized = in_rows(L.garbled_free(words)).join(pages.select("doc_id", "page", "height"), L.KEYS, "left")
-    kept = L.page_number_words(sized, F.col("height")).select(*WORD)
-    rows = written_dealt(in_rows(kept if images is None else kept.unionByName(image_words(images))), L.KEYS, parts)
-    placed = written_dealt(in_regions(with_headings(rows) if headings else rows), L.KEYS, parts)
-    joined = region_texts(placed).filter("text <> ''").groupBy(*L.KEYS).agg(ordered_concat(F.col("text"), [F.col("region"), F.col("col")], "\n\n").alias("text"))
-    return pages.select(*L.KEYS).join(joined, L.KEYS, "left").withColumn("text", F.coalesce("text", F.lit("")))
+    if "words" not in words.columns:
+        words = gathered(words, images)
+        words = written(words) if headings else words
+    heights = pages.select(*L.KEYS, F.col("height").cast("double").alias("height"))
+    sized = words.join(heights.hint("shuffle_hash"), L.KEYS)
+    if headings:
+        found = heading_rows(words.join(heights.hint("shuffle_hash"), L.KEYS, "left"))
+        sized = sized.join(found.hint("shuffle_hash"), L.KEYS, "left")
+    else:
+        sized = sized.withColumn("headings", F.lit(None).cast("array<int>"))
+
+    def one(words: list, images: list, height: float | None, rows_: list[int] | None) -> list[tuple]:
+        rows = _clean_rows(words, images, height)
+        G.marked(rows, rows_ or [], HEADING)
+        return [("\n\n".join([text for _, _, text in G.region_texts(rows, CODE, CODE_END) if text]),)]
+
+    made = _mapped(sized, one, "text string", "height", "headings")
+    return made.unionByName(pages.select(*L.KEYS).join(words.select(*L.KEYS), L.KEYS, "left_anti").withColumn("text", F.lit("")))
 
 
 def document_texts(texts: DataFrame) -> DataFrame:
@@ -86,12 +174,12 @@ def document_texts(texts: DataFrame) -> DataFrame:
     return repair(again).select(F.col("doc").alias("doc_id"), F.col("text").alias("body"))
 
 
-def imported(pages: DataFrame, words: DataFrame, images: DataFrame | None = None, name: Column | None = None, headings: bool = True, parts: int | None = None) -> DataFrame:
+def imported(pages: DataFrame, words: DataFrame, images: DataFrame | None = None, name: Column | None = None, headings: bool = True) -> DataFrame:
     """(doc_id, path, kind, content): each document as a Markdown file, and the configuration of its book.
 
     name is a column over doc_id (its text by default). A body with headings is to be split at them.
     """
-    made = document_texts(written(page_texts(pages, words, images, headings, parts)))
+    made = document_texts(written(page_texts(pages, words, images, headings)))
     named = made.withColumn("name", F.col("doc_id").cast("string") if name is None else name)
     split = F.col("body").rlike(r"(?md)^##\s+\S")
     config = F.concat(F.lit("language: en\n"), F.when(split, F.concat(F.lit("split:\n  files:\n  - "), "name", F.lit(".md\n  heading_level: 2\n"))).otherwise(F.lit("")))

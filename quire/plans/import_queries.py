@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import page_import as P
 from ..operators.layout import KEYS
 from ..operators.paragraphs import CODE, CODE_END, HEADING
-from ..session import co_located, table, written, written_dealt
+from ..session import table, written_dealt
 from .layout_queries import ALIGNED, BANDS, BODY, COLS, GROUPS, HEADS, STATS, clusters
 from .views import parts_of, v_words, with_views
 
@@ -15,45 +15,27 @@ HEIGHT = 1000.0
 
 
 def _words(spark, d):
-    """(pages, words, parts): all pages of all documents, one without words having a page of its own; words dealt by page in parts."""
+    """(pages, words): all pages of all documents, one without words having a page of its own; words gathered by page."""
     documents = table(spark, d, "documents")
-    parts = parts_of(documents)
-    words = written_dealt(v_words(spark, d).select(*P.WORD), KEYS, parts)
+    words = written_dealt(P.gathered(v_words(spark, d).select(*P.WORD)), KEYS, parts_of(documents))
     empty = documents.select("doc_id", F.lit(0).alias("page"))
     pages = words.select("doc_id", "page").unionByName(empty).distinct().withColumn("height", F.lit(HEIGHT))
-    return pages, words, parts
+    return pages, words
 
 
-def _settled(made):
-    """The query with words that stay where their page is: its few bytes a row are written while joins are planned so."""
-
-    def run(spark, d):
-        with co_located(spark):
-            return written(made(spark, d))
-
-    return run
-
-
-@_settled
 def sc11(spark, d):
-    pages, words, parts = _words(spark, d)
-    return P.page_texts(pages, words, parts=parts).select("doc_id", "page", F.md5("text").alias("digest"))
+    return P.page_texts(*_words(spark, d)).select("doc_id", "page", F.md5("text").alias("digest"))
 
 
-@_settled
 def u4(spark, d):
     """What stands before, in and after the table of a page."""
-    _, words, parts = _words(spark, d)
-    rows = written_dealt(P.in_rows(words), KEYS, parts)
-    texts = P.region_texts(written_dealt(P.in_regions(rows), KEYS, parts))
+    texts = P.region_texts(P.gathered(v_words(spark, d).select(*P.WORD)))
     return texts.select("doc_id", "page", "region", "col", F.md5("text").alias("digest"))
 
 
-@_settled
 def sk8(spark, d):
     """Documents imported from their words, with their configuration."""
-    pages, words, parts = _words(spark, d)
-    return P.imported(pages, words, parts=parts).select("doc_id", "path", "kind", F.md5("content").alias("digest"))
+    return P.imported(*_words(spark, d)).select("doc_id", "path", "kind", F.md5("content").alias("digest"))
 
 
 REGION = "doc_id, page, region"

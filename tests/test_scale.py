@@ -94,3 +94,14 @@ def test_a_run_writes_its_state_once(spark, monkeypatch):
     again = T.translated(chapters, lambda t, seed: "U" + t, 100, first)
     assert len(kept) == 2 and "Join" not in kept[0]._jdf.queryExecution().executedPlan().toString()
     assert [r.result[0] for r in again.collect()] == ["T"] * first.count() and again.filter("reused and calls = 0").count() == first.count()
+
+
+def test_import_moves_words_once(spark):
+    from quire.operators import page_import as P
+    from quire.plans.views import v_words
+
+    words = P.gathered(v_words(spark, SF).select(*P.WORD))
+    assert _exchanges(words) == 1
+    pages = spark.createDataFrame([(1, 0, 1000.0)], "doc_id long, page int, height double")
+    # pages twice (to be joined, to be looked for), words on either side once
+    assert _exchanges(P.page_texts(pages, words, headings=False)) <= 5
