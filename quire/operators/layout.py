@@ -14,8 +14,8 @@ KEYS = ["doc_id", "page"]
 def anchored_rows(words: DataFrame, keys: list[str] = KEYS, tolerance: float = 3.0) -> DataFrame:
     """row_ix and word_ix: a row takes words until their top is more than the tolerance from the row's first top.
 
-    The anchor makes this a fold. It only runs over the distinct tops of a page, so its input stays small; the words are joined
-    back on the same keys.
+    The anchor makes this a fold. It only runs over the distinct tops of a page, so its input stays small. What it makes is one
+    row a page, joined back on the keys alone: words that are dealt by them move no more.
     """
     tops = words.groupBy(*keys).agg(F.array_sort(F.collect_set("top")).alias("tops"))
     start = F.struct(F.array().cast("array<struct<top:double,row_ix:int>>").alias("out"), F.lit(None).cast("double").alias("anchor"), F.lit(-1).alias("n"))
@@ -25,9 +25,10 @@ def anchored_rows(words: DataFrame, keys: list[str] = KEYS, tolerance: float = 3
         n = F.when(new, acc.n + 1).otherwise(acc.n)
         return F.struct(F.concat(acc.out, F.array(F.struct(top.alias("top"), n.alias("row_ix")))).alias("out"), F.when(new, top).otherwise(acc.anchor).alias("anchor"), n.alias("n"))
 
-    folded = tops.select(*keys, F.explode(F.aggregate("tops", start, step, lambda a: a.out)).alias("r")).select(*keys, "r.top", "r.row_ix")
+    folded = tops.select(*keys, F.map_from_entries(F.aggregate("tops", start, step, lambda a: a.out)).alias("_rows"))
     w = Window.partitionBy(*keys, "row_ix").orderBy("x0", "t")
-    return words.join(folded, [*keys, "top"]).withColumn("word_ix", F.row_number().over(w) - 1)
+    placed = words.filter("top is not null").join(folded, keys).withColumn("row_ix", F.col("_rows")[F.col("top")]).drop("_rows")
+    return placed.withColumn("word_ix", F.row_number().over(w) - 1)
 
 
 def row_groups(words: DataFrame, keys: list[str] = KEYS, gap: float = 20.0) -> DataFrame:

@@ -96,6 +96,16 @@ def test_a_run_writes_its_state_once(spark, monkeypatch):
     assert [r.result[0] for r in again.collect()] == ["T"] * first.count() and again.filter("reused and calls = 0").count() == first.count()
 
 
+def test_words_meet_their_rows_where_they_are(spark):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        # of texts, on either side of the join
+        assert _exchanges(registry.queries()["w6_anchored_rows"](spark, SF)) == 2
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_import_moves_words_once(spark):
     from quire.operators import page_import as P
     from quire.plans.views import v_words
