@@ -177,13 +177,25 @@ def translated(chapters: DataFrame, transform: Callable[[str, int], str], chunk_
 
 
 def settled(chapters: DataFrame, transform: Callable[[str, int], str], chunk_chars: int, runs: int, retries: int = RETRIES) -> list[DataFrame]:
-    """States of resumed runs, until no chunk has failed or the number of runs is reached."""
+    """States of resumed runs, until no chunk has failed or the number of runs is reached.
+
+    Between these runs no chapter changes, so a further one asks for the failed chunks of the last state and writes no others.
+    """
     states: list[DataFrame] = []
     while len(states) < runs and (not states or not states[-1].filter("failed").isEmpty()):
-        states.append(translated(chapters, transform, chunk_chars, states[-1] if states else None, retries))
+        states.append(_again(states[-1], transform, retries) if states else translated(chapters, transform, chunk_chars, None, retries))
     return states
 
 
+def _again(state: DataFrame, transform: Callable[[str, int], str], retries: int) -> DataFrame:
+    """The state after a run over the same chapters: what didn't fail is taken over where it lies, the rest is asked for anew."""
+    names = state.columns
+    asked = state.filter("failed").drop("result", "failed", "error", "calls", "reused").withColumnRenamed("attempts", "tried")
+    fresh = written(_mapped(asked, transform, failed_in_python, retries).withColumn("reused", F.lit(False)).select(*names))
+    kept = state.filter(~F.col("failed")).withColumns({"calls": F.lit(0), "reused": F.lit(True)})
+    return kept.select(*names).unionByName(fresh)
+
+
 def reassembled(chapters: DataFrame, state: DataFrame) -> DataFrame:
     """(path, text): the chunks of each chapter in order, with its blocks put back."""
     ordered = F.array_sort(F.collect_list(F.struct("chunk_ix", "result")))

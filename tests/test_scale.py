@@ -96,6 +96,22 @@ def test_a_run_writes_its_state_once(spark, monkeypatch):
     assert [r.result[0] for r in again.collect()] == ["T"] * first.count() and again.filter("reused and calls = 0").count() == first.count()
 
 
+def test_a_further_run_writes_failed_chunks_alone(spark, monkeypatch):
+    from quire.operators import translation as T
+
+    def slow(text, seed):
+        return text if "slow" in text and seed < 4 else "T" + text
+
+    kept, write = [], T.written
+    monkeypatch.setattr(T, "written", lambda df: (kept.append(write(df)), kept[-1])[1])
+    chapters = spark.createDataFrame([("a", "ko", "some words of a paragraph\n\n" * 9 + "a slow one of many letters"), ("b", "ko", " "), ("c", "ko", None)], "path string, lang string, text string")
+    states = T.settled(chapters, slow, 40, 5)
+    assert [k.count() for k in kept] == [11, 1] and [s.filter("failed").count() for s in states] == [1, 0]
+    rows = lambda s: sorted(s.collect(), key=lambda r: (r.path, r.chunk_ix))
+    # as a resumed run over the chapters makes it
+    assert rows(states[1]) == rows(T.translated(chapters, slow, 40, states[0])) and states[1].columns == states[0].columns
+
+
 def test_words_meet_their_rows_where_they_are(spark):
     before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
