@@ -204,35 +204,50 @@ _RUN = "\\S{15}|\\s{15}"
 def first_contained(needles: DataFrame, texts: DataFrame, head: int = 40) -> DataFrame:
     """(needle_id, text_id): the first text that holds the first `head` characters of the needle.
 
-    Candidates are found by an equality on short substrings, not by comparing all pairs. A key begins where a word does, so a text
-    has one a word and not one a character; of these only hashes are moved, and only those that a filter of fixed size lets pass.
-    Needles without such a place are looked up at every character, in the texts that have a run as long as theirs. Needles that
-    are shorter than a key are few and compared by themselves.
+    Needles that are equal in these are looked up once. Candidates are found by an equality on short substrings, not by comparing
+    all pairs. A key begins where a word does, so a text has one a word and not one a character; of these only hashes are moved,
+    and only those that a filter of fixed size lets pass. Needles without such a place hold a long run of one kind and are looked
+    up at every character of such runs; the few that are too short for either, at every character. Needles that are shorter than a
+    key are few and compared by themselves. Texts are only read for those kinds of needles that there are.
     """
     k = ANCHORS[-1]
-    probe = needles.withColumn("_head", F.substring("code", 1, head)).filter(F.length("_head") > 0)
-    open_, hits = probe.filter(F.length("_head") >= k), []
+    probe = needles.select("needle_id", F.substring("code", 1, head).alias("_head")).filter(F.length("_head") > 0)
+    heads = written(probe.select("_head").distinct())
+    open_, hits = heads.filter(F.length("_head") >= k), []
     for n in ANCHORS:
         # pieces of a text from one beginning of a word to the next have two characters at least
         pieces = F.split("body", "(?<=\\s)(?=\\S)")
         grams = F.transform("pieces", lambda _, i: F.xxhash64(F.substring(F.array_join(F.slice("pieces", i + 1, n // 2), ""), 1, n)))  # noqa: B023
-        anchor = F.regexp_extract("_head", f"(?s)\\s(\\S.{{{n - 1}}})", 1)
-        placed = open_.withColumn("_anchor", anchor)
+        placed = open_.withColumn("_anchor", F.regexp_extract("_head", f"(?s)\\s(\\S.{{{n - 1}}})", 1))
         found = texts.select("text_id", pieces.alias("pieces")).select("text_id", F.explode(F.array_distinct(grams)).alias("_gram"))
-        hits.append(_held(placed.filter("_anchor <> ''").withColumn("_gram", F.xxhash64("_anchor")), found, texts))
+        hits.append(_held(_keyed(placed.filter("_anchor <> ''"), "_anchor"), found, texts))
         open_ = placed.filter("_anchor = ''").drop("_anchor")
-    every = F.array_distinct(F.regexp_extract_all("body", F.lit(f"(?s)(?=(.{{{k}}}))"), F.lit(1)))
-    found = texts.filter(F.col("body").rlike(_RUN)).select("text_id", F.explode(every).alias("_gram")).withColumn("_gram", F.xxhash64("_gram"))
-    hits.append(_held(open_.withColumn("_gram", F.xxhash64(F.substring("_head", 1, k))), found, texts))
-    hits.append(probe.filter(F.length("_head") < k).join(texts, F.contains("body", "_head")).select("needle_id", "text_id"))
-    return reduce(DataFrame.union, hits).groupBy("needle_id").agg(F.min("text_id").alias("text_id"))
-
-
-def _held(needles: DataFrame, grams: DataFrame, texts: DataFrame) -> DataFrame:
-    """(needle_id, text_id) of needles (needle_id, _head, _gram) in those texts with their key (text_id, _gram) that hold them."""
+    every = lambda c: F.regexp_extract_all(c, F.lit(f"(?s)(?=(.{{{k}}}))"), F.lit(1))
+    hashed = lambda grams: F.explode(F.array_distinct(F.transform(grams, lambda g: F.xxhash64(g)))).alias("_gram")
+    placed = open_.withColumn("_anchor", F.substring(F.regexp_extract("_head", f"({_RUN})", 1), 1, k))
+    runs = F.regexp_extract_all("body", F.lit("(\\S{15,}|\\s{15,})"), F.lit(1))
+    found = texts.filter(F.col("body").rlike(_RUN)).select("text_id", hashed(F.flatten(F.transform(runs, every))))
+    hits.append(_held(_keyed(placed.filter("_anchor <> ''"), "_anchor"), found, texts))
+    short = placed.filter("_anchor = ''").withColumn("_anchor", F.substring("_head", 1, k))
+    hits.append(_held(_keyed(short, "_anchor"), texts.select("text_id", hashed(every(F.col("body")))), texts))
+    few = heads.filter(F.length("_head") < k)
+    hits.append(None if few.isEmpty() else few.join(texts, F.contains("body", "_head")).select("_head", "text_id"))
+    made = [h for h in hits if h is not None] or [heads.select("_head", F.lit(None).cast(texts.schema["text_id"].dataType).alias("text_id")).limit(0)]
+    first = reduce(DataFrame.union, made).groupBy("_head").agg(F.min("text_id").alias("text_id"))
+    return probe.join(first, "_head").groupBy("needle_id").agg(F.min("text_id").alias("text_id"))
+
+
+def _keyed(needles: DataFrame, anchor: str) -> DataFrame:
+    return needles.select("_head", F.xxhash64(anchor).alias("_gram"))
+
+
+def _held(needles: DataFrame, grams: DataFrame, texts: DataFrame) -> DataFrame | None:
+    """(_head, text_id) of needles (_head, _gram) in those texts with their key (text_id, _gram) that hold them; None without needles."""
     from ..llm.common import split_by_keys
 
     keys = written(needles.select(F.col("_gram").alias("k")).distinct())
+    if keys.isEmpty():
+        return None
     near, _ = split_by_keys(grams, F.col("_gram"), keys, scratch(keys.sparkSession), "filter")
-    asked = needles.select("needle_id", "_head", "_gram").join(near, "_gram")
-    return asked.join(texts, "text_id").filter(F.contains("body", "_head")).select("needle_id", "text_id")
+    asked = needles.join(near, "_gram").select("_head", "text_id")
+    return asked.join(texts, "text_id").filter(F.contains("body", "_head")).select("_head", "text_id")

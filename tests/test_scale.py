@@ -96,6 +96,16 @@ def test_a_run_writes_its_state_once(spark, monkeypatch):
     assert [r.result[0] for r in again.collect()] == ["T"] * first.count() and again.filter("reused and calls = 0").count() == first.count()
 
 
+def test_equal_needles_are_looked_up_once_and_short_ones_found(spark, monkeypatch):
+    asked, held = [], C._held
+    monkeypatch.setattr(C, "_held", lambda n, g, t: (asked.append(n.count()), held(n, g, t))[1])
+    texts = [(1, "xx abcdefghij klmnopqrs yy"), (2, "one two three four five six seven eight nine ten"), (3, "the same: one two three four five six seven eight nine")]
+    needles = [(i, "one two three four five six seven eight") for i in range(5)] + [(5, "abcdefghij klmnopqrs")]
+    got = C.first_contained(spark.createDataFrame(needles, "needle_id long, code string"), spark.createDataFrame(texts, "text_id long, body string")).collect()
+    assert {r.needle_id: r.text_id for r in got} == {**{i: 2 for i in range(5)}, 5: 1}
+    assert sum(asked) == 2
+
+
 def test_a_further_run_writes_failed_chunks_alone(spark, monkeypatch):
     from quire.operators import translation as T
 
