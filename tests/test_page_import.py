@@ -98,3 +98,15 @@ def _late_heading():
 
 def test_sizes_come_from_all_pages(spark):
     assert texts(spark, _late_heading())[3][3, 10].startswith(f"{HEADING} Chapter Late\n")
+
+
+def test_documents_have_headings_that_begin_late(spark):
+    sizes, words, _, _ = texts(spark, _late_heading())
+    files = {r.path: r.content for r in P.imported(sizes, words).collect()}
+    assert "\n## Chapter Late\n" in files["3.md"] and "heading_level: 2" in files["book.yaml"]
+
+
+def test_words_without_place_or_text(spark):
+    rows = [(1, 0, 0, "a", None, None, 10.0, 12.0, None, None), (1, 0, 1, None, 90.0, 99.0, 10.0, 12.0, 11.0, "Times"), (1, 0, 2, "b", 80.0, None, 11.0, None, 11.0, None), (1, 0, 3, "lost", 1.0, 2.0, None, 12.0, 11.0, None), (None, 0, 0, "x", 1.0, 2.0, 3.0, 4.0, 5.0, "f")]
+    pages = spark.createDataFrame([(1, 0, 1000.0), (2, 0, None)], PAGES)
+    assert {tuple(r) for r in P.page_texts(pages, spark.createDataFrame(rows, WORDS)).collect()} == {(1, 0, "a\n\nb"), (2, 0, "")}
