@@ -138,6 +138,7 @@ def test_import_moves_words_once(spark):
 
     words = P.gathered(v_words(spark, SF).select(*P.WORD))
     assert _exchanges(words) == 1
+    assert _exchanges(P.region_texts(words)) == 1
     pages = spark.createDataFrame([(1, 0, 1000.0)], "doc_id long, page int, height double")
     # pages twice (to be joined, to be looked for), words on either side once
     assert _exchanges(P.page_texts(pages, words, headings=False)) <= 5
